@@ -1,0 +1,265 @@
+"""Exact repeated windows of K words across documents, by super-k-mers.
+
+A word is repeated if a window of K consecutive words covers it whose word
+sequence also starts in a document with a smaller doc_id. In the de Bruijn
+graph whose edges are the K-word windows, consecutive windows that share their
+minimiser (the least hash of the k-word anchors inside) form one path. Such a
+path ("block") travels as one row: hash of its anchor, hash of all its words,
+hashes of the words beside the anchor, document. Equal windows have equal
+anchors, so they meet:
+
+1. equal blocks: the whole path is repeated, in all documents but the smallest;
+2. an anchor with several different blocks, where the words beside the anchor
+   agree on one side: only single windows may be shared, so one document of
+   each block sends its windows, and these are compared one by one.
+
+Blocks of step 2 lie where repeated passages begin and end, so step 2 is small.
+A map task sends each distinct block once, whatever the number of copies; all
+its other copies are settled in the task itself.
+
+Rows without doc_id take no part: nothing is removed from them, and they are no
+source. Rows that share a doc_id count as one document.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import words as W
+from .exchange import buckets, by_bucket, pack, unpack
+
+HOLD = 1 << 21  #: blocks that a map task holds before it sends them
+
+PACKED = "bucket int, h binary, b binary, side binary, doc binary, vdoc binary, vkey binary"
+MARKS = "doc_id long, kind int, key long"
+WHOLE, CHECK, WINDOW = 0, 1, 2
+
+
+class Blocks:
+    """The blocks of the texts of one chunk."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, window: int, anchor: int):
+        at = W.starts_of(first, window)
+        self.words, self.window, self.sums = words, window, W.prefix(words)
+        if not len(at):
+            self.start = self.stop = self.doc = np.zeros(0, np.int64)
+            self.h = self.b = self.key = np.zeros(0, np.uint64)
+            self.side = np.zeros(0, np.uint32)
+            return
+        n = len(words) - anchor + 1
+        i = np.arange(n)
+        anchors = W.ranges(self.sums, i, i + anchor)
+        least = W.sliding_argmin(anchors, window - anchor + 1)[at]
+        new = np.flatnonzero((np.diff(least, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        self.start, p = at[new], least[new]
+        self.stop = at[np.append(new[1:], len(at)) - 1] + window  # after the last word
+        self.doc = np.searchsorted(first, self.start, "right") - 1
+        self.h = anchors[p]
+        self.b = W.mix(W.ranges(W.prefix(words, 1), self.start, self.stop, 1) + W.mix((p - self.start).astype(np.uint64) + np.uint64(1)))
+        beside = (window - anchor) // 2
+        left, right = p - beside, p + anchor + beside
+        has_l, has_r = left >= first[self.doc], right <= first[self.doc + 1]
+        lh = W.ranges(self.sums, np.where(has_l, left, p), p) >> np.uint64(48) | np.uint64(1)
+        rh = W.ranges(self.sums, p + anchor, np.where(has_r, right, p + anchor)) >> np.uint64(48) | np.uint64(1)
+        self.side = (np.where(has_l, lh, 0).astype(np.uint32) << np.uint32(16)) | np.where(has_r, rh, 0).astype(np.uint32)
+        self.key = W.mix(self.h + W.mix(self.b))
+
+
+def least_of(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by keys and document; for each the number of its class, and the smallest document of the class."""
+    order = np.lexsort([doc, *reversed(keys)])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    cls = np.cumsum(new) - 1
+    return order, cls, doc[order][new]
+
+
+def shared(keys: list[np.ndarray]) -> np.ndarray:
+    """Whether another row has the same keys."""
+    order = np.lexsort(keys)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for k in keys:
+        k = k[order]
+        same &= k[1:] == k[:-1]
+    out = np.zeros(len(order), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def _marks(doc: np.ndarray, kind: int, key: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.full(len(doc), kind, np.int32)), pa.array(key.view(np.int64))], ["doc_id", "kind", "key"])
+
+
+def _parts(batch: pa.RecordBatch, blank: np.ndarray = W.BLANK_SPLIT) -> Iterator[tuple]:
+    """Chunks of rows that have doc_id: bytes, word starts, ends, first words, doc_ids, rows."""
+    batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+    buf, offsets = W.buffers(batch.column("text"))
+    ids = np.asarray(batch.column("doc_id")).astype(np.int64)
+    for i, j in W.chunks(offsets):
+        part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield part, *W.split(part, off, blank), ids[i:j], batch.slice(i, j - i)
+
+
+def _send(found: list[tuple], n: int) -> pa.RecordBatch:
+    """found: columns h, b, side, doc. One row of each class goes to the bucket of h; its other documents are settled here."""
+    h, b, side, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, cls, least = least_of([h, b], doc)
+    h, b, side, doc = h[order], b[order], side[order], doc[order]
+    head = np.diff(cls, prepend=-1) != 0
+    later = doc > least[cls]
+    vdoc, vkey = doc[later], W.mix(h[later] + W.mix(b[later]))
+    if len(vdoc):  # a document may repeat a block
+        o = np.lexsort([vkey, vdoc])
+        vdoc, vkey = vdoc[o], vkey[o]
+        once = (np.diff(vdoc, prepend=vdoc[0] - 1) != 0) | (np.diff(vkey, prepend=~vkey[:1]) != 0)
+        vdoc, vkey = vdoc[once], vkey[once]
+    a = pack((h[head] % np.uint64(n)).astype(np.int32), {"h": h[head], "b": b[head], "side": side[head], "doc": doc[head]})
+    v = pack((W.mix(vdoc.astype(np.uint64)) % np.uint64(n)).astype(np.int32), {"vdoc": vdoc, "vkey": vkey})
+    none = lambda m: pa.array([b""] * m, pa.binary())
+    rows = pa.Table.from_batches([
+        pa.RecordBatch.from_arrays([*a.columns, none(len(a)), none(len(a))], ["bucket", "h", "b", "side", "doc", "vdoc", "vkey"]),
+        pa.RecordBatch.from_arrays([v.column(0), *[none(len(v))] * 4, v.column(1), v.column(2)], ["bucket", "h", "b", "side", "doc", "vdoc", "vkey"]),
+    ])
+    return rows.combine_chunks().to_batches()[0] if len(rows) else pa.RecordBatch.from_pylist([], rows.schema)
+
+
+def _sender(n: int, of: Callable[[pa.RecordBatch], Iterator[tuple]]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for x in of(batch):
+                held.append(x)
+                size += len(x[0])
+                if size >= HOLD:
+                    yield _send(held, n)
+                    held, size = [], 0
+        if size:
+            yield _send(held, n)
+
+    return run
+
+
+def _compare(kind: int) -> Callable[[pa.Table], pa.Table]:
+    """In a bucket: sort, compare neighbours, tell each document what is repeated."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, b, side, doc = (unpack(table, c, t) for c, t in (("h", "<u8"), ("b", "<u8"), ("side", "<u4"), ("doc", "<i8")))
+        out = [_marks(unpack(table, "vdoc", "<i8"), kind, unpack(table, "vkey", "<u8"))]
+        if len(h):
+            order, cls, least = least_of([h, b], doc)
+            h, b, side, doc = h[order], b[order], side[order], doc[order]
+            key = W.mix(h + W.mix(b))
+            later = doc > least[cls]
+            out.append(_marks(doc[later], kind, key[later]))
+            if kind == WHOLE:
+                head = np.flatnonzero(np.diff(cls, prepend=-1) != 0)
+                hh, s = h[head], side[head]
+                many = shared([hh])  # an anchor with several blocks
+                head, hh, s = head[many], hh[many], s[many]
+                left, right = s >> np.uint32(16), s & np.uint32(0xFFFF)
+                agree = (shared([hh, left]) & (left > 0)) | (shared([hh, right]) & (right > 0))
+                at = head[agree]
+                out.append(_marks(doc[at], CHECK, key[at]))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _of_doc(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return key ^ W.mix(row.astype(np.uint64) + np.uint64(7))
+
+
+def _listed(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    """The keys of an array column, each bound to its row."""
+    column = rows.column(name)
+    n = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    flat = column.flatten()
+    return _of_doc(np.asarray(flat).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(n)), n))
+
+
+def _windows(blocks: Blocks, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, two hashes and block of each window of the chosen blocks."""
+    at = np.flatnonzero(which)
+    n = blocks.stop[at] - blocks.window + 1 - blocks.start[at]
+    block = np.repeat(at, n)
+    start = np.repeat(blocks.start[at] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n) + np.arange(n.sum())
+    end = start + blocks.window
+    return start, W.ranges(blocks.sums, start, end), W.ranges(W.prefix(blocks.words, 1), start, end, 1), block
+
+
+def find(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """docs (doc_id, text) with two array columns: whole (keys of repeated blocks) and single (keys of repeated windows)."""
+    n = buckets(docs)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for part, s, e, first, ids, _ in _parts(batch):
+            x = Blocks(W.hash_spans(part, s, e), first, window, anchor)
+            if len(x.start):
+                yield x.h, x.b, x.side, ids[x.doc]
+
+    def windows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for part, s, e, first, ids, rows in _parts(batch):
+            x = Blocks(W.hash_spans(part, s, e), first, window, anchor)
+            _, g, f, block = _windows(x, np.isin(_of_doc(x.key, x.doc), _listed(rows, "checks")))
+            if len(g):
+                yield g, f, np.zeros(len(g), np.uint32), ids[x.doc[block]]
+
+    sent = docs.mapInArrow(_sender(n, blocks_of), PACKED)
+    from .session import stage
+
+    marks = stage(by_bucket(sent, _compare(WHOLE), MARKS), "marks")
+    checks = marks.where(F.col("kind") == CHECK).groupBy("doc_id").agg(F.collect_list("key").alias("checks"))
+    asked = docs.join(checks.hint("shuffle_hash"), "doc_id").mapInArrow(_sender(n, windows_of), PACKED)
+    single = by_bucket(asked, _compare(WINDOW), MARKS)
+    both = marks.where(F.col("kind") == WHOLE).unionByName(single).groupBy("doc_id")
+    told = both.agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("key"))).alias(c) for k, c in ((WHOLE, "whole"), (WINDOW, "single"))))
+    return docs.join(told.hint("shuffle_hash"), "doc_id", "left")
+
+
+def covered(rows: pa.RecordBatch, part: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """For each word of a chunk, whether a repeated window covers it."""
+    out = np.zeros(len(s) + 1, np.int64)
+    whole, single = _listed(rows, "whole"), _listed(rows, "single")
+    if not len(whole) and not len(single):
+        return out[:-1] > 0
+    x = Blocks(W.hash_spans(part, s, e), first, window, anchor)
+    bound = _of_doc(x.key, x.doc)
+    full = np.isin(bound, whole)
+    np.add.at(out, x.start[full], 1)
+    np.add.at(out, x.stop[full], -1)
+    if len(single):
+        marked = np.zeros(len(first) - 1, bool)
+        n = np.asarray(pc.fill_null(pc.list_value_length(rows.column("single")), 0))
+        marked[n > 0] = True
+        start, g, f, block = _windows(x, ~full & marked[x.doc])
+        hit = np.isin(_of_doc(W.mix(g + W.mix(f)), x.doc[block]), single)
+        np.add.at(out, start[hit], 1)
+        np.add.at(out, start[hit] + window, -1)
+    return np.cumsum(out)[:-1] > 0
+
+
+def remove(docs: DataFrame, window: int, anchor: int, schema: str, result: Callable) -> DataFrame:
+    """Give result(doc_id, words, gone) of every document with doc_id, in Arrow batches. words: list of bytes; gone: bool array, or None if no word goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, s, e, first, ids, rows in _parts(batch):
+                marked = np.asarray(pc.or_(*(pc.greater(pc.fill_null(pc.list_value_length(rows.column(c)), 0), 0) for c in ("whole", "single"))))
+                gone = np.zeros(len(s), bool)
+                if marked.any():
+                    gone = covered(rows, part, s, e, first, window, anchor)
+                text = rows.column("text")
+                yield result(ids, (x.encode() if x else b"" for x in text.to_pylist()), first, gone)
+
+    return find(docs, window, anchor).mapInArrow(run, schema)
