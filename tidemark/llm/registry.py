@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
+from .jaccard_join import op10_jaccard_join
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
