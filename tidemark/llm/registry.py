@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
 from .jaccard_join import op10_jaccard_join
+from .language_id import op3_language_id
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
