@@ -10,6 +10,7 @@ from .decontaminate import op5_decontaminate
 from .html_extract import op8_html_extract
 from .jaccard_join import op10_jaccard_join
 from .language_id import op3_language_id
+from .media_chunks import op7_media_chunks
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op4_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op7_media_chunks": op7_media_chunks,
     "op8_html_extract": op8_html_extract,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
