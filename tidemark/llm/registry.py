@@ -13,6 +13,7 @@ from .language_id import op3_language_id
 from .media_chunks import op7_media_chunks
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .token_store import op6_token_store
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_store": op6_token_store,
     "op7_media_chunks": op7_media_chunks,
     "op8_html_extract": op8_html_extract,
     "op9_substring_dedup": op9_substring_dedup,
