@@ -11,12 +11,14 @@ from .html_extract import op8_html_extract
 from .jaccard_join import op10_jaccard_join
 from .language_id import op3_language_id
 from .media_chunks import op7_media_chunks
+from .sentence_pieces import op1_sentence_pieces
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .token_store import op6_token_store
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
