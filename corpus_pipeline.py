@@ -1,7 +1,74 @@
-"""Pipeline over documents."""
-STAGES = []
+"""Pipeline over `documents`: language ID, near-duplicate removal, substring dedup, decontamination, token ids.
+
+Each stage takes (spark, docs, sf_dir), docs being all that the stage before it
+kept, and all but the last return the columns of documents. What a stage
+returns is written as Parquet to the shared folder and read again as the next
+one's docs. Columns that hold other values after a stage: text and n_chars, where a stage
+cuts words. Rows that share a doc_id stay separate rows, but for the
+representative of a near-duplicate group: of these, the first by text stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.llm import decontaminate, jaccard_join, language_id, sentence_pieces, substring_dedup
+from tidemark.llm.session import stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language (null texts, texts without letters) go; the model learns from the rows that op3 learns from."""
+    docs = docs.select(*COLUMNS)
+    model = language_id.fit(language_id.held_out(docs).where("NOT held_out"))
+    return language_id.annotate(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links connect, the one with the least doc_id stays; documents without doc_id all stay."""
+    docs = docs.select(*COLUMNS)
+    kept = stage(jaccard_join.near(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.join(kept, "doc_id")
+    first = named.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(F.col(c) for c in COLUMNS[2:])))).where("r = 1")
+    return first.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 13-word windows that an earlier document has are cut; a document that loses all its words goes, and others keep their text as it is."""
+    return _counted(substring_dedup.clean(docs.select(*COLUMNS)))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; from the others, words that test items hold are cut."""
+    return _counted(decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip."""
+    return sentence_pieces.digest(docs, sentence_pieces.model())
+
+
+STAGES = [
+    ("language_id", identify),
+    ("jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_spans),
+    ("decontaminate", decontaminated),
+    ("sentence_pieces", tokenized),
+]
+
+#: Mixture shares, connected components and piece ids are not expressible in SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .exchange import buckets, by_bucket, pack, unpack
+from .session import stage
 
 HOLD = 1 << 21  #: blocks that a map task holds before it sends them
 
@@ -198,9 +199,8 @@ def _windows(blocks: Blocks, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def find(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (doc_id, text) with two array columns: whole (keys of repeated blocks) and single (keys of repeated windows)."""
+    """docs (doc_id, text, rest) with two array columns: whole (keys of repeated blocks) and single (keys of repeated windows)."""
     n = buckets(docs)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         for part, s, e, first, ids, _ in _parts(batch):
@@ -215,8 +215,7 @@ def find(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             if len(g):
                 yield g, f, np.zeros(len(g), np.uint32), ids[x.doc[block]]
 
-    sent = docs.mapInArrow(_sender(n, blocks_of), PACKED)
-    from .session import stage
+    sent = docs.select("doc_id", "text").mapInArrow(_sender(n, blocks_of), PACKED)
 
     marks = stage(by_bucket(sent, _compare(WHOLE), MARKS), "marks")
     checks = marks.where(F.col("kind") == CHECK).groupBy("doc_id").agg(F.collect_list("key").alias("checks"))
@@ -250,7 +249,7 @@ def covered(rows: pa.RecordBatch, part: np.ndarray, s: np.ndarray, e: np.ndarray
 
 
 def remove(docs: DataFrame, window: int, anchor: int, schema: str, result: Callable) -> DataFrame:
-    """Give result(doc_id, words, gone) of every document with doc_id, in Arrow batches. words: list of bytes; gone: bool array, or None if no word goes."""
+    """Give result(doc_ids, texts, first, gone, rows) of the documents with doc_id, in Arrow batches. docs: doc_id, text, rest; texts: bytes; first: first word of each text; gone: whether a word goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +259,6 @@ def remove(docs: DataFrame, window: int, anchor: int, schema: str, result: Calla
                 if marked.any():
                     gone = covered(rows, part, s, e, first, window, anchor)
                 text = rows.column("text")
-                yield result(ids, (x.encode() if x else b"" for x in text.to_pylist()), first, gone)
+                yield result(ids, (x.encode() if x else b"" for x in text.to_pylist()), first, gone, rows)
 
     return find(docs, window, anchor).mapInArrow(run, schema)

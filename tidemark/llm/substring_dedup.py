@@ -36,7 +36,7 @@ def kept(first: np.ndarray, gone: np.ndarray, texts) -> list[bytes]:
     return out
 
 
-def _digest(ids, texts, first, gone) -> pa.RecordBatch:
+def _digest(ids, texts, first, gone, rows) -> pa.RecordBatch:
     left = kept(first, gone, texts)
     removed = np.add.reduceat(np.append(gone, False), first[:-1]) * (np.diff(first) > 0) if len(first) > 1 else np.zeros(0)
     return pa.RecordBatch.from_arrays(
@@ -45,13 +45,19 @@ def _digest(ids, texts, first, gone) -> pa.RecordBatch:
     )
 
 
-def _texts(ids, texts, first, gone) -> pa.RecordBatch:
+def _rewritten(ids, texts, first, gone, rows) -> pa.RecordBatch:
+    texts = list(texts)
     left = kept(first, gone, texts)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.binary()).cast(pa.string()), pa.array(np.diff(first), pa.int64())], ["doc_id", "text", "n_words"])
+    sums = np.concatenate(([0], np.cumsum(gone)))
+    cut = sums[first[1:]] - sums[first[:-1]]
+    new = [x if n else t for x, t, n in zip(left, texts, cut.tolist(), strict=True)]
+    out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(new, pa.binary()).cast(pa.string()), rows.column("rest"), pa.array(cut, pa.int64())], ["doc_id", "text", "rest", "n_cut"])
+    return out.filter(pa.array((cut == 0) | (cut < np.diff(first))))
 
 
 def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document with doc_id; those without keep all words."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = repeats.remove(docs, window, anchor, "doc_id long, n_words long, n_removed long, kept_sha256 string", _digest)
     words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x != '')")
     loose = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), words.alias("w"))
@@ -59,8 +65,14 @@ def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
 
 
 def clean(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, text: kept words joined by one space, and n_words, the number of words before. Rows without doc_id are left out."""
-    return repeats.remove(docs, window, anchor, "doc_id long, text string, n_words long", _texts)
+    """The rows of docs, with their own columns. A text that loses words has its other words, joined by one space; a row that loses all its words goes; all else is as it was."""
+    rest = [f.name for f in docs.schema if f.name not in ("doc_id", "text")]
+    kinds = {f.name: f.dataType for f in docs.schema}
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(True).alias("__")).alias("rest"))
+    schema = f"doc_id long, text string, rest {packed.schema['rest'].dataType.simpleString()}, n_cut long"
+    out = repeats.remove(packed.where("doc_id IS NOT NULL"), window, anchor, schema, _rewritten)
+    out = out.select(*(F.col(c).cast(kinds[c]) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns))
+    return out.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def digest(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFra
 
 
 def clean(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, text without repeated passages, n_words before."""
+    """The rows of docs without repeated passages, as substring_dedup.clean gives them."""
     return substring_dedup.clean(docs, least, prefix)
 
 
