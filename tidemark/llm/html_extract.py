@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import stage
+
 SAMPLE = 8  #: pages of a host from which its wrapper is inferred
 TOKENS = 4000  #: tags of a sample page that are aligned; reading pages has no such bound
 
@@ -419,6 +421,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ids = pages.where("html IS NOT NULL AND html <> '' AND page_id IS NOT NULL").select("host", "page_id")
     for keys in ([F.col("host"), F.pmod(F.xxhash64("page_id", F.lit(1)), F.lit(64))], [F.col("host")]):  # a hot host is first cut down in 64 parts
         ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= sample).drop("r")
+    ids = stage(ids, "sample")  # written, so that Spark knows how small it is and moves no page
     chosen = pages.join(ids.withColumnRenamed("page_id", "i").withColumnRenamed("host", "h"), (F.col("page_id") == F.col("i")) & (F.col("host") == F.col("h"))).select("host", "page_id", "html")
 
     def learn(table: pa.Table) -> pa.Table:
@@ -426,7 +429,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
         path = infer(t.column("html").to_pylist())
         return pa.table({"host": t.column("host").slice(0, 1).cast(pa.string()), "path": pa.array([list(path or ())], pa.list_(pa.string()))})
 
-    wrappers = chosen.groupBy("host").applyInArrow(learn, "host string, path array<string>")
+    wrappers = stage(chosen.groupBy("host").applyInArrow(learn, "host string, path array<string>"), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
