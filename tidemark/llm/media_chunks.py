@@ -2,7 +2,7 @@
 
 A document's payload is its UTF-8 text (null: empty) with zero bytes up to a
 positive multiple of 64. A gear hash of the last 16 bytes cuts it into chunks
-of 256 to 8192 bytes, so an edit changes the chunks around it only.
+of 256 to 16384 bytes, so an edit changes the chunks around it only.
 
 1. `index`: for each document the digest of its payload and of its chunks.
 2. Chunk digests of distinct payloads meet in Spark: a digest that several
@@ -39,7 +39,7 @@ from .exchange import buckets
 from .session import stage
 
 UNIT = 64
-LEAST, MOST, BITS = 256, 8192, 10  #: bytes of a chunk at least and at most; a cut is at one position in 2**BITS
+LEAST, MOST, BITS = 256, 16384, 11  #: bytes of a chunk at least and at most; a cut is at one position in 2**BITS
 PACK = 4 << 20  #: bytes of payloads in one pack
 DIGEST = 16
 
@@ -136,7 +136,7 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([at, *batch.columns], ["bucket", *batch.schema.names])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held, size = zstandard.ZstdCompressor(level=3), {}, 0
+        press, held, size = zstandard.ZstdCompressor(level=9), {}, 0
 
         def flush() -> pa.RecordBatch:
             keys = list(held)
@@ -158,7 +158,7 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
             yield flush()
 
     def build(packed: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
-        press, unpress = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=12), zstandard.ZstdDecompressor()
         role: dict[bytes, dict[bytes, bool]] = {}
         for k, d, own in zip(*(known.column(c).to_pylist() for c in ("key", "digest", "own")), strict=True):
             role.setdefault(k, {})[d] = own
