@@ -27,13 +27,18 @@ def ids_of(texts, encoder=None):
 letters = st.text(st.sampled_from("abeehtinor ▁  \nèä'.,日本\U0001f600\x00٣1290=()"), max_size=60)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(st.one_of(letters, st.text(max_size=20), st.text(st.sampled_from("aeinrst "), max_size=80)), min_size=1, max_size=6))
 def test_ids_equal_the_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     assert ids_of(texts) == LIBRARY.encode(texts)
 
 
+def test_spaces_beside_their_own_sign():
+    texts = ["▁ ", " ▁", "▁▁ ▁a", "a ▁ b▁ c", "▁", " "]
+    assert ids_of(texts) == LIBRARY.encode(texts)
+
+
 def test_corpus_ids_equal_the_library():
     import pyarrow.parquet as pq
 

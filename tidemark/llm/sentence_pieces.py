@@ -98,6 +98,8 @@ class Vocabulary:
             for raw in {x.encode(), x.replace(SPACE, " ").encode()}:
                 b = np.frombuffer(raw, np.uint8)
                 self.joined[b[:-1], b[1:]] = True
+        if any(SPACE * 2 in x for x in texts):  # a space beside the character that stands for it
+            self.joined[0x81, 0x20] = self.joined[0x20, 0xE2] = True
         self.joined[:, 0x80:0xC0] = True  # never inside a character
         self.joined = self.joined.ravel()
         sizes = np.array([len(x) for x in self.surface])
@@ -288,12 +290,19 @@ def _ready(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return W.buffers(pc.if_else(pc.greater(pc.fill_null(pc.binary_length(text), 0), 0), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.fill_null(text, ""), pa.scalar(" ", pa.large_string())), pa.scalar("", pa.large_string())))
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, of which several copies are held."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _encoded(batch: pa.RecordBatch, name: str, shared) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, ids and their number by row."""
     if name not in _WORKER:
         _WORKER[name] = PieceEncoder(shared.value)
     buf, offsets = _ready(batch)
-    for i, j in W.chunks(offsets, 2 << 20):
+    for i, j in W.chunks(offsets):
         yield i, j, *_WORKER[name].ids(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
@@ -302,7 +311,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             for i, j, ids, size in _encoded(batch, path, shared):
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
@@ -331,7 +340,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             own, off = W.buffers(batch.column("text"))
             for i, j, ids, size in _encoded(batch, path, shared):
                 raw, n = shared.value.decode(ids.astype(np.int64), size)
