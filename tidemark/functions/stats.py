@@ -164,9 +164,9 @@ def deflated_sharpe(R: DataFrame, trials: int | None = None) -> dict:
 
 def pbo_blocks(R: DataFrame, blocks: int = 8) -> DataFrame:
     """trial, block, n, s, ss: sums of each block of time; the sample is cut at its start to whole blocks."""
-    size = R.agg((F.max("t") - F.min("t") + 1).alias("T"), F.max("t").alias("hi"))
-    x = R.crossJoin(F.broadcast(size)).withColumn("_n", F.floor(F.col("T") / blocks))
-    x = x.withColumn("block", (blocks - 1 - F.floor((F.col("hi") - F.col("t")) / F.col("_n"))).cast("int")).where("block >= 0")
+    size = R.agg((F.max("t") - F.min("t") + 1).alias("_span"), F.max("t").alias("_hi"))
+    x = R.crossJoin(F.broadcast(size)).withColumn("_n", F.floor(F.col("_span") / blocks))
+    x = x.withColumn("block", (blocks - 1 - F.floor((F.col("_hi") - F.col("t")) / F.col("_n"))).cast("int")).where("block >= 0")
     return x.groupBy("trial", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
 
 

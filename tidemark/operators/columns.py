@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-by_time = Window.partitionBy("ticker").orderBy("t")
-by_date = Window.partitionBy("t")
+def by_time():
+    return Window.partitionBy("ticker").orderBy("t")
+
+
+def by_date():
+    return Window.partitionBy("t")
 
 
 def col(x: str | Column) -> Column:
@@ -30,7 +34,7 @@ def finite(x: str | Column) -> Column:
 
 def back(n: int):
     """The last n rows of a security, this one included."""
-    return by_time.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg, x: str | Column, n: int, least: int | None = None) -> Column:
@@ -48,7 +52,7 @@ def rolling_median(x: str | Column, n: int, least: int | None = None) -> Column:
 
 
 def ffill(x: str | Column) -> Column:
-    return F.last(col(x), ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def pct_rank(x: str | Column, among: str | Column | None = None, partition: tuple[str, ...] = ("t",)) -> Column:

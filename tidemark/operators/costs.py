@@ -22,7 +22,7 @@ def roll_spread(df: DataFrame, price: str = "close", least: int = 30) -> DataFra
 
 def corwin_schultz(high: str = "high", low: str = "low") -> Column:
     """Spread from two bars' highs and lows, within 0 and 0.2."""
-    w = C.by_time
+    w = C.by_time()
     h0, l0 = F.lag(high).over(w), F.lag(low).over(w)
     one = F.ln(C.div(high, low))
     beta = one * one + F.ln(C.div(h0, l0)) * F.ln(C.div(h0, l0))

@@ -40,7 +40,7 @@ def fire_structure(df: DataFrame) -> DataFrame:
     by_name = f.groupBy("ticker").agg(F.count_if("fire").alias("k")).where("k > 0")
     top = by_name.withColumn("r", F.row_number().over(Window.orderBy(F.desc("k"), "ticker"))).agg(F.count("*").alias("names"), C.div(F.sum(F.when(F.col("r") <= 10, F.col("k"))), F.sum("k")).alias("top10"))
     run = C.run_length(f, "fire", "run").agg(F.max("run").alias("longest"))
-    day = f.withColumn("_p", F.coalesce(F.lag("fire").over(C.by_time), F.lit(False))).groupBy("t").agg(F.count_if("fire").alias("k"), F.count_if(F.col("fire") & F.col("_p")).alias("both"), F.count_if(F.col("fire") | F.col("_p")).alias("any"))
+    day = f.withColumn("_p", F.coalesce(F.lag("fire").over(C.by_time()), F.lit(False))).groupBy("t").agg(F.count_if("fire").alias("k"), F.count_if(F.col("fire") & F.col("_p")).alias("both"), F.count_if(F.col("fire") | F.col("_p")).alias("any"))
     days = day.agg(F.sum("k").alias("fires"), F.avg((F.col("k") > 0).cast("double")).alias("active"), F.avg(F.when((F.col("any") > 0) & (F.col("t") > 0), F.col("both") / F.col("any"))).alias("overlap"))
     return days.crossJoin(top).crossJoin(run)
 
@@ -48,7 +48,7 @@ def fire_structure(df: DataFrame) -> DataFrame:
 def decile_profile(df: DataFrame, bins: int = 10, in_bin: int = 3, pool: int = 30) -> DataFrame:
     """bin, excess_bp, days: mean over days of each bin's mean return less the pool's."""
     x = df.where(F.col("eligible") & F.col("fwd").isNotNull() & F.col("factor").isNotNull()).withColumn("_r", C.pct_rank("factor"))
-    x = x.withColumn("bin", F.least(F.floor(F.col("_r") * bins), F.lit(bins - 1)).cast("int")).withColumn("_m", F.avg("fwd").over(C.by_date)).withColumn("_n", F.count("*").over(C.by_date)).where(F.col("_n") >= pool)
+    x = x.withColumn("bin", F.least(F.floor(F.col("_r") * bins), F.lit(bins - 1)).cast("int")).withColumn("_m", F.avg("fwd").over(C.by_date())).withColumn("_n", F.count("*").over(C.by_date())).where(F.col("_n") >= pool)
     d = x.groupBy("t", "bin").agg(F.count("*").alias("k"), F.avg(F.col("fwd") - F.col("_m")).alias("e")).where(F.col("k") >= in_bin)
     return d.groupBy("bin").agg((F.avg("e") * 1e4).alias("excess_bp"), F.count("*").alias("days"))
 
@@ -117,12 +117,12 @@ def attribution(h: DataFrame, by: str) -> DataFrame:
 def brinson(df: DataFrame) -> DataFrame:
     """grp, allocation, selection, interaction of long-only weights h against benchmark weights b, from (t, grp, h, b, fwd1)."""
     g = df.groupBy("t", "grp").agg(F.sum("h").alias("wp"), F.sum("b").alias("wb"), F.sum(F.col("h") * F.col("fwd1")).alias("cp"), F.sum(F.col("b") * F.col("fwd1")).alias("cb"))
-    g = g.withColumn("rb", F.coalesce(C.div("cb", "wb"), F.lit(0.0))).withColumn("rp", F.coalesce(C.div("cp", "wp"), F.col("rb"))).withColumn("all", F.sum("cb").over(C.by_date))
+    g = g.withColumn("rb", F.coalesce(C.div("cb", "wb"), F.lit(0.0))).withColumn("rp", F.coalesce(C.div("cp", "wp"), F.col("rb"))).withColumn("all", F.sum("cb").over(C.by_date()))
     return g.groupBy("grp").agg(F.sum((F.col("wp") - F.col("wb")) * (F.col("rb") - F.col("all"))).alias("allocation"), F.sum(F.col("wb") * (F.col("rp") - F.col("rb"))).alias("selection"), F.sum((F.col("wp") - F.col("wb")) * (F.col("rp") - F.col("rb"))).alias("interaction"))
 
 
 def holdings_summary(h: DataFrame) -> DataFrame:
     """One row: mean names held, effective names, largest weight, turnover."""
-    w = C.by_time
+    w = C.by_time()
     d = h.withColumn("_d", F.abs(F.coalesce(F.col("h") - F.lag("h").over(w), F.lit(0.0)))).groupBy("t").agg(F.count_if(F.col("h") != 0).alias("k"), F.sum(F.col("h") * F.col("h")).alias("hhi"), F.max(F.abs("h")).alias("most"), (F.sum("_d") / 2).alias("turnover"))
     return d.agg(F.avg("k").alias("names"), F.avg(C.div(F.lit(1.0), "hhi")).alias("effective"), F.max("most").alias("largest"), F.avg("turnover").alias("turnover"))

@@ -22,9 +22,9 @@ def halt_runs(df: DataFrame) -> DataFrame:
 
 def tradability(df: DataFrame, limit: float | None = None, tol: float = 1e-3, max_gap: int = 60) -> DataFrame:
     """df with can_buy, can_sell: a price, volume (where known), no limit move against the side, no gap of over max_gap bars before."""
-    gap = C.run_length(df.withColumn("_n", F.col("close").isNull()), "_n", "_gap").withColumn("_g", F.lag("_gap").over(C.by_time))
+    gap = C.run_length(df.withColumn("_n", F.col("close").isNull()), "_n", "_gap").withColumn("_g", F.lag("_gap").over(C.by_time()))
     ok = F.col("close").isNotNull() & F.coalesce(F.col("volume") > 0, F.lit(True)) & (F.coalesce("_g", F.lit(0)) <= max_gap)
-    r = C.div("close", F.lag("close").over(C.by_time)) - 1
+    r = C.div("close", F.lag("close").over(C.by_time())) - 1
     up, down = (F.coalesce(r >= limit - tol, F.lit(False)), F.coalesce(r <= -limit + tol, F.lit(False))) if limit else (F.lit(False), F.lit(False))
     return gap.withColumn("can_buy", ok & ~up).withColumn("can_sell", ok & ~down).drop("_n", "_gap", "_g")
 
@@ -42,7 +42,7 @@ def suspensions(df: DataFrame, least: int = 3) -> DataFrame:
 
 def exec_masks(lag: int) -> dict[str, Column]:
     """can_buy, can_sell as read on the execution day; true past the end."""
-    return {c: F.lead(c, lag, True).over(C.by_time) for c in ("can_buy", "can_sell")}
+    return {c: F.lead(c, lag, True).over(C.by_time()) for c in ("can_buy", "can_sell")}
 
 
 def round_to_lots(w: str, price: str, capital: float, lot: float = 1.0) -> Column:
@@ -80,8 +80,8 @@ def realize(target: DataFrame, keys: tuple[str, ...] = (), cap_gross: bool = Fal
         out = np.empty_like(at)
         for t in range(len(at)):
             d = at[t] - h
-            d[(np.abs(d) < least_trade) | (d > 0) & ~b[t] | (d < 0) & ~s[t]] = 0
-            new = h + d
+            stay = (np.abs(d) < least_trade) | (d > 0) & ~b[t] | (d < 0) & ~s[t]
+            new = np.where(stay, h, at[t])
             most = np.abs(at[t]).sum()
             if cap_gross and np.abs(new).sum() > most:  # what adds to the gross value is scaled
                 add = np.where(np.abs(new) > np.abs(h), new - h, 0.0)

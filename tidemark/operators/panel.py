@@ -108,18 +108,18 @@ def clean_prices(df: DataFrame) -> DataFrame:
 
 def ret(n: int) -> Column:
     """n-row return without filling gaps."""
-    return C.div("close", F.lag("close", n).over(C.by_time)) - 1
+    return C.div("close", F.lag("close", n).over(C.by_time())) - 1
 
 
 def forward(p: Panel, h: int, delist_return: float | None = None, single: bool = True) -> DataFrame:
     """df with fwd: close(t + lag + h) / close(t + lag) - 1. After a flagged last bar the price stays at its value times 1 + delist_return."""
     df, price = p.df, F.col("close")
     if delist_return is not None and p.has("delist_after"):
-        gone = F.coalesce(F.max(F.col("delist_after").cast("int")).over(C.by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+        gone = F.coalesce(F.max(F.col("delist_after").cast("int")).over(C.by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
         df = df.withColumn("_px", F.when(gone, C.ffill("close") * (1 + delist_return)).otherwise(price))
     else:
         df = df.withColumn("_px", price)
-    a, b = F.lead("_px", p.entry_lag).over(C.by_time), F.lead("_px", p.entry_lag + h).over(C.by_time)
+    a, b = F.lead("_px", p.entry_lag).over(C.by_time()), F.lead("_px", p.entry_lag + h).over(C.by_time())
     fwd = C.div(b, a) - 1
     return df.withColumn("fwd", fwd.cast("float").cast("double") if single else fwd).drop("_px")
 
@@ -127,7 +127,7 @@ def forward(p: Panel, h: int, delist_return: float | None = None, single: bool =
 def compounded(p: Panel, h: int) -> DataFrame:
     """df with cum: one-bar returns of the h bars after entry, compounded with missing as 0; NULL where the sample ends before."""
     df = p.df.withColumn("_r", F.coalesce(ret(1), F.lit(0.0)))
-    w = C.by_time.rowsBetween(p.entry_lag + 1, p.entry_lag + h)
+    w = C.by_time().rowsBetween(p.entry_lag + 1, p.entry_lag + h)
     return df.withColumn("cum", F.when(F.count("_r").over(w) == h, F.product(1 + F.col("_r")).over(w) - 1)).drop("_r")
 
 

@@ -32,7 +32,7 @@ def tranche(w: str | Column, hold: int, t: str = "t") -> Column:
 
 def one_bar(p: Panel) -> DataFrame:
     """df with fwd1: the return of the bar after entry, missing as 0; 0 past the end."""
-    return p.df.withColumn("_r", ret(1)).withColumn("fwd1", F.coalesce(F.lead("_r", p.entry_lag + 1).over(C.by_time), F.lit(0.0))).drop("_r")
+    return p.df.withColumn("_r", ret(1)).withColumn("fwd1", F.coalesce(F.lead("_r", p.entry_lag + 1).over(C.by_time()), F.lit(0.0))).drop("_r")
 
 
 def holdings(p: Panel, factor: str, long_q: float, short_q: float | None, hold: int, weighting: str = "equal", df: DataFrame | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def holdings(p: Panel, factor: str, long_q: float, short_q: float | None, hold:
 
 def daily(p: Panel, held: DataFrame, cost_bp: float, cut: bool = True) -> DataFrame:
     """t, gross, cost, turnover, net. Each sleeve pays half the round trip for each unit traded; the first row is not charged; the last lag + 1 rows are cut."""
-    w = C.by_time
+    w = C.by_time()
     d = F.abs(F.coalesce(F.col("hl") - F.lag("hl").over(w), F.lit(0.0))) + F.abs(F.coalesce(F.col("hs") - F.lag("hs").over(w), F.lit(0.0)))
     out = held.withColumn("_d", d).groupBy("t", "date").agg(F.sum((F.col("hl") - F.col("hs")) * F.col("fwd1")).alias("gross"), F.sum("_d").alias("traded"))
     out = out.select("t", "date", "gross", (F.col("traded") * (cost_bp / 2 / 1e4)).alias("cost"), (F.col("traded") / 2).alias("turnover"))
@@ -68,7 +68,7 @@ def grid(p: Panel, factor: str, holds: tuple[int, ...], costs: tuple[float, ...]
     df = df.withColumn("_rank", C.pct_rank(factor, "eligible"))
     df = df.withColumn("_wl", C.weights(leg("_rank", factor, long_q, True))).withColumn("_ws", C.weights(leg("_rank", factor, short_q, False)) if short_q else F.lit(0.0))
     df = df.select("t", "ticker", "fwd1", *(tranche("_wl", k).alias(f"l{k}") for k in holds), *(tranche("_ws", k).alias(f"s{k}") for k in holds))
-    move = lambda c: F.abs(F.coalesce(F.col(c) - F.lag(c).over(C.by_time), F.lit(0.0)))
+    move = lambda c: F.abs(F.coalesce(F.col(c) - F.lag(c).over(C.by_time()), F.lit(0.0)))
     rows = df.select("t", "ticker", "fwd1", *(F.struct(F.lit(k).alias("hold"), ((F.col(f"l{k}") - F.col(f"s{k}")) * F.col("fwd1")).alias("g"), (move(f"l{k}") + move(f"s{k}")).alias("d")).alias(f"x{k}") for k in holds))
     rows = rows.select("t", F.explode(F.array(*(f"x{k}" for k in holds))).alias("x")).groupBy("x.hold", "t").agg(F.sum("x.g").alias("g"), F.sum("x.d").alias("d"))
     end = df.agg(F.max("t").alias("_end"))
@@ -79,7 +79,7 @@ def grid(p: Panel, factor: str, holds: tuple[int, ...], costs: tuple[float, ...]
 def backtest_weights(p: Panel, weights: DataFrame, cost_bp: float = 10.0) -> DataFrame:
     """t, gross, cost, net of given weights (date, ticker, w), on the net trade."""
     h = one_bar(p).join(weights, ["date", "ticker"], "left").withColumn("h", F.coalesce("w", F.lit(0.0)))
-    d = F.abs(F.coalesce(F.col("h") - F.lag("h").over(C.by_time), F.lit(0.0)))
+    d = F.abs(F.coalesce(F.col("h") - F.lag("h").over(C.by_time()), F.lit(0.0)))
     out = h.withColumn("_d", d).groupBy("t", "date").agg(F.sum(F.col("h") * F.col("fwd1")).alias("gross"), (F.sum("_d") * (cost_bp / 2e4)).alias("cost"))
     out = out.withColumn("_end", F.max("t").over(Window.partitionBy())).where(F.col("t") < F.col("_end") - p.entry_lag).drop("_end")
     return out.withColumn("net", F.col("gross") - F.col("cost"))
@@ -93,7 +93,7 @@ def benchmark(df: DataFrame, kind: str = "equal") -> DataFrame:
 
 def event_weights(fire: str, hold: int) -> Column:
     """Each day's fires share 1 / hold; lots add up over hold rows."""
-    share = C.div(F.when(F.col(fire), 1.0).otherwise(0.0), F.sum(F.when(F.col(fire), 1.0).otherwise(0.0)).over(C.by_date)) / hold
+    share = C.div(F.when(F.col(fire), 1.0).otherwise(0.0), F.sum(F.when(F.col(fire), 1.0).otherwise(0.0)).over(C.by_date())) / hold
     return share
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from . import columns as C
 from .panel import Panel, ret
 
-_value = F.col("close") * F.col("volume")
+def _value() -> Column:
+    return F.col("close") * F.col("volume")
 
 
 def momentum(lookback: int, skip: int) -> Column:
-    return C.div(F.lag("close", skip).over(C.by_time), F.lag("close", lookback).over(C.by_time)) - 1
+    return C.div(F.lag("close", skip).over(C.by_time()), F.lag("close", lookback).over(C.by_time())) - 1
 
 
 def reversal(lookback: int = 5) -> Column:
@@ -31,7 +32,7 @@ def size() -> Column:
 
 
 def illiquidity(window: int = 30) -> Column:
-    return -C.rolling(F.avg, _value, window)
+    return -C.rolling(F.avg, _value(), window)
 
 
 def volume_shock(short: int = 5, window: int = 60) -> Column:
@@ -62,7 +63,7 @@ def controls(p: Panel) -> DataFrame:
     if p.has("mkt_cap"):
         raw["logsize"] = F.when(F.col("mkt_cap") > 0, F.ln("mkt_cap"))
         if p.has("volume"):
-            raw["turnover"] = C.div(C.rolling(F.avg, _value, 21), "mkt_cap")
+            raw["turnover"] = C.div(C.rolling(F.avg, _value(), 21), "mkt_cap")
     raw |= {c: F.col(c) for c in p.df.columns if c.startswith("char_")}
     df = df.select("*", *(v.alias(f"_{k}") for k, v in raw.items()))
     return df.select(*(c for c in df.columns if c[1:] not in raw), *(C.xs_norm(f"_{k}", "eligible").alias(f"c_{k}") for k in raw))
