@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .session import small_batches
 
 WINDOW = 13
 SHARD_WORDS = 400_000  #: words of test items in one automaton
@@ -206,7 +207,7 @@ def _counts(first: np.ndarray, hit: np.ndarray) -> np.ndarray:
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    machines = automata(docs.sparkSession, benchmark, window, shard_words)
+    machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
@@ -227,7 +228,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of docs, and spans (array of [start, stop) word numbers that are hit), items (array of item_ids), hit_words, all_words."""
-    machines = automata(docs.sparkSession, benchmark, window, shard_words)
+    machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +252,7 @@ def _with(docs: DataFrame, more: str) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without the contaminated rows (coverage limit); from the others, hit spans are cut. Texts without hits stay as they are."""
-    machines = automata(docs.sparkSession, benchmark, window, shard_words)
+    machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .session import stage
+from .session import small_batches, stage
 
 SAMPLE = 8  #: pages of a host from which its wrapper is inferred
 TOKENS = 4000  #: tags of a sample page that are aligned; reading pages has no such bound
@@ -416,7 +416,7 @@ def host(url) -> F.Column:
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html)."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host(F.col("url")))
+    pages = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host(F.col("url")))
     order = [F.xxhash64("page_id"), F.col("page_id")]
     ids = pages.where("html IS NOT NULL AND html <> '' AND page_id IS NOT NULL").select("host", "page_id")
     for keys in ([F.col("host"), F.pmod(F.xxhash64("page_id", F.lit(1)), F.lit(64))], [F.col("host")]):  # a hot host is first cut down in 64 parts

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .session import small_batches
 
 GRAMS = 4096  #: hashed trigrams
 ROWS = 64  #: documents whose counts are held as one matrix
@@ -135,7 +136,7 @@ def fit(train: DataFrame) -> Model:
             gram = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int32()), pa.array(c[gram], pa.int64())], ["lang", "gram", "n"])
 
-    rows = train.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    rows = small_batches(train).where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     table = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
@@ -158,7 +159,7 @@ def _predicted(batch: pa.RecordBatch, model: Model) -> list[pa.Array]:
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +171,7 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
 
 def mixtures(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the language set with its shares: langs array<struct<lang, share>>, largest share first."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

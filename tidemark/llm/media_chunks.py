@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .exchange import buckets
-from .session import stage
+from .session import small_batches, stage
 
 UNIT = 64
 LEAST, MOST, BITS = 256, 16384, 11  #: bytes of a chunk at least and at most; a cut is at one position in 2**BITS
@@ -289,7 +289,7 @@ def rebuild(media: DataFrame) -> DataFrame:
 
 def columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row, from the store as read back."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     listed = stage(index(docs), "index")
     media = stage(store(docs, listed), "media", compression="none")
     return listed.select("doc_id", "n_bytes", "key").join(rebuild(media), "key").select("doc_id", "n_bytes", *_NAMES[1:])

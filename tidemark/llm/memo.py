@@ -6,8 +6,8 @@ import numpy as np
 
 from . import words as W
 
-REMEMBER = 1_000_000  #: pieces whose ids a worker keeps
-SLOTS = 21  #: bits of the table that finds most pieces without sorting them
+REMEMBER = 400_000  #: pieces whose ids a worker keeps
+SLOTS = 20  #: bits of the table that finds most pieces without sorting them
 
 
 class Memo:

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .exchange import buckets, by_bucket, pack, unpack
-from .session import stage
+from .session import small_batches, stage
 
-HOLD = 1 << 21  #: blocks that a map task holds before it sends them
+HOLD = 1 << 19  #: blocks that a map task holds before it sends them
 
 PACKED = "bucket int, h binary, b binary, side binary, doc binary, vdoc binary, vkey binary"
 MARKS = "doc_id long, kind int, key long"
@@ -103,7 +103,8 @@ def _marks(doc: np.ndarray, kind: int, key: np.ndarray) -> pa.RecordBatch:
 
 def _parts(batch: pa.RecordBatch, blank: np.ndarray = W.BLANK_SPLIT) -> Iterator[tuple]:
     """Chunks of rows that have doc_id: bytes, word starts, ends, first words, doc_ids, rows."""
-    batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+    if batch.column("doc_id").null_count:
+        batch = batch.filter(pc.is_valid(batch.column("doc_id")))
     buf, offsets = W.buffers(batch.column("text"))
     ids = np.asarray(batch.column("doc_id")).astype(np.int64)
     for i, j in W.chunks(offsets):
@@ -200,7 +201,7 @@ def _windows(blocks: Blocks, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def find(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """docs (doc_id, text, rest) with two array columns: whole (keys of repeated blocks) and single (keys of repeated windows)."""
-    n = buckets(docs)
+    n = buckets(small_batches(docs))
 
     def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         for part, s, e, first, ids, _ in _parts(batch):

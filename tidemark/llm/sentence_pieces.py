@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .memo import Memo
+from .session import small_batches
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
@@ -308,7 +309,7 @@ def _encoded(batch: pa.RecordBatch, name: str, shared) -> Iterator[tuple[int, in
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -321,7 +322,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(frame: DataFrame, path: str) -> DataFrame:
     """doc_id and text of every row of frame (doc_id, ids). Null ids are empty; bytes that are no UTF-8 become U+FFFD; ids that the model lacks raise."""
-    shared = frame.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = small_batches(frame).sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +338,7 @@ def decode(frame: DataFrame, path: str) -> DataFrame:
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip (the decoded text is the text) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):

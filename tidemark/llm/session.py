@@ -25,5 +25,13 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(frame: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame; its session sends texts to Python in batches of at most `rows` rows, where it still has Spark's default for short rows."""
+    spark, key = frame.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+    return frame
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .session import partitions, stage
+from .session import partitions, small_batches, stage
 
 END = 0  #: the id after each document
 SEGMENT = 1 << 20  #: ids in a segment, but for a longer document
@@ -240,7 +240,7 @@ _SEGMENT = "shard int, segment int, n_docs int, n_ids long, width int, doc_ids b
 
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Encode docs (doc_id, text) and write the store to the shared folder. Gives the written table."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spread = docs.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

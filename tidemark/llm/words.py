@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 17  #: bytes hashed at a time; the tables stay in a core's cache
 LONG = 1 << 20  #: a word of more bytes is hashed by blake2b
-CHUNK = 4 << 20  #: bytes of text handled at a time
+CHUNK = 1 << 20  #: bytes of text handled at a time
 
 #: [^\x20\x09-\x0D]
 BLANK_SPLIT = np.ones(256, bool)
@@ -34,6 +34,22 @@ _STEP, _WORD_STEPS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _lean() -> None:
+    """Give freed memory back to the system, so that a worker that many stages use stays small."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+_lean()
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
