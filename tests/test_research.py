@@ -22,7 +22,7 @@ def test_timing(p):
 
 
 def test_screen_finds_a_planted_factor(p):
-    planted = F.lead("ret1", 3).over(C.by_time())
+    planted = F.lead("close", 5).over(C.by_time())
     out = research.screen(p, {"planted": planted, "noise": F.pmod(F.xxhash64("t", "ticker"), F.lit(1000)).cast("double")}, n_null=5)
     rows = {r["factor"]: r for r in out.tables["summary"]}
     assert rows["planted"]["ic"] > 0.2 and rows["planted"]["null_p95"] > 0

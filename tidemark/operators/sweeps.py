@@ -77,7 +77,7 @@ def inject_delistings(p: Panel, annual_rate: float, hazard: str = "uniform", see
     y = y.withColumn("_k", -F.ln(unit(0)) / w)
     rank = F.row_number().over(Window.partitionBy("_y").orderBy("_k", "ticker"))
     n = F.count("*").over(Window.partitionBy("_y"))
-    hit = y.withColumn("_o", rank).where(F.col("_o") <= F.round(n * annual_rate)).withColumn("_end", (F.col("_a") + F.floor((F.col("_b") - F.col("_a") + 1) * unit(1))).cast("int"))
+    hit = y.withColumn("_o", rank).withColumn("_n", n).where(F.col("_o") <= F.round(F.col("_n") * annual_rate)).withColumn("_end", (F.col("_a") + F.floor((F.col("_b") - F.col("_a") + 1) * unit(1))).cast("int"))
     hit = hit.groupBy("ticker").agg(F.min("_end").alias("_end"))
     out = p.df.join(hit, "ticker", "left")
     after = F.coalesce(F.col("t") > F.col("_end"), F.lit(False))
