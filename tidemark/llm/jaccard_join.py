@@ -11,10 +11,11 @@ Documents with the same prefix and size are one group; groups meet by prefix
 shingle, pairs of groups with fitting sizes are expanded to members and
 verified on whole texts.
 
-Links inside a large group of near copies are not all listed: each group, and
-each shingle's list of groups, is first verified against its smallest member;
-then only pairs between different components are formed, until none is left.
-No link between components is lost, so the components are exact.
+Links inside a large group of near copies are not all listed. Each group and
+each shingle's list is first verified against its most central members (whose
+shingles are the most frequent), in a few rounds that grow with the length of
+the list alone; then all pairs that are still in different components are
+verified. No link between components is lost, so the components are exact.
 
 Shingles are compared by 64-bit hashes. Null, empty and blank texts have no
 shingles and link with nothing; rows without doc_id are left out of the joins
@@ -30,17 +31,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
 from .exchange import buckets, by_bucket, pack, unpack
-from .session import stage
+from .session import small_batches, stage
 
 SIZE, NUMERATOR, DENOMINATOR = 4, 85, 100
 _SAMPLE = np.uint64((1 << 64) // 5)
 _SMALL = 100  #: sets below this size are judged by all their shingles
-_HOLD = 1 << 21
+_HOLD = 1 << 19
+SKETCH = 1024  #: bits of a set's odd sketch
+ROUNDS = (4, 16)  #: central members of each list that are tried before all pairs are
 
 
 class Rule:
@@ -106,6 +110,7 @@ def _shared_counts(frame: DataFrame, rule: Rule, cut, short: bool) -> DataFrame:
     only count too many.
     """
     n = buckets(frame)
+    few = max(1, n // 8)  # counts are small: fewer buckets, and so fewer blocks from each
     names = ["bucket", "token", "owner", "known", "count"]
 
     def flush(tokens: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +144,30 @@ def _shared_counts(frame: DataFrame, rule: Rule, cut, short: bool) -> DataFrame:
         _, owner, many = _tally(unpack(table, "token", "<u4" if short else "<u8"), unpack(table, "owner", "<i8"))
         ids, k = np.unique(owner[(many > 1) & (owner != 0)], return_counts=True)
         ids, k = np.concatenate((ids, unpack(table, "known", "<i8"))), np.concatenate((k, unpack(table, "count", "<i8")))
-        return pa.table({"v": pa.array(ids, pa.int64()), "n": pa.array(k, pa.int64())})
+        return pa.Table.from_batches([pack((W.mix(ids.view(np.uint64)) % np.uint64(few)).astype(np.int32), {"v": ids, "n": k.astype(np.int64)})])
+
+    def total(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(unpack(table, "v", "<i8"), return_inverse=True)
+        return pa.table({"v": pa.array(ids), "shared": pa.array(np.bincount(at, unpack(table, "n", "<i8"), len(ids)).astype(np.int64))})
 
     sent = frame.mapInArrow(send, "bucket int, token binary, owner binary, known binary, count binary")
-    return by_bucket(sent, count, "v long, n long").groupBy("v").agg(F.sum("n").alias("shared"))
+    return by_bucket(by_bucket(sent, count, "bucket int, v binary, n binary"), total, "v long, shared long")
+
+
+def _odd(token: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """For each set, SKETCH bits: whether an odd number of its tokens falls on the bit. Two sets differ in at least as many tokens as their sketches in bits."""
+    bit, out = (W.mix(token ^ np.uint64(0x5DEECE66D)) % np.uint64(SKETCH)).astype(np.int64), []
+    for a in range(0, len(start), 1024):
+        n = length[a : a + 1024]
+        part = bit[start[a] : start[a] + n.sum()]
+        count = np.bincount(np.repeat(np.arange(len(n)), n) * SKETCH + part, minlength=len(n) * SKETCH)
+        out.append(np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64))
+    flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCH // 64), pa.int32()), pa.array(flat))
 
 
 def _prefixes(kept: DataFrame, rule: Rule) -> DataFrame:
-    """(token, v, n, g): the rare-first prefix of each set, without tokens that no other has; g: a hash of its whole prefix and size."""
+    """(token, v, n, g, q, o): the rare-first prefix of each set, without tokens that no other has; g: a hash of its whole prefix and size; q: how many sets hold its tokens, on average; o: its odd sketch."""
     n = buckets(kept)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +180,7 @@ def _prefixes(kept: DataFrame, rule: Rule) -> DataFrame:
     def frequency(table: pa.Table) -> pa.Table:
         token, v, size = unpack(table, "token", "<u8"), unpack(table, "v", "<i8"), unpack(table, "size", "<i4")
         _, at, count = np.unique(token, return_inverse=True, return_counts=True)
-        return pa.Table.from_batches([pack((W.mix(v.view(np.uint64)) % np.uint64(n)).astype(np.int32), {"token": token, "v": v, "size": size, "df": count[at].astype(np.int32)})])
+        return pa.Table.from_batches([pack((W.mix(v.view(np.uint64)) % np.uint64(max(1, n // 4))).astype(np.int32), {"token": token, "v": v, "size": size, "df": count[at].astype(np.int32)})])
 
     def choose(table: pa.Table) -> pa.Table:
         token, v, size, df = (unpack(table, c, k) for c, k in (("token", "<u8"), ("v", "<i8"), ("size", "<i4"), ("df", "<i4")))
@@ -169,13 +190,15 @@ def _prefixes(kept: DataFrame, rule: Rule) -> DataFrame:
         length = np.diff(np.append(start, len(v)))
         take = np.arange(len(v)) - np.repeat(start, length) < size - rule.overlap(size) + 1
         whole = np.add.reduceat(np.where(take, W.mix(token + np.uint64(11)), np.uint64(0)), start) if len(start) else np.zeros(0, np.uint64)
+        cls = np.repeat(np.arange(len(start)), length)
         g = np.repeat(W.mix(whole + size[start].view(np.uint64)), length)
+        q = np.repeat(np.add.reduceat(df.astype(np.float64), start) / length, length) if len(start) else np.zeros(0)
         take &= df > 1
-        return pa.table({"token": pa.array(token[take].view(np.int64)), "v": pa.array(v[take]), "n": pa.array(size[take]), "g": pa.array(g[take].view(np.int64))})
+        return pa.table({"token": pa.array(token[take].view(np.int64)), "v": pa.array(v[take]), "n": pa.array(size[take]), "g": pa.array(g[take].view(np.int64)), "q": pa.array(q[take]), "o": _odd(token, start, length).take(pa.array(cls[take]))})
 
     sent = kept.mapInArrow(send, "bucket int, token binary, v binary, size binary")
     back = by_bucket(sent, frequency, "bucket int, token binary, v binary, size binary, df binary")
-    return by_bucket(back, choose, "token long, v long, n long, g long")
+    return by_bucket(back, choose, "token long, v long, n long, g long, q double, o array<long>")
 
 
 def verify(pairs: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
@@ -194,33 +217,60 @@ def verify(pairs: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _pivots(lists: DataFrame) -> DataFrame:
-    """(a, b): the least of each group with each of its members; the least of each prefix shingle with the least of each group there."""
-    groups = lists.groupBy("g").agg(F.min("v").alias("lead"))
-    inside = lists.select("g", "v").distinct().join(groups, "g").select("lead", "v")
-    heads = lists.groupBy("token", "g").agg(F.min("v").alias("v"))
-    lists_ = heads.groupBy("token").agg(F.min("v").alias("lead"))
-    between = heads.join(lists_, "token").select("lead", "v")
-    return inside.union(between).where("lead <> v").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct()
+def _fits(rule: Rule):
+    """Whether (nx, ox) and (ny, oy) may link: sizes fit, and the sketches do not differ in more bits than linked sets differ in tokens."""
+    differ = sum((F.bit_count(F.col("ox")[i].bitwiseXOR(F.col("oy")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    n = F.col("nx") + F.col("ny")
+    sizes = F.lit(rule.den) * F.least("nx", "ny") >= F.lit(rule.num) * F.greatest("nx", "ny")
+    # den * both >= num * (n - both), and differ <= n - 2 * both
+    return sizes & (F.lit(rule.num + rule.den) * (n - differ) >= F.lit(2 * rule.num) * n)
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix lists whose members are in several components: token, c, v, n, q, o."""
+    at = lists.select("token", "v", "n", "q", "o")
+    at = at.withColumn("c", F.col("v")) if labels is None else at.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    several = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    return at.join(several, "token")
+
+
+def _meet(one: DataFrame, mixed: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of rows of one and of mixed in the same list and in different components that may link."""
+    x = one.select("token", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("o").alias("ox"))
+    y = mixed.select("token", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("o").alias("oy"))
+    return y.join(x, (x["token"] == y["token"]) & (F.col("cx") != F.col("cy")) & _fits(rule)).select(*_pair("x", "y")).distinct()
+
+
+def _central(mixed: DataFrame, rule: Rule, k: int) -> DataFrame:
+    """Pairs of the k most central members of each list with its members in other components."""
+    best = mixed
+    for keys in ([F.col("token"), F.pmod("v", F.lit(32))], [F.col("token")]):  # a long list is first cut down in 32 parts
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), "v"))).where(F.col("r") <= k).drop("r")
+    return _meet(best, mixed, rule)
+
+
+def _cross(mixed: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs of members of a list that are in different components and may link: those outside its largest component with all others."""
+    size = mixed.groupBy("token", "c").agg(F.count("*").alias("k"))
+    main = size.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    return _meet(mixed.join(main, "token").where("c <> main"), mixed, rule)
 
 
-def _cross(lists: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of members of a prefix shingle's list that are in different components and fit in size."""
-    at = lists.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    at = stage(at.join(mixed, "token").select("token", "c", "v", "n"), "mixed")
-    sides = at.select("token", "c").distinct()
-    combos = sides.select("token", F.col("c").alias("ca")).join(sides.select("token", F.col("c").alias("cb")), "token").where("ca < cb")
-    a = at.select("token", F.col("c").alias("ca"), F.col("v").alias("x"), F.col("n").alias("nx"))
-    b = at.select("token", F.col("c").alias("cb"), F.col("v").alias("y"), F.col("n").alias("ny"))
-    fits = F.lit(rule.den) * F.least("nx", "ny") >= F.lit(rule.num) * F.greatest("nx", "ny")
-    return combos.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _groups(lists: DataFrame) -> DataFrame:
+    """Pairs of the most central member of each group with its other members."""
+    one = lists.groupBy("v").agg(F.first("g").alias("g"), F.first("q").alias("q"))
+    lead = one.groupBy("g").agg(F.max_by("v", F.struct("q", "v")).alias("x"))
+    return one.join(lead, "g").where("x <> v").select(*_pair("x", "v"))
 
 
 def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rule = Rule(size, num, den)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     reach = -(-_SMALL * den // num)
     cut = lambda x: x if len(x) < reach else x[: np.searchsorted(x, _SAMPLE)]
 
@@ -253,10 +303,20 @@ def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
     kept = stage(maybe.join(fair, "v"), "kept")
 
     lists = stage(_prefixes(kept, rule), "lists")
-    links = stage(verify(_pivots(lists), kept, rule), "links")
+    tried = stage(_groups(lists).union(_central(_mixed(lists, None), rule, 1)).distinct(), "pairs")
+    links = stage(verify(tried, kept, rule), "links")
     labels = components(links)
-    more = stage(verify(_cross(lists, labels, rule), kept, rule), "links")
-    labels = components(links.union(more))
+    for k in (*ROUNDS, None):
+        mixed = stage(_mixed(lists, labels), "mixed")
+        if mixed.isEmpty():
+            break
+        new = _central(mixed, rule, k) if k else _cross(mixed, rule)
+        new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stage(verify(new, kept, rule), "links")
+        tried = tried.union(new)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
     member = one.select("v", "rep").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = member.join(least, "c").select("v", "component_id")
