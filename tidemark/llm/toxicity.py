@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .session import small_batches
 
 BITS = 18
-TRAIN_ROWS = 4000  #: labelled documents of each class that are learned from, at most
+TRAIN_ROWS = 2500  #: labelled documents of each class that are learned from, at most
 STEMS = (4, 5)  #: bytes of a word's beginning that are features too
 LEAST_DOCS, LEAST_Z = 8, 6.0  #: training documents that hold a feature, and its z-score between the classes, for it to get a weight
 STEPS, RATE, RIDGE = 120, 0.15, 1e-2
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
                     lo, hi = int(head[a]), int(head[b]) if b < len(head) else len(h)
                     yield pa.RecordBatch.from_arrays([pa.array([int(y[at + row[a]])], pa.int32()), pa.array([h[lo:hi].astype("<i4").tobytes()], pa.binary()), pa.array([length[a:b].astype("<i4").tobytes()], pa.binary())], ["y", "words", "sizes"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("text", "y").mapInArrow(words, "y int, words binary, sizes binary").toArrow()
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("text", "y").mapInArrow(words, "y int, words binary, sizes binary").toArrow()
     label = np.asarray(rows.column("y")).astype(np.float64)
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(1 << BITS), -1e9)
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, start, stop (bytes of the UTF-8 text), probability and text of each sentence of at least that probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
