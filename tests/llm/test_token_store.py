@@ -60,12 +60,12 @@ def test_pieces_are_exact(texts):
     assert flat.tolist() == [i for x in want for i in x] and size.tolist() == [len(x) for x in want]
 
 
-def test_small_memory_gives_the_same(monkeypatch):
+def test_small_memory_gives_the_same():
     texts = pa.array([f"w{i} v{i % 7} é" for i in range(300)])
     whole = S.Encoder(PATH).ids(*W.buffers(texts))
     for n in (3, 100, 450):
-        monkeypatch.setattr(S, "REMEMBER", n)
         small = S.Encoder(PATH)
+        small.remember = n
         for _ in range(2):
             got = small.ids(*W.buffers(texts))
             assert all((a == b).all() for a, b in zip(whole, got, strict=True))

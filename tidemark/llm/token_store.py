@@ -31,12 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .memo import Memo
 from .session import partitions, small_batches, stage
 
 END = 0  #: the id after each document
 SEGMENT = 1 << 20  #: ids in a segment, but for a longer document
-REMEMBER = 1_000_000  #: pieces whose ids a worker keeps
-SLOTS = 21  #: bits of the table that finds most pieces without sorting them
 SAMPLE = 64
 
 # --- Elias-Fano -------------------------------------------------------------
@@ -134,8 +133,10 @@ def pieces(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-class Encoder:
-    """Ids of texts by a tokenizers file."""
+class Encoder(Memo):
+    """Ids of texts by a tokenizers file, END after each."""
+
+    end = END
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,80 +148,23 @@ class Encoder:
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[int, int] = {}
-        self.keys, self.index = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64)
-        self.offset, self.flat = np.zeros(1, np.int64), np.zeros(0, self.kind)
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        if len(self.number) + len(hashes) > REMEMBER:
-            self.forget()
-        base = len(self.number)
-        plain = [i for i, t in enumerate(texts) if (t[1:] if t[0] == " " else t).split() == [t[1:] if t[0] == " " else t]]
-        sizes, parts = np.zeros(len(texts), np.int64), {}
+    def cut(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return pieces(buf, offsets)
+
+    def encoded(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        bare = [t[1:] if t[0] == " " else t for t in texts]
+        plain = [i for i, t in enumerate(bare) if t.split() == [t]]
+        rest = sorted(set(range(len(texts))) - set(plain))
+        sizes, parts = [], []
         for k in range(0, len(plain), 4096):  # a line break between pieces without one is an id of its own
-            some = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join([texts[i] for i in some]), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode("\n".join([texts[i] for i in plain[k : k + 4096]]), add_special_tokens=False).ids, self.kind)
             cut = np.flatnonzero(ids == self.line_break)
-            sizes[some] = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
-            parts[k] = ids[ids != self.line_break]
-        order = plain
-        if len(plain) < len(texts):
-            rest = sorted(set(range(len(texts))) - set(plain))
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
-            sizes[rest] = [len(x) for x in found]
-            parts[len(texts)] = np.array([i for x in found for i in x], self.kind)
-            order = plain + rest
-        self.number.update(zip([hashes[i] for i in order], range(base, base + len(order)), strict=True))
-        self.offset = np.concatenate((self.offset, self.offset[-1] + np.cumsum(sizes[order])))
-        self.flat = np.concatenate((self.flat, *parts.values()))
-
-    def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a chunk, each with END, and how many each text has."""
-        start = pieces(buf, offsets)
-        n = len(offsets) - 1
-        if not len(start):
-            return np.full(n, END, self.kind), np.ones(n, np.int64)
-        stop = np.append(start[1:], len(buf))
-        h = W.hash_spans(buf, start, stop)
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        at = self.index[slot]
-        miss = np.flatnonzero(self.keys[slot] != h)
-        if len(miss):
-            known, place, which = np.unique(h[miss], return_index=True, return_inverse=True)
-            place = miss[place]
-            keys, get = known.tolist(), self.number.get
-            new = [i for i, k in enumerate(keys) if get(k) is None]
-            if new:
-                raw = buf.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(start[place[new]].tolist(), stop[place[new]].tolist(), strict=True)]
-                before = len(self.number)
-                self._learn([keys[i] for i in new], texts)
-                if len(self.number) != before + len(new):  # the memory was emptied
-                    return self._again(buf, offsets)
-            found = np.array([self.number[k] for k in keys])
-            self.keys[slot[place]], self.index[slot[place]] = known, found
-            at[miss] = found[which]
-        a, size = self.offset[at], self.offset[at + 1] - self.offset[at]
-        row = np.searchsorted(offsets, start, "right") - 1
-        edge = np.cumsum(size) - size
-        total = int(size.sum())
-        take = np.repeat(a - edge, size) + np.arange(total)
-        out = np.full(total + n, END, self.kind)
-        out[np.arange(total) + np.repeat(row, size)] = self.flat[take]
-        return out, np.bincount(row, size, n).astype(np.int64) + 1
-
-    def _again(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = pieces(buf, offsets)
-        h = np.unique(W.hash_spans(buf, start, np.append(start[1:], len(buf))))
-        if len(h) <= REMEMBER:
-            missing = [k for k in h.tolist() if k not in self.number]
-            if len(self.number) + len(missing) > REMEMBER:
-                self.forget()
-            return self.ids(buf, offsets)
-        raw = buf.tobytes()  # more pieces than are remembered: encode the texts themselves
-        found = [[*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, END] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return np.array([i for x in found for i in x], self.kind), np.array([len(x) for x in found], np.int64)
+            sizes.append(np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1)
+            parts.append(ids[ids != self.line_break])
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        sizes.append(np.array([len(x) for x in found], np.int64))
+        parts.append(np.array([i for x in found for i in x], self.kind))
+        return plain + rest, np.concatenate(sizes), np.concatenate(parts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
