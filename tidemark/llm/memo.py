@@ -15,7 +15,7 @@ class Memo:
 
     end: int | None = None  #: an id after each text
     kind = np.dtype("<i4")
-    remember = REMEMBER
+    remember, slots = REMEMBER, SLOTS
 
     def cut(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the pieces of a chunk; every non-empty text starts one."""
@@ -27,7 +27,7 @@ class Memo:
 
     def forget(self) -> None:
         self.number: dict[int, int] = {}
-        self.keys, self.index = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64)
+        self.keys, self.index = np.zeros(1 << self.slots, np.uint64), np.zeros(1 << self.slots, np.int64)
         self.offset, self.flat = np.zeros(1, np.int64), np.zeros(0, self.kind)
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
@@ -42,7 +42,7 @@ class Memo:
         start, n = self.cut(buf, offsets), len(offsets) - 1
         stop = np.append(start[1:], len(buf))
         h = W.hash_spans(buf, start, stop)
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.slots)).astype(np.int64)
         at = self.index[slot]
         miss = np.flatnonzero((self.keys[slot] != h) | (at >= len(self.offset) - 1))
         if len(miss):

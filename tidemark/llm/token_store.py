@@ -136,7 +136,7 @@ def pieces(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder(Memo):
     """Ids of texts by a tokenizers file, END after each."""
 
-    end = END
+    end, remember, slots = END, 1_000_000, 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
