@@ -136,7 +136,7 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([at, *batch.columns], ["bucket", *batch.schema.names])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held, size = zstandard.ZstdCompressor(level=9), {}, 0
+        press, held, size = zstandard.ZstdCompressor(level=12), {}, 0
 
         def flush() -> pa.RecordBatch:
             keys = list(held)
@@ -158,7 +158,7 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
             yield flush()
 
     def build(packed: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
-        press, unpress = zstandard.ZstdCompressor(level=12), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=13), zstandard.ZstdDecompressor()
         role: dict[bytes, dict[bytes, bool]] = {}
         for k, d, own in zip(*(known.column(c).to_pylist() for c in ("key", "digest", "own")), strict=True):
             role.setdefault(k, {})[d] = own
