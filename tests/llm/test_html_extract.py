@@ -70,5 +70,27 @@ def test_equals_a_plain_reading(spark):
         assert got[x["page_id"]] == "\n\n".join(p for p in parts if p)
 
 
+def div_page(i, sections=3):
+    parts = "".join(f'<section class="s{"abc"[k % 3]}"><h2>Part {i} {k}</h2><p>Body {i} of {k}, {"long " * (9 * k)}end</p></section>' for k in range(sections))
+    return f'<html><body><div class="top"><p>Site name</p></div><div class="post"><p>Subscribe to our letter</p>{parts}<p>All rights reserved</p></div><div class="footer">About {i}</div></body></html>'
+
+
+def div_want(i, sections=3):
+    return "\n\n".join(t for k in range(sections) for t in (f"Part {i} {k}", f"Body {i} of {k}, {'long ' * (9 * k)}end"))
+
+
+def test_host_of_divs_keeps_all_sections_and_no_template(spark):
+    pages = [(i, f"http://divs/{i}", div_page(i, 2 + i % 3)) for i in range(12)]
+    one = '<section><p>only {0} here</p></section><section><p>and a much longer second {0} section</p></section>'
+    pages += [(100 + i, f"http://same/{i}", f'<body><div class=post>{one.format(i)}</div><div>Imprint</div></body>') for i in range(4)]
+    pages += [(200 + i, f"http://articles/{i}", f"<body><article><p>Share this page</p><h1>Head {i}</h1><p>Text number {i}, a line</p></article></body>") for i in range(5)]
+    pages += [(300 + i, "http://copies/", f"<body><article><p>A long paragraph that all copies have</p><p>{i}</p></article></body>") for i in range(4)]
+    got = {x["page_id"]: x["text"] for x in H.extract(spark.createDataFrame([(*p, "") for p in pages], PAGES)).collect()}
+    assert {i: got[i] for i in range(12)} == {i: div_want(i, 2 + i % 3) for i in range(12)}
+    assert all(got[100 + i] == f"only {i} here\n\nand a much longer second {i} section" for i in range(4))
+    assert all(got[200 + i] == f"Head {i}\n\nText number {i}, a line" for i in range(5))
+    assert all(got[300 + i] == f"A long paragraph that all copies have\n\n{i}" for i in range(4))
+
+
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], PAGES)).count() == 0

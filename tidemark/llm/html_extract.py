@@ -8,12 +8,17 @@ just before: "(...)+"), an optional group (a stretch that only one side has:
 "(...)?"), else a text slot. Text that is the same on all sample pages is
 template, other text is data.
 
-A wrapper tells where the data stand in the template, and hence the element
-that holds the article: the path of the element with the most data. Paths that
-lie in navigation, page furniture, forms or comments by their tag, role, id or
-class are never chosen. Every page of the host, not only the sample, is then
-read with its host's path; a page that lacks it (cut off, or of another
-layout), and hosts without wrapper, are read by the same rule on their own.
+A wrapper tells where the data stand in the template, and hence the region
+that holds the main text: the <article> or <main> with the most data, and where
+no data stand in such a tag, the least element around all data. Data in
+navigation, page furniture, forms or comments, by their tag, role, id or class,
+do not count. Blocks of the region that are the same on all sample pages are
+template and are left out, unless there are fewer than TEMPLATE different pages or
+these blocks are more than half of the region: then the pages are copies of each other.
+Every page of the host, not only the sample, is then read with its host's
+region. Pages that lack it (cut off, or of another layout), and hosts without
+wrapper, are read by a rule on their own: <article>, else <main>, else the element
+whose own paragraphs hold most text.
 
 The sample is SAMPLE pages of each host, the least by a hash of page_id; this
 bounds what one task holds, whatever a host's share of all pages.
@@ -24,6 +29,7 @@ repeat a page_id are separate rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -35,6 +41,7 @@ from pyspark.sql import functions as F
 from .session import small_batches, stage
 
 SAMPLE = 8  #: pages of a host from which its wrapper is inferred
+TEMPLATE = 3  #: different pages from which text that they share counts as template
 TOKENS = 4000  #: tags of a sample page that are aligned; reading pages has no such bound
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?![a-zA-Z/!?])|[^<]+|<[^>]*>?", re.S)
@@ -164,7 +171,7 @@ def _paths(root: Node) -> Iterator[tuple[tuple[str, ...], Node]]:
 
 
 def stream(root: Node) -> list[tuple[str, str]]:
-    """Tags and text slots: ("<", key), (">", key), ("t", text)."""
+    """Tags and text slots: ("<", key), (">", key), ("t", text). The key of an element that is out ends in "!"."""
     out: list[tuple[str, str]] = []
     stack: list = [*reversed(root.children)]
     while stack and len(out) < TOKENS:
@@ -175,8 +182,9 @@ def stream(root: Node) -> list[tuple[str, str]]:
             if x.strip():
                 out.append(("t", _SPACE.sub(" ", x).strip()))
         elif x.tag not in _RAW:
-            out.append(("<", x.key))
-            stack.append((">", x.key))
+            key = x.key + "!" * x.out
+            out.append(("<", key))
+            stack.append((">", key))
             stack.extend(reversed(x.children))
     return out
 
@@ -326,63 +334,92 @@ def _read(parts: list[Piece], tokens: list[tuple[str, str]], j: int) -> int:
 
 
 def data_paths(pieces: list[Piece]) -> dict[tuple[str, ...], int]:
-    """For each element path of a wrapper, the characters of data directly in its blocks."""
+    """For each element path of a wrapper, the characters of data directly in its blocks; text of an optional group is not on all pages, and so is data."""
     found: dict[tuple[str, ...], int] = {}
     path: list[str] = []
 
-    def walk(parts: list[Piece]) -> None:
+    def walk(parts: list[Piece], optional: bool) -> None:
         for p in parts:
             if p.kind == "<":
-                if p.mark.split("#")[0].split(".")[0] not in _VOID:
+                if _tag(p.mark) not in _VOID:
                     path.append(p.mark)
             elif p.kind == ">":
                 if p.mark in path:
                     del path[len(path) - 1 - path[::-1].index(p.mark) :]
             elif p.kind == "t":
-                if p.data:
+                if p.data or optional:
                     found[tuple(path)] = found.get(tuple(path), 0) + len(p.mark)
             else:
-                walk(p.parts)
+                walk(p.parts, optional or p.kind == "?")
 
-    walk(pieces)
+    walk(pieces, False)
     return found
 
 
+def _tag(key: str) -> str:
+    return re.split(r"[#.!]", key, maxsplit=1)[0]
+
+
 def infer(pages: list[str]) -> tuple[str, ...] | None:
-    """The path of the article element of a host, or None."""
+    """The path of the region of a host that holds the data, or None."""
     roots = [parse(p) for p in pages if p]
     if not roots:
         return None
     have = wrapper(stream(roots[0]))
     for r in roots[1:]:
         have = align(have, stream(r))
-    data = data_paths(have)
+    data = {p: n for p, n in data_paths(have).items() if not any(k.endswith("!") for k in p)}
     scores: dict[tuple[str, ...], int] = {}
     for path, n in data.items():
-        tags = [k.split("#")[0].split(".")[0] for k in path]
         for i, k in enumerate(path):
-            if tags[i] in _MAIN:
+            if _tag(k) in _MAIN:
                 scores[path[: i + 1]] = scores.get(path[: i + 1], 0) + n
                 break
     if scores:
         return max(scores, key=lambda p: (scores[p], -len(p)))
-    return None
+    if not data:
+        return None
+    region = min(data, key=len)
+    for path in data:
+        region = region[: next((i for i, (a, b) in enumerate(zip(region, path)) if a != b), len(region))]
+    region = region[: next((i for i, k in enumerate(region) if _tag(k) in _INLINE or _tag(k) == "p"), len(region))]
+    known = [{p for p, _ in _paths(r)} for r in roots]
+    while region and 2 * sum(region in k for k in known) < len(known):
+        region = region[:-1]
+    return region
+
+
+def template(pages: list[str], path: tuple[str, ...] | None) -> list[int]:
+    """Hashes of the blocks of a host's region that all its sample pages have."""
+    found = [] if path is None else [[t for p, node in _paths(parse(x)) if p == path for t in blocks(node)] for x in pages if x]
+    found = [x for x in found if x]
+    if len(found) < TEMPLATE:
+        return []
+    same = set(found[0]).intersection(*found[1:])
+    size = sum(len(t) for x in found for t in x)
+    return sorted(map(_hash, same)) if 2 * sum(len(t) for x in found for t in x if t in same) <= size else []
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def text_of(page: str | None, path: tuple[str, ...] | None) -> str:
-    """The main text of a page."""
+def text_of(page: str | None, path: tuple[str, ...] | None, same: frozenset[int] = frozenset()) -> str:
+    """The main text of a page; same: hashes of the blocks of its host's region that are template."""
     if not page:
         return ""
     root = parse(page)
     by_path, marked, body = [], [], root
     for p, node in _paths(root):
-        if path and p == path:
+        if path is not None and p == path:
             by_path.append(node)
         if node.tag in _MAIN and not any(q in _MAIN for q in _above(node)):
             marked.append(node)
         if node.tag == "body":
             body = node
-    chosen = by_path or [x for x in marked if x.tag == "article"] or marked or [_densest(body)]
+    if by_path:
+        return "\n\n".join(t for x in by_path for t in blocks(x) if not same or _hash(t) not in same)
+    chosen = [x for x in marked if x.tag == "article"] or marked or [_densest(body)]
     return "\n\n".join(t for x in chosen for t in blocks(x))
 
 
@@ -426,17 +463,19 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def learn(table: pa.Table) -> pa.Table:
         t = table.sort_by("page_id").slice(0, sample)
-        path = infer(t.column("html").to_pylist())
-        return pa.table({"host": t.column("host").slice(0, 1).cast(pa.string()), "path": pa.array([list(path or ())], pa.list_(pa.string()))})
+        different = list(dict.fromkeys(t.column("html").to_pylist()))
+        path = infer(different)
+        return pa.table({"host": t.column("host").slice(0, 1).cast(pa.string()), "path": pa.array([None if path is None else list(path)], pa.list_(pa.string())), "same": pa.array([template(different, path)], pa.list_(pa.int64()))})
 
-    wrappers = stage(chosen.groupBy("host").applyInArrow(learn, "host string, path array<string>"), "wrappers")
+    wrappers = stage(chosen.groupBy("host").applyInArrow(learn, "host string, path array<string>, same array<long>"), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(x, tuple(p) if p else None) for x, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "path", "same")), strict=True)
+            texts = [text_of(x, None if p is None else tuple(p), frozenset(same or ())) for x, p, same in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "path").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "path", "same").mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
