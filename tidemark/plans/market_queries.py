@@ -56,6 +56,15 @@ def chain_linked(spark, sf_dir):
     return long_table.chain_linked(b, "r").select("ticker", "date", r("adjusted", 6).alias("adjusted"))
 
 
+@query(sql("SELECT ticker, date, round(100 * product(1 + coalesce(r, 0)) OVER (PARTITION BY ticker ORDER BY date), 6) AS adjusted FROM (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars)"))
+def chain_linked_all(spark, sf_dir):
+    """chain_linked over all dates."""
+    from pyspark.sql import Window
+
+    b = bars(spark, sf_dir).withColumn("r", C.div("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1).withColumn("sid", F.col("ticker"))
+    return long_table.chain_linked(b, "r").select("ticker", "date", r("adjusted", 6).alias("adjusted"))
+
+
 def _book(spark, sf_dir):
     p = panel(spark, sf_dir)
     df = portfolio.one_bar(p).withColumn("ret1", ret(1)).withColumn("factor", recipes.reversal(5))
