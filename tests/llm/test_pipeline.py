@@ -123,3 +123,40 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def near_brute(rows):
+    """Rows (doc_id, text) that stay: of each component of links by 5-word Jaccard of 0.8 or more, the least (doc_id, text); rows without doc_id or words all stay."""
+    sets = []
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w and d is not None else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for i, (d, t) in enumerate(rows):
+        if sets[i]:
+            least[group[i]] = min(least.get(group[i], (d, t)), (d, t))
+    return sorted([*least.values(), *(x for i, x in enumerate(rows) if not sets[i])], key=str)
+
+
+def stays(spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, "") for d, t in rows], DOCS)
+    return sorted(((x["doc_id"], x["text"]) for x in P.near_duplicates(spark, docs, "").collect()), key=str)
+
+
+def test_near_duplicates_link_from_five_words_and_four_fifths(spark):
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = []
+    for k, changed in enumerate([0, 5, 12, 17, 18, 25, 40]):
+        base = [word() for _ in range(200)]
+        other = base[:90] + [word() for _ in range(changed)] + base[90 + changed :]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(other))]
+    got = stays(spark, rows)
+    assert got == near_brute(rows)
+    ids = {d for d, _ in got}
+    assert 31 not in ids and 41 in ids  # 175/217 = 0.806 is a copy, 174/218 = 0.798 is not
