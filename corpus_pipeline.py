@@ -29,11 +29,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents link when 5-word shingle sets overlap by 80 % or more. Of each group of documents that links connect, the one with the least doc_id stays; documents without doc_id all stay."""
+    """Documents link when 5-word shingle sets overlap by 80 % or more. Of each group of documents that links connect, the one with the least doc_id stays; rows without doc_id or words all stay."""
     docs = docs.select(*COLUMNS)
-    kept = stage(jaccard_join.near(docs.select("doc_id", "text"), *NEAR).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id")
-    first = named.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(F.col(c) for c in COLUMNS[2:])))).where("r = 1")
+    rows = docs.withColumn("h", F.xxhash64("text"))  # rows that share a doc_id are told apart by their text
+    kept = stage(jaccard_join.near(rows.select("doc_id", "text", "h"), *NEAR, row="h").where("doc_id = component_id").select("doc_id", "h", "c").distinct(), "kept")
+    named = rows.join(kept, ["doc_id", "h"])
+    first = named.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "c").orderBy("text", *(F.col(c) for c in COLUMNS[2:])))).where("r = 1 OR c IS NULL")
     return first.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 

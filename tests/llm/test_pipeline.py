@@ -160,3 +160,12 @@ def test_near_duplicates_link_from_five_words_and_four_fifths(spark):
     assert got == near_brute(rows)
     ids = {d for d, _ in got}
     assert 31 not in ids and 41 in ids  # 175/217 = 0.806 is a copy, 174/218 = 0.798 is not
+
+
+def test_rows_that_share_a_doc_id_go_only_for_their_own_group(spark):
+    r = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**9)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (5, f"{a} more"), (5, b), (7, c), (7, d), (8, e), (8, f"{e} more"), (8, d), (9, None), (9, " "), (None, a), (None, a)]
+    got = stays(spark, rows)
+    assert got == near_brute(rows)
+    assert (5, b) in got and (5, f"{a} more") not in got and (7, c) in got and (7, d) in got and (8, d) not in got

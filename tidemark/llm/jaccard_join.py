@@ -267,23 +267,24 @@ def _groups(lists: DataFrame) -> DataFrame:
     return one.join(lead, "g").where("x <> v").select(*_pair("x", "v"))
 
 
-def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DENOMINATOR, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text). row: a long column of docs that is returned too, with c, a number of the row's own component (null without doc_id or shingles)."""
     rule = Rule(size, num, den)
-    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    extra = [row] if row else []
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
     reach = -(-_SMALL * den // num)
     cut = lambda x: x if len(x) < reach else x[: np.searchsorted(x, _SAMPLE)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(x), len(x) if len(x) < _SMALL else int(np.searchsorted(x, _SAMPLE)), *_signature(x)) for x in rule.sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in found], pa.int64()) for k in range(4))], ["doc_id", "n_shingles", "n_sampled", "v", "t"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *extra)), *(pa.array([x[k] for x in found], pa.int64()) for k in range(4))], ["doc_id", *extra, "n_shingles", "n_sampled", "v", "t"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signature(x)[0] for x in rule.sets(batch.column("text"))], pa.int64()), batch.column("text")], ["doc_id", "v", "text"])
 
-    every = stage(docs.mapInArrow(describe, "doc_id long, n_shingles long, n_sampled long, v long, t long"), "sizes")
+    every = stage(docs.mapInArrow(describe, f"doc_id long, {''.join(f'{c} long, ' for c in extra)}n_shingles long, n_sampled long, v long, t long"), "sizes")
     one = stage(every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("n_sampled").alias("m")), "sets")
     spare = F.col("n") - F.ceil(F.col("n") * num / den)
 
@@ -319,9 +320,10 @@ def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
             labels = components(links)
     member = one.select("v", "rep").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "c").select("v", "component_id")
+    named = member.join(least, "c").select("v", "component_id", *(["c"] if row else []))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return every.join(named, "v", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    more = [*extra, F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c")] if row else []
+    return every.join(named, "v", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), *more)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
