@@ -1,13 +1,9 @@
 """Suffix-array dedup (op2): passages of 32 words or more that stand in an earlier document are removed.
 
-Sparse suffix array: of all word suffixes only those are kept that start at a
-minimiser position (the least hash of 12 words within every 32-word window, one
-position in eleven). They are sorted by the hash of their first words, then by
-the hash of the extent over which windows see this minimiser, and neighbours
-are compared (`repeats`). Where two neighbours agree over the whole extent, the
-match is extended left and right by it at once; where they part, it is extended
-window by window over the words on either side. Positions are content-selected,
-so copies keep the same suffixes.
+The suffix array is swapped for hashing: this is op9's code (`repeats`) with
+windows of 32 words and anchors of 12. Blocks of windows that share a minimiser
+meet by 64-bit hashes; where blocks differ, single windows are hashed and
+compared. No suffixes are sorted and no common prefixes are compared.
 
 A word goes if a match of at least 32 words that starts in a document with a
 smaller doc_id covers it; matches are judged on the input. Null and empty texts
