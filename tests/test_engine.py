@@ -261,3 +261,15 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     batch = B.drop_partial(B.aggregate_bars(minutes, "5m"), minutes)
     assert sorted(map(tuple, spark.table("closed").collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 4
+
+
+def test_pbo_tries_all_splits_of_sixteen_blocks(spark):
+    R = np.random.default_rng(4).normal(0, 0.01, (160, 5))
+    df = spark.createDataFrame([(k, t, float(R[t, k])) for t in range(160) for k in range(5)], "trial int, t int, ret double")
+    x = R.reshape(16, 10, 5)
+    bad = []
+    for half in itertools.combinations(range(16), 8):
+        a, o = x[list(half)].reshape(-1, 5), x[[k for k in range(16) if k not in half]].reshape(-1, 5)
+        best, out = (a.mean(0) / a.std(0)).argmax(), o.mean(0) / o.std(0)
+        bad.append((out <= out[best]).sum() / 6 <= 0.5)
+    assert len(bad) == 12870 and stats.pbo(df) == pytest.approx(np.mean(bad))

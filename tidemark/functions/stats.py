@@ -162,7 +162,7 @@ def deflated_sharpe(R: DataFrame, trials: int | None = None) -> dict:
     return {"trial": best["trial"], "sharpe": s, "luck": luck, "dsr": NORMAL.cdf((s - luck) * math.sqrt(best["n"] - 1) / math.sqrt(spread)) if spread > 0 else None}
 
 
-def pbo_blocks(R: DataFrame, blocks: int = 8) -> DataFrame:
+def pbo_blocks(R: DataFrame, blocks: int = 16) -> DataFrame:
     """trial, block, n, s, ss: sums of each block of time; the sample is cut at its start to whole blocks."""
     size = R.agg((F.max("t") - F.min("t") + 1).alias("_span"), F.max("t").alias("_hi"))
     x = R.crossJoin(F.broadcast(size)).withColumn("_n", F.floor(F.col("_span") / blocks))
@@ -170,7 +170,7 @@ def pbo_blocks(R: DataFrame, blocks: int = 8) -> DataFrame:
     return x.groupBy("trial", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
 
 
-def pbo(R: DataFrame, blocks: int = 8) -> float:
+def pbo(R: DataFrame, blocks: int = 16) -> float:
     """Share of in-sample/out-of-sample splits whose in-sample best is below the median out of sample. Splits are rows; block sums are joined to them."""
     b = pbo_blocks(R, blocks)
     spark = R.sparkSession

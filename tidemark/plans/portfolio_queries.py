@@ -181,6 +181,12 @@ def dsr_moments(spark, sf_dir):
 
 @query(sql("SELECT trial, CAST(7 - floor((hi - t) / n) AS INT) AS block, count(ret) AS n, round(sum(ret), 8) + 0.0 AS s, round(sum(ret * ret), 8) AS ss FROM trials, (SELECT floor((max(t) - min(t) + 1) / 8) AS n, max(t) AS hi FROM trials) z GROUP BY 1, 2 HAVING CAST(7 - floor((hi - t) / z.n) AS INT) >= 0".replace("count(ret) AS n", "count(ret) AS n").replace("/ n)", "/ z.n)").replace("GROUP BY 1, 2 HAVING CAST(7 - floor((hi - t) / z.n) AS INT) >= 0", "WHERE 7 - floor((hi - t) / z.n) >= 0 GROUP BY 1, 2"), _TRIALS))
 def pbo_blocks(spark, sf_dir):
+    return stats.pbo_blocks(_trials(spark, sf_dir), 8).select("trial", "block", "n", r("s").alias("s"), r("ss").alias("ss"))
+
+
+@query(sql("SELECT trial, CAST(15 - floor((hi - t) / z.n) AS INT) AS block, count(ret) AS n, round(sum(ret), 8) + 0.0 AS s, round(sum(ret * ret), 8) AS ss FROM trials, (SELECT floor((max(t) - min(t) + 1) / 16) AS n, max(t) AS hi FROM trials) z WHERE 15 - floor((hi - t) / z.n) >= 0 GROUP BY 1, 2", _TRIALS))
+def pbo_blocks_16(spark, sf_dir):
+    """pbo_blocks with the blocks of pbo."""
     return stats.pbo_blocks(_trials(spark, sf_dir)).select("trial", "block", "n", r("s").alias("s"), r("ss").alias("ss"))
 
 
