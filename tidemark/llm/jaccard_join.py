@@ -1,21 +1,29 @@
 """N-gram Jaccard join (op10): documents whose 4-word shingle sets overlap by 85 % or more, and the components of these links.
 
-Grouped prefix join. Documents with equal sets are one (the smallest doc_id
-stands for them). A document with n shingles can only have a partner if at
-least ceil(0.85 n) of its shingles also stand in another set, which drops nearly
-all documents before any pair is formed, first on the shingles whose hash is
-below a fixed fifth of the range (at most n - ceil(0.85 n) of any subset may be
-unshared), then on all shingles. The rest orders its shingles from rare to
-frequent; two linked documents share one of their first n - ceil(0.85 n) + 1.
-Documents with the same prefix and size are one group; groups meet by prefix
-shingle, pairs of groups with fitting sizes are expanded to members and
-verified on whole texts.
-
-Links inside a large group of near copies are not all listed. Each group and
-each shingle's list is first verified against its most central members (whose
-shingles are the most frequent), in a few rounds that grow with the length of
-the list alone; then all pairs that are still in different components are
-verified. No link between components is lost, so the components are exact.
+Grouped prefix join.
+
+1. Documents with equal sets are one (128-bit signature; the smallest doc_id
+   stands for them). A document with n shingles can only have a partner if at
+   least ceil(0.85 n) of its shingles also stand in another set, which drops
+   nearly all documents before any pair is formed, first on the shingles whose
+   hash is below a fixed part of the range (at most n - ceil(0.85 n) of any subset
+   may be unshared), then on all shingles.
+2. The rest order their shingles from rare to frequent; two linked documents
+   share one of their first n - ceil(0.85 n) + 1, the prefix. `groups`: documents
+   with the same prefix and size collapse into one group, and only groups have
+   rows in the list of a shingle.
+3. `_meet`: groups that share a prefix shingle are paired, once however many they
+   share, and pairs drop out whose sizes do not fit or whose members are in one
+   component already. `_expand`: the pairs that stay are expanded to members,
+   whose sketches must fit, and `verify` holds their whole texts against the rule.
+
+Links inside large groups and long lists are not all expanded. Each group's
+members are first verified against its most central one (whose shingles are the
+most frequent), and each list's groups against the members of its most central
+groups, in a few rounds that grow with the length of the list alone; then all
+pairs that are still in different components are expanded and verified. No link
+between components is lost, so the components are exact. Lists and groups of
+more than PART rows are dealt to several tasks.
 
 Shingles are compared by 64-bit hashes. Null, empty and blank texts have no
 shingles and link with nothing; rows without doc_id are left out of the joins
@@ -36,15 +44,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .exchange import buckets, by_bucket, pack, unpack
+from .exchange import HOLD, beside, buckets, by_bucket, heads, pack, unpack
 from .session import small_batches, stage
 
 SIZE, NUMERATOR, DENOMINATOR = 4, 85, 100
-_SAMPLE = np.uint64((1 << 64) // 5)
 _SMALL = 100  #: sets below this size are judged by all their shingles
-_HOLD = 1 << 19
 SKETCH = 1024  #: bits of a set's odd sketch
-ROUNDS = (4, 16)  #: central members of each list that are tried before all pairs are
+ROUNDS = (4, 16)  #: central groups of each list that are tried before all pairs are
+PART = 256  #: rows of a list or members of a group that one task takes
 
 
 class Rule:
@@ -52,6 +59,8 @@ class Rule:
 
     def __init__(self, size: int = SIZE, num: int = NUMERATOR, den: int = DENOMINATOR):
         self.size, self.num, self.den = size, num, den
+        #: the part of the hash range that is counted first: 4/3 of the part that may be unshared
+        self.part = np.uint64(min((1 << 64) - 1, (1 << 64) * 4 * (den - num) // (3 * den)))
 
     def overlap(self, n):
         """The least intersection that a partner of a set of n needs."""
@@ -63,12 +72,12 @@ class Rule:
         for i, j in W.chunks(offsets):
             part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             s, e, first = W.split(part, off, W.BLANK_SPLIT)
-            sums = W.prefix(W.hash_spans(part, s, e, W.LOWER))
+            words = W.hash_spans(part, s, e, W.LOWER)
             n = np.diff(first)
             count = np.where(n == 0, 0, np.maximum(n - self.size + 1, 1))
             edge = np.concatenate(([0], np.cumsum(count)))
             at = np.repeat(first[:-1] - edge[:-1], count) + np.arange(edge[-1])
-            h = W.ranges(sums, at, np.minimum(at + self.size, np.repeat(first[1:], count)))
+            h = W.spans(words, at, np.minimum(self.size, np.repeat(first[1:], count) - at))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 x = np.sort(h[a:b])
                 yield x[np.append(True, x[1:] != x[:-1])] if len(x) > 1 else x
@@ -79,21 +88,13 @@ def _signature(x: np.ndarray) -> tuple[int, int]:
         return int(W.mix(x + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), int(W.mix(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64))
 
 
-def _heads(*keys: np.ndarray) -> np.ndarray:
-    """Where sorted keys change."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
-
-
 def _tally(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (token, owner) in order, and for each how many owners its token has; owner 0 says that there were several elsewhere."""
     order = np.lexsort([owner, token])
     token, owner = token[order], owner[order]
-    new = _heads(token, owner)
+    new = heads(token, owner)
     token, owner = token[new], owner[new]
-    head = _heads(token)
+    head = heads(token)
     cls = np.cumsum(head) - 1
     n = np.bincount(cls)
     zero = np.zeros(len(n), bool)
@@ -117,14 +118,12 @@ def _shared_counts(frame: DataFrame, rule: Rule, cut, short: bool) -> DataFrame:
         token, owner, many = _tally(np.concatenate(tokens), np.concatenate(owners))
         several = many > 1
         ids, count = np.unique(owner[several], return_counts=True)
-        one = ~several | _heads(token)
+        one = ~several | heads(token)
         token, owner = token[one], np.where(several[one], 0, owner[one])
         sent = (token >> np.uint64(32)).astype(np.uint32) if short else token
         a = pack((token % np.uint64(n)).astype(np.int32), {"token": sent, "owner": owner})
         b = pack((W.mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int32), {"known": ids, "count": count.astype(np.int64)})
-        none = lambda x: pa.array([b""] * len(x), pa.binary())
-        yield pa.RecordBatch.from_arrays([*a.columns, none(a), none(a)], names)
-        yield pa.RecordBatch.from_arrays([b.column(0), none(b), none(b), b.column(1), b.column(2)], names)
+        yield beside([a, b], names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, held = [], [], 0
@@ -134,7 +133,7 @@ def _shared_counts(frame: DataFrame, rule: Rule, cut, short: bool) -> DataFrame:
                 tokens.append(x)
                 owners.append(np.full(len(x), v, np.int64))
                 held += len(x)
-                if held >= _HOLD:
+                if held >= HOLD:
                     yield from flush(tokens, owners)
                     tokens, owners, held = [], [], 0
         if held:
@@ -151,7 +150,7 @@ def _shared_counts(frame: DataFrame, rule: Rule, cut, short: bool) -> DataFrame:
         return pa.table({"v": pa.array(ids), "shared": pa.array(np.bincount(at, unpack(table, "n", "<i8"), len(ids)).astype(np.int64))})
 
     sent = frame.mapInArrow(send, "bucket int, token binary, owner binary, known binary, count binary")
-    return by_bucket(by_bucket(sent, count, "bucket int, v binary, n binary"), total, "v long, shared long")
+    return by_bucket(by_bucket(sent, count, "bucket int, v binary, n binary", n), total, "v long, shared long", few)
 
 
 def _odd(token: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -167,7 +166,7 @@ def _odd(token: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
 
 
 def _prefixes(kept: DataFrame, rule: Rule) -> DataFrame:
-    """(token, v, n, g, q, o): the rare-first prefix of each set, without tokens that no other has; g: a hash of its whole prefix and size; q: how many sets hold its tokens, on average; o: its odd sketch."""
+    """One row for each set: v, n (its size), prefix (its rare-first prefix, without tokens that no other has), g and t (hashes of the whole prefix and size), q (how many sets hold its tokens, on average), o (its odd sketch)."""
     n = buckets(kept)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,19 +185,24 @@ def _prefixes(kept: DataFrame, rule: Rule) -> DataFrame:
         token, v, size, df = (unpack(table, c, k) for c, k in (("token", "<u8"), ("v", "<i8"), ("size", "<i4"), ("df", "<i4")))
         order = np.lexsort([token, df, v])
         token, v, size, df = token[order], v[order], size[order].astype(np.int64), df[order]
-        start = np.flatnonzero(_heads(v))
+        start = np.flatnonzero(heads(v))
         length = np.diff(np.append(start, len(v)))
         take = np.arange(len(v)) - np.repeat(start, length) < size - rule.overlap(size) + 1
-        whole = np.add.reduceat(np.where(take, W.mix(token + np.uint64(11)), np.uint64(0)), start) if len(start) else np.zeros(0, np.uint64)
-        cls = np.repeat(np.arange(len(start)), length)
-        g = np.repeat(W.mix(whole + size[start].view(np.uint64)), length)
-        q = np.repeat(np.add.reduceat(df.astype(np.float64), start) / length, length) if len(start) else np.zeros(0)
+        if not len(start):
+            return _PREFIXES.empty_table()
+        g, t = (W.mix(np.add.reduceat(np.where(take, W.mix(token * np.uint64(2 * k + 1) + np.uint64(11 + k)), np.uint64(0)), start) + size[start].view(np.uint64)) for k in (0, 1))
+        q = np.add.reduceat(df.astype(np.float64), start) / length
         take &= df > 1
-        return pa.table({"token": pa.array(token[take].view(np.int64)), "v": pa.array(v[take]), "n": pa.array(size[take]), "g": pa.array(g[take].view(np.int64)), "q": pa.array(q[take]), "o": _odd(token, start, length).take(pa.array(cls[take]))})
+        flat = np.concatenate(([0], np.cumsum(np.add.reduceat(take, start))))
+        prefix = pa.ListArray.from_arrays(pa.array(flat, pa.int32()), pa.array(token[take].view(np.int64)))
+        return pa.Table.from_arrays([pa.array(v[start]), pa.array(size[start]), prefix, pa.array(g.view(np.int64)), pa.array(t.view(np.int64)), pa.array(q), _odd(token, start, length)], schema=_PREFIXES)
 
     sent = kept.mapInArrow(send, "bucket int, token binary, v binary, size binary")
-    back = by_bucket(sent, frequency, "bucket int, token binary, v binary, size binary, df binary")
-    return by_bucket(back, choose, "token long, v long, n long, g long, q double, o array<long>")
+    back = by_bucket(sent, frequency, "bucket int, token binary, v binary, size binary, df binary", n)
+    return by_bucket(back, choose, "v long, n long, prefix array<long>, g long, t long, q double, o array<long>", max(1, n // 4))
+
+
+_PREFIXES = pa.schema([("v", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("g", pa.int64()), ("t", pa.int64()), ("q", pa.float64()), ("o", pa.list_(pa.int64()))])
 
 
 def verify(pairs: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
@@ -217,54 +221,83 @@ def verify(pairs: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _sizes(rule: Rule):
+    return F.lit(rule.den) * F.least("nx", "ny") >= F.lit(rule.num) * F.greatest("nx", "ny")
+
+
 def _fits(rule: Rule):
     """Whether (nx, ox) and (ny, oy) may link: sizes fit, and the sketches do not differ in more bits than linked sets differ in tokens."""
     differ = sum((F.bit_count(F.col("ox")[i].bitwiseXOR(F.col("oy")[i])) for i in range(SKETCH // 64)), F.lit(0))
     n = F.col("nx") + F.col("ny")
-    sizes = F.lit(rule.den) * F.least("nx", "ny") >= F.lit(rule.num) * F.greatest("nx", "ny")
     # den * both >= num * (n - both), and differ <= n - 2 * both
-    return sizes & (F.lit(rule.num + rule.den) * (n - differ) >= F.lit(2 * rule.num) * n)
+    return _sizes(rule) & (F.lit(rule.num + rule.den) * (n - differ) >= F.lit(2 * rule.num) * n)
+
+
+def _dealt(frame: DataFrame, by: str, parts) -> DataFrame:
+    """frame with its part of a list or group: a hash of `by`, below parts."""
+    return frame.withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int"))
+
+
+def _each(frame: DataFrame, parts) -> DataFrame:
+    """frame once for every part."""
+    return frame.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+
+
+def _parts(count):
+    return F.floor(count / PART) + 1
+
+
+def groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From _prefixes, the groups of sets with the same prefix and size: (g, n, prefix, parts, q and v of the most central member), and their members (g, v, n, o, parts)."""
+    one = sets.groupBy("g", "t").agg(F.min("v").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), _parts(F.count("*")).alias("parts"), F.max(F.struct("q", "v")).alias("lead"))
+    one = stage(one, "groups")
+    members = sets.select("g", "t", "v", "n", "o").join(one.select("g", "t", "id", "parts"), ["g", "t"]).select(F.col("id").alias("g"), "v", "n", "o", "parts")
+    return one.select(F.col("id").alias("g"), "n", "prefix", "parts", F.col("lead.q").alias("q"), F.col("lead.v").alias("v")), stage(members, "members")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the component c of each."""
+    return members.withColumn("c", F.col("v")) if labels is None else members.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
 
 
-def _mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Prefix lists whose members are in several components: token, c, v, n, q, o."""
-    at = lists.select("token", "v", "n", "q", "o")
-    at = at.withColumn("c", F.col("v")) if labels is None else at.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    several = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    return at.join(several, "token")
+def _live(lists: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Lists whose groups are in several components: token, g, n, q, lo and hi (least and greatest component of the group's members), split (parts of the list)."""
+    at = lists.join(labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
+    mixed = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), _parts(F.count("*")).alias("split")).where("l < h").select("token", "split")
+    return _dealt(at, "g", F.lit(16)).join(_each(mixed, F.lit(16)), ["token", "part"]).drop("part")
 
 
-def _meet(one: DataFrame, mixed: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of rows of one and of mixed in the same list and in different components that may link."""
-    x = one.select("token", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("o").alias("ox"))
-    y = mixed.select("token", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("o").alias("oy"))
-    return y.join(x, (x["token"] == y["token"]) & (F.col("cx") != F.col("cy")) & _fits(rule)).select(*_pair("x", "y")).distinct()
+def _meet(one: DataFrame, live: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (x, y) of groups of one and of live in the same list, whose sizes fit and whose members are not all in one component."""
+    x = _each(one, F.col("split")).select("token", "part", F.col("g").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
+    y = _dealt(live, "g", F.col("split")).select("token", "part", F.col("g").alias("y"), F.col("n").alias("ny"), "lo", "hi")
+    return y.join(x, ["token", "part"]).where(_sizes(rule) & (F.least("lo", "lx") < F.greatest("hi", "hx"))).select("x", "y").distinct()
 
 
-def _central(mixed: DataFrame, rule: Rule, k: int) -> DataFrame:
-    """Pairs of the k most central members of each list with its members in other components."""
-    best = mixed
-    for keys in ([F.col("token"), F.pmod("v", F.lit(32))], [F.col("token")]):  # a long list is first cut down in 32 parts
-        best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), "v"))).where(F.col("r") <= k).drop("r")
-    return _meet(best, mixed, rule)
+def _central(live: DataFrame, k: int) -> DataFrame:
+    """The k most central groups of each list."""
+    best = live
+    for keys in ([F.col("token"), F.pmod("g", F.lit(32))], [F.col("token")]):  # a long list is first cut down in 32 parts
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), "g"))).where(F.col("r") <= k).drop("r")
+    return best
 
 
-def _cross(mixed: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of members of a list that are in different components and may link: those outside its largest component with all others."""
-    size = mixed.groupBy("token", "c").agg(F.count("*").alias("k"))
-    main = size.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    return _meet(mixed.join(main, "token").where("c <> main"), mixed, rule)
+def _outside(live: DataFrame) -> DataFrame:
+    """Groups of each list that are not wholly in its largest component."""
+    size = live.where("lo = hi").groupBy("token", "lo").agg(F.count("*").alias("k"))
+    main = size.groupBy("token").agg(F.max_by("lo", F.struct("k", "lo")).alias("main"))
+    at = _dealt(live, "g", F.lit(16)).join(_each(main, F.lit(16)), ["token", "part"], "left").drop("part")
+    return at.where("main IS NULL OR lo < hi OR lo <> main").drop("main")
 
 
-def _groups(lists: DataFrame) -> DataFrame:
-    """Pairs of the most central member of each group with its other members."""
-    one = lists.groupBy("v").agg(F.first("g").alias("g"), F.first("q").alias("q"))
-    lead = one.groupBy("g").agg(F.max_by("v", F.struct("q", "v")).alias("x"))
-    return one.join(lead, "g").where("x <> v").select(*_pair("x", "v"))
+def _expand(pairs: DataFrame, some: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of members of group pairs (x, y) that are in different components and may link: of x the members in `some`, of y all. Both: g, v, n, o, c, parts."""
+    split = members.select("g", "parts").where("parts > 1").distinct()
+    many = pairs.join(split.select(F.col("g").alias("x"), F.col("parts").alias("px")), "x", "left").join(split.select(F.col("g").alias("y"), F.col("parts").alias("py")), "y", "left")
+    named = lambda m, z: _dealt(m, "v", F.col("parts")).select(F.col("g").alias(z), "part", F.col("v").alias(f"v{z}"), F.col("c").alias(f"c{z}"), F.col("n").alias(f"n{z}"), F.col("o").alias(f"o{z}"))
+    left = _each(many, F.coalesce("px", F.lit(1))).join(named(some, "x"), ["x", "part"]).drop("part")
+    both = _each(left, F.coalesce("py", F.lit(1))).join(named(members, "y"), ["y", "part"]).where((F.col("cx") != F.col("cy")) & _fits(rule))
+    return both.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
 
 
 def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DENOMINATOR, row: str | None = None) -> DataFrame:
@@ -273,57 +306,65 @@ def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
     extra = [row] if row else []
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
     reach = -(-_SMALL * den // num)
-    cut = lambda x: x if len(x) < reach else x[: np.searchsorted(x, _SAMPLE)]
+    cut = lambda x: x if len(x) < reach else x[: np.searchsorted(x, rule.part)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(x), len(x) if len(x) < _SMALL else int(np.searchsorted(x, _SAMPLE)), *_signature(x)) for x in rule.sets(batch.column("text"))]
+            found = [(len(x), len(x) if len(x) < _SMALL else int(np.searchsorted(x, rule.part)), *_signature(x)) for x in rule.sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *extra)), *(pa.array([x[k] for x in found], pa.int64()) for k in range(4))], ["doc_id", *extra, "n_shingles", "n_sampled", "v", "t"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signature(x)[0] for x in rule.sets(batch.column("text"))], pa.int64()), batch.column("text")], ["doc_id", "v", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(x)[0] for x in rule.sets(batch.column("text"))], pa.int64()), batch.column("text")], ["v", "text"])
 
     every = stage(docs.mapInArrow(describe, f"doc_id long, {''.join(f'{c} long, ' for c in extra)}n_shingles long, n_sampled long, v long, t long"), "sizes")
-    one = stage(every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("n_sampled").alias("m")), "sets")
+    one = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("v", "t").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("n_sampled").alias("m"))
+    twin = F.row_number().over(Window.partitionBy("v").orderBy("t"))  # sets with one v have different numbers w
+    one = stage(one.withColumn("w", F.when(twin == 1, F.col("v")).otherwise(F.xxhash64("v", "t"))), "sets")
     spare = F.col("n") - F.ceil(F.col("n") * num / den)
 
-    signs = docs.where("doc_id IS NOT NULL").mapInArrow(signed, "doc_id long, v long, text string")
-    shared = _shared_counts(signs.select("v", "text"), rule, cut, True)
+    shared = _shared_counts(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(signed, "v long, text string"), rule, cut, True)
     fair = one.join(shared, "v", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("m") - spare)
-    maybe = docs.join(fair.select(F.col("rep").alias("doc_id"), F.col("v").alias("w")), "doc_id").select("doc_id", "w", "text")
+    maybe = docs.join(fair.select(F.col("rep").alias("doc_id"), "v", "t", "w"), "doc_id").select("v", "t", "w", "text")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = pa.array([_signature(x)[0] for x in rule.sets(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([v, batch.column("text")], ["v", "text"]).filter(pc.equal(v, batch.column("w")))
+            found = [_signature(x) for x in rule.sets(batch.column("text"))]
+            same = pc.and_(*(pc.equal(pa.array([x[k] for x in found], pa.int64()), batch.column(c)) for k, c in enumerate("vt")))
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("text")], ["v", "text"]).filter(same)
 
     maybe = stage(maybe.mapInArrow(matched, "v long, text string").dropDuplicates(["v"]), "maybe")
     full = _shared_counts(maybe, rule, lambda x: x, False)
-    fair = full.join(one, "v").where(F.col("shared") >= F.col("n") - spare).select("v")
+    fair = full.join(one.select(F.col("w").alias("v"), "n"), "v").where(F.col("shared") >= F.col("n") - spare).select("v")
     kept = stage(maybe.join(fair, "v"), "kept")
 
-    lists = stage(_prefixes(kept, rule), "lists")
-    tried = stage(_groups(lists).union(_central(_mixed(lists, None), rule, 1)).distinct(), "pairs")
-    links = stage(verify(tried, kept, rule), "links")
-    labels = components(links)
-    for k in (*ROUNDS, None):
-        mixed = stage(_mixed(lists, labels), "mixed")
-        if mixed.isEmpty():
+    heads_, members = groups(stage(_prefixes(kept, rule), "prefixes"))
+    lists = stage(heads_.select(F.explode("prefix").alias("token"), "g", "n", "q"), "lists")
+    lead = heads_.select("g", "v")
+    links = tried = labels = None
+    for k in (1, *ROUNDS, None):
+        labelled = _labelled(members, labels)
+        live = stage(_live(lists, labelled), "live")
+        if labels is not None and live.isEmpty() and labelled.groupBy("g").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").isEmpty():
             break
-        new = _central(mixed, rule, k) if k else _cross(mixed, rule)
-        new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = _meet(_central(live, k) if k else _outside(live), live, rule)
+        if k != ROUNDS[0]:  # members of one group
+            own = labelled.groupBy("g").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select(F.col("g").alias("x"), F.col("g").alias("y"))
+            pairs = pairs.unionByName(own).distinct()
+        some = labelled.join(lead, ["g", "v"]) if k else labelled
+        new = _expand(pairs, some, labelled, rule)
+        new = stage(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stage(verify(new, kept, rule), "links")
-        tried = tried.union(new)
-        if not found.isEmpty():
-            links = links.union(found)
+        tried = new if tried is None else tried.unionByName(new)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             labels = components(links)
-    member = one.select("v", "rep").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    member = one.select("v", "t", "w", "rep").join(labels.withColumnRenamed("v", "w"), "w", "left").withColumn("c", F.coalesce("c", "w"))
     least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "c").select("v", "component_id", *(["c"] if row else []))
+    named = member.join(least, "c").select("v", "t", "component_id", *(["c"] if row else []))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     more = [*extra, F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c")] if row else []
-    return every.join(named, "v", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), *more)
+    return every.join(named, ["v", "t"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), *more)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ null or repeat; extra columns are ignored. Only models that leave text as it is
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -44,8 +45,19 @@ _FILTER = 20
 LONG = 96  #: longer words advance alone
 
 
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse, modulo 2**64. Substrings of at most a piece's length are hashed by them, and no two pieces have one hash."""
+    both = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        row = np.full(n, x, np.uint64)
+        row[0] = 1
+        both.append(np.cumprod(row))
+    return tuple(both)
+
+
 def _up(n: int) -> np.ndarray:
-    return W._powers(_BASE, n + 1)[0]
+    return _powers(n + 1)[0]
 
 
 class Vocabulary:
@@ -177,7 +189,7 @@ class Vocabulary:
         """Back pointers of words of equal length: piece (-1: a character without piece) and its length, by end position."""
         n, length = codes.shape
         sums = np.zeros((length + 1, n), np.uint64)
-        up, down = W._powers(_BASE, length + 2)
+        up, down = (x[: length + 2] for x in _powers(1 << (length + 1).bit_length()))
         sums[1:] = np.cumsum((codes.T.astype(np.uint64) + np.uint64(0x10001)) * up[:length, None], 0)
         last, size = np.full((length + 1, n), -1), np.ones((length + 1, n), np.int64)
         best = np.zeros((length + 1, n))

@@ -1,4 +1,4 @@
-"""What the operators read from the session: shared folder, partitions."""
+"""What the operators read from the session: shared folder, partitions, sizes."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its machine; a cluster is refused, as its executors do not share one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,3 +37,24 @@ def small_batches(frame: DataFrame, rows: int = 1000) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of all that a plan reads, after Spark's own estimate of its leaves (files, for tables); 0 where it knows none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 60 else 0
+
+
+def packed_rest(docs: DataFrame, *own: str) -> tuple[DataFrame, list]:
+    """docs with the columns `own` (cast as given: (name, type)), and all others in one struct `rest` of plain names, so that no name of theirs can clash; and the expressions that give docs' columns back."""
+    from pyspark.sql import functions as F
+
+    named = {c.split()[0]: c.split()[1] for c in own}
+    others = [f for f in docs.schema if f.name not in named]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rest = F.struct(F.lit(True).alias("_"), *(quoted(f.name).alias(f"c{i}") for i, f in enumerate(others)))
+    place = {f.name: i for i, f in enumerate(others)}
+    kinds = {f.name: f.dataType for f in docs.schema}
+    back = [F.col(c).cast(kinds[c]).alias(c) if c in named else F.col("rest")[f"c{place[c]}"].alias(c) for c in docs.columns]
+    return docs.select(*(F.col(c).cast(t).alias(c) for c, t in named.items()), rest.alias("rest")), back

@@ -1,8 +1,12 @@
 """Words of whole Arrow text columns as numpy arrays of byte positions and hashes.
 
 A batch of texts is one byte buffer with offsets. Words are maximal runs of
-the bytes that a 256-entry table admits; their 64-bit hashes come from one
-polynomial prefix sum over the buffer, so no Python object is made per word.
+the bytes that a 256-entry table admits. Their 64-bit hashes chain the 8-byte
+lanes of a word through `mix`, for all words of a batch at once, so no Python
+object is made per word. Hashes of runs of words join the hashes of two shorter
+runs, again through `mix`. Neither is a polynomial, so no two texts collide by
+construction; where a result depends on equality, two such hashes of different
+lanes are compared.
 """
 
 from __future__ import annotations
@@ -13,8 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 17  #: bytes hashed at a time; the tables stay in a core's cache
-LONG = 1 << 20  #: a word of more bytes is hashed by blake2b
+LONG = 512  #: a word of more bytes is hashed by blake2b
 CHUNK = 1 << 20  #: bytes of text handled at a time
 
 #: [^\x20\x09-\x0D]
@@ -28,10 +31,9 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 0x20
 
-_SEED = np.random.default_rng(20240607)
-_BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_STEP, _WORD_STEPS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_K = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+LANES = (0, 1)  #: independent hashes of runs of words
 
 
 def _lean() -> None:
@@ -50,19 +52,6 @@ def _lean() -> None:
 _lean()
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(BLOCK + 1, 1 << int(n - 1).bit_length())
-        both = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, x, np.uint64)
-            row[0] = 1
-            both.append(np.cumprod(row))
-        _POWERS[base] = tuple(both)
-    return _POWERS[base]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -113,39 +102,63 @@ def split(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position of buf, as little-endian numbers; past its end they are 0."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+
+
+def ends_of(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last 8 bytes of each span; with its length they tell all of a span of up to 16 bytes."""
+    n = ends - starts
+    return eight[starts] & _MASK[np.minimum(n, 8)], np.where(n > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
-    """64-bit hashes of byte spans in ascending order that do not overlap."""
-    out, n, i = np.empty(len(starts), np.uint64), len(starts), 0
-    table = _BYTE[fold]
-    while i < n:
-        a = int(starts[i])
-        if ends[i] - a > LONG:
-            out[i] = int.from_bytes(hashlib.blake2b(fold[buf[a : ends[i]]].tobytes(), digest_size=8).digest(), "little")
-            i += 1
-            continue
-        j = max(i + 1, int(np.searchsorted(ends, a + BLOCK, "right")))
-        b = int(ends[j - 1])
-        up, down = _powers(_STEP, b - a + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(table[buf[a:b]] * up[: b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-        i = j
+    """64-bit hashes of byte spans."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if fold is not SAME:
+        buf = fold[buf]
+    n, eight = ends - starts, lanes(buf)
+    low, high = ends_of(eight, starts, ends)
+    out = mix(mix(low + n.astype(np.uint64) * _K[0]) * _K[1] + (high ^ _K[2]))
+    at, live = 8, np.flatnonzero(n > 16)
+    while len(live):  # the bytes between the first and the last 8
+        out[live] = mix(out[live] * _K[1] + (eight[starts[live] + at] ^ _K[3]))
+        at += 8
+        live = live[n[live] > at + 8]
+        if at > LONG:
+            for i in live.tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+            break
     return out
 
 
-def prefix(words: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums from which `ranges` takes the hash of any run of words."""
-    out = np.zeros(len(words) + 1, np.uint64)
-    up, _ = _powers(_WORD_STEPS[which], len(words) + 1)
-    np.cumsum(words * up[: len(words)], out=out[1:])
-    return out
+def _joined(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    return mix(a * _K[2 + lane] + mix(b ^ _K[lane]))
 
 
-def ranges(sums: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of the word runs [a, b)."""
-    _, down = _powers(_WORD_STEPS[which], len(sums))
-    return mix((sums[b] - sums[a]) * down[a])
+def runs(words: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hashes of the k words from each position on; len(words) - k + 1 of them."""
+    return spans(words, np.arange(max(len(words) - k + 1, 0)), np.full(max(len(words) - k + 1, 0), k), lane)
+
+
+def spans(words: np.ndarray, start: np.ndarray, n: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of runs of n words (0 or more) from start on: of two runs of a power of two that cover them, and of n."""
+    out = np.zeros(len(start), np.uint64)
+    level, size = words, 1
+    most = int(n.max()) if len(n) else 0
+    while size <= most:
+        at = np.flatnonzero((n >= size) & (n < 2 * size))
+        if len(at):
+            s = start[at]
+            out[at] = _joined(level[s], level[s + n[at] - size], lane) + n[at].astype(np.uint64) * _K[3 - lane]
+        size *= 2
+        if size <= most:
+            level = _joined(level[: len(level) - size // 2], level[size // 2 :], lane)
+    return out
 
 
 def starts_of(first: np.ndarray, k: int) -> np.ndarray:
