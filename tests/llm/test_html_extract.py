@@ -37,7 +37,7 @@ def test_wrapper_generalises():
 
     walk(have)
     assert {"+", "?", "t"} <= kinds
-    assert H.infer(pages) == ("html", "body", "article")
+    assert H.infer(pages)[0] == ("html:0:1", "body:0:1", "article:0:1")
     for x in pages:  # the wrapper reads each page that it was made from
         assert H._read(have, H.stream(H.parse(x)), 0) == len(H.stream(H.parse(x)))
 
@@ -94,3 +94,45 @@ def test_host_of_divs_keeps_all_sections_and_no_template(spark):
 
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def bare_page(i, n=4):
+    """No article or main, no names at all: links, an offer on some pages, remarks and an imprint with data around the text."""
+    text = "".join(f"<p>Sentence {k} of page {i}, {'which goes on and on ' * (2 + (i + k) % 3)}to its end.</p>" for k in range(n))
+    links = "".join(f"<div><a href='/{k}'>Other page {i + k}</a></div>" for k in range(5))
+    offer = f"<div><span>Offer {i} of the day</span></div>" if i % 3 else ""
+    return f"<html><body><div><a href='/'>Home</a>{links}</div>{offer}<div><div><h1>Title {i}</h1><div>{text}<div><i>Printed on paper</i></div></div></div><div><p>Page {i} was seen often</p></div></div><div>Imprint {i}</div></body></html>"
+
+
+def bare_want(i, n=4):
+    return "\n\n".join([f"Title {i}", *(f"Sentence {k} of page {i}, {'which goes on and on ' * (2 + (i + k) % 3)}to its end." for k in range(n))])
+
+
+def test_the_wrapper_alone_finds_the_text():
+    for named in (False, True):
+        pages = [bare_page(i, 3 + i % 3) for i in range(9)]
+        if named:  # names that tell nothing
+            pages = [x.replace("<body><div>", "<body><div class='x1'>").replace("</h1><div>", "</h1><div class='x2'>") for x in pages]
+        path, same = H.infer(pages)
+        assert H.text_of(pages[0], path) != H.text_of(pages[0], path, frozenset(same))
+        got = [H.text_of(x, path, frozenset(same)) for x in pages]
+        assert got == [bare_want(i, 3 + i % 3) for i in range(9)]
+        assert all(H.text_of(x, None) != y for x, y in zip(pages, got))  # without wrapper: more or less than the text
+
+
+def test_names_of_elements_do_not_delete_a_text(spark):
+    rows = []
+    for k, (body, inner) in enumerate([('<body class="right-sidebar">', "<article>{}</article>"), ("<body>", '<article class="post share-price">{}</article>'), ("<body>", '<article><div class="notice-period">{}</div></article>'), ("<body>", '<main class="share">{}</main>'), ("<body>", '<div class="sidebar content">{}</div>')]):
+        rows += [(10 * k + i, f"http://names{k}/{i}", f"{body}<nav>Go {i}</nav>{inner.format(f'<p>Hello world {i}</p><p>and more of it {i}</p>')}</body>", "") for i in range(4)]
+        rows.append((1000 + k, f"http://alone{k}/", f"{body}{inner.format('<p>Hello world</p>')}</body>", ""))
+    got = {x["page_id"]: x["text"] for x in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(5):
+        assert all(got[10 * k + i] == f"Hello world {i}\n\nand more of it {i}" for i in range(4))
+        assert got[1000 + k] == "Hello world"
+
+
+def test_long_sample_pages_are_aligned_whole():
+    pages = [f"<body><div class=a>{''.join(f'<p>{i} line {k}</p>' for k in range(6000 + i))}<section><p>late {i}</p><p>Always the same</p></section></div><div>foot</div></body>" for i in range(4)]
+    path, same = H.infer(pages)
+    text = H.text_of(pages[3], path, frozenset(same))
+    assert text.endswith("3 line 6002\n\nlate 3") and "Always" not in text
