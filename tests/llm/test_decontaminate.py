@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import decontaminate as D
@@ -61,7 +62,7 @@ def test_equals_brute_force(spark, seed, shortest, shard):
     b = spark.createDataFrame([(*x, "") for x in items], ITEMS)
     got = sorted((tuple(x) for x in D.digest(d, b, shard_words=shard).collect()), key=str)
     assert got == brute(docs, items)
-    spans = {(x["doc_id"], x["all_words"], x["hit_words"]) for x in D.spans(d.drop("items"), b, shard_words=shard).collect()}
+    spans = {(x["doc_id"], x["all_words"], x["hit_words"]) for x in D.spans(d.withColumn("a b.c", F.struct(F.lit(1).alias("odd name"))), b, shard_words=shard).collect()}
     assert spans == {(x[0], x[1], x[2]) for x in got}
 
 

@@ -63,6 +63,30 @@ def test_equals_brute_force(spark, seed):
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows)
 
 
+def test_texts_that_weak_hashes_confuse(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    s, t = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, s), (2, t), (3, " ".join(s)), (4, " ".join(t)), (5, f"{s} a b c d"), (6, f"{t} a b c d")]
+    got = J.near(spark.createDataFrame([(*x, "") for x in rows], SCHEMA))
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows)
+
+
+def test_equal_prefixes_and_sizes_are_one_group(spark):
+    sets = spark.createDataFrame([(1, 9, [5, 6], 70, 1, 2.0, [0]), (2, 9, [5, 6], 70, 1, 3.0, [0]), (3, 9, [5, 7], 71, 2, 2.0, [0])], "v long, n long, prefix array<long>, g long, t long, q double, o array<long>")
+    heads, members = J.groups(sets)
+    assert sorted((x["g"], x["v"], x["prefix"]) for x in heads.collect()) == [(1, 2, [5, 6]), (3, 3, [5, 7])]
+    assert sorted((x["g"], x["v"]) for x in members.collect()) == [(1, 1), (1, 2), (3, 3)]
+
+
+def test_one_long_list_that_does_not_link(spark):
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(14)]
+    rows = [(i, " ".join(common + [f"w{r.randrange(40)}" for _ in range(6)])) for i in range(700)]
+    rows += [(800 + i, " ".join(common + ["same"] * 6)) for i in range(300)]
+    got = J.near(spark.createDataFrame([(*x, "") for x in rows], SCHEMA).repartition(3))
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert J.near(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import substring_dedup, suffix_dedup
@@ -57,8 +59,64 @@ def test_equals_brute_force(spark, seed, run, k):
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, k)
 
 
-def test_empty_table(spark):
-    assert substring_dedup.digest(spark.createDataFrame([], SCHEMA)).count() == 0
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_empty_table(spark, op):
+    assert op.digest(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert op.clean(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_clean_keeps_columns_of_any_name(spark, op):
+    a = " ".join(f"a{i}" for i in range(50))
+    rows = [(1, f"{a} one"), (2, f"{a} two"), (3, a), (None, a), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(7).alias("my col"), F.struct(F.lit("x").alias("odd name")).alias("a.b"), "text", F.lit(True).alias("__"), F.lit(1).alias("spans"), F.lit(2).alias("rest"))
+    out = op.clean(frame)
+    assert out.columns == frame.columns and [f.dataType for f in out.schema] == [f.dataType for f in frame.schema]
+    got = sorted(((x["doc_id"], x["text"], x["my col"], x["a.b"][0], x["rest"]) for x in out.collect()), key=str)
+    assert got == sorted([(1, f"{a} one", 7, "x", 2), (2, "two", 7, "x", 2), (None, a, 7, "x", 2), (4, None, 7, "x", 2)], key=str)
+
+
+def twins(n=1024):
+    """Two texts of n letters that polynomial hashes modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize(("run", "k"), [(substring_dedup.digest, 13), (suffix_dedup.digest, 32)])
+def test_texts_that_weak_hashes_confuse(spark, run, k):
+    s, t = twins()
+    tail = " ".join(f"c{i}" for i in range(40))
+    rows = [(1, f"{s} {tail}"), (2, f"{t} {tail}"), (3, " ".join(s)), (4, " ".join(t)), (5, " ".join(twins(2048)[0])), (6, " ".join(twins(2048)[1]))]
+    got = run(spark.createDataFrame([(*r, "") for r in rows], SCHEMA))
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, k)
+
+
+def test_sparse_suffixes_are_ordered_and_extended():
+    r = np.random.default_rng(3)
+    words = r.integers(1, 4, 400).astype(np.uint64)
+    words[200:300] = words[20:120]  # a passage that stands twice
+    first = np.array([0, 200, 400])
+    p, row, h = suffix_dedup.sampled(words, first, 32, 12)
+    assert all(np.any((p >= a) & (p <= a + 20)) for a in range(168))  # each passage of 32 words holds a retained suffix
+    a, b, right, left = suffix_dedup.contexts(words, first, p, row, 32, 12)
+    order, common = suffix_dedup.ordered(a)
+    rows = [tuple(x) for x in a[order].tolist()]
+    assert rows == sorted(rows)  # the order of the suffixes
+    for x, y, n in zip(rows, rows[1:], common[1:].tolist()):  # common prefixes of neighbours
+        assert x[:n] == y[:n] and (n == 32 or x[n] != y[n])
+    hit = suffix_dedup.judged(a, b, right, left, row.astype(np.int64), 32, 12)
+    gone = np.zeros(400, bool)
+    for i, lo, hi in zip(*suffix_dedup._merged(hit, 32)):
+        gone[p[i] + lo : p[i] + hi] = True
+    assert not gone[:200].any() and gone[200:300].all()
+
+
+def test_paths_compact_across_nonbranching_nodes(spark):
+    # documents 2 and 3 have the blocks 10 > 11 > 12; 3 goes on to 13, and 4 enters 12 from 14
+    rows = [(2, 0, 14, 10), (2, 2, 14, 11), (2, 4, 14, 12), (3, 5, 14, 10), (3, 7, 14, 11), (3, 9, 14, 12), (3, 11, 14, 13), (4, 0, 14, 14), (4, 2, 14, 12), (9, 0, 14, 10), (9, 2, 14, 11)]
+    marks = spark.createDataFrame(rows, "doc_id long, start int, n int, key long")
+    got = sorted(tuple(x) for x in substring_dedup.compacted(marks, spark.createDataFrame([(9,)], "doc_id long"), 13).collect())
+    assert got == [(2, 0, 16, 10 ^ 11), (2, 4, 18, 12), (3, 5, 21, 10 ^ 11), (3, 9, 25, 12 ^ 13), (4, 0, 14, 14), (4, 2, 16, 12), (9, 0, 14, 10), (9, 2, 16, 11)]
 
 
 def test_long_word_and_text(spark):

@@ -17,7 +17,7 @@ through them one after the other.
 Null and empty texts have no words and no hits. Null item texts, and items
 without words, match nothing; rows of the benchmark that repeat an item_id are
 one item with several texts. Null item_ids are left out. Extra columns of
-documents pass through `clean`.
+documents pass through `clean` and `spans`.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words as W
-from .session import small_batches
+from .session import plain_names, small_batches
 
 WINDOW = 13
 SHARD_WORDS = 400_000  #: words of test items in one automaton
@@ -227,7 +228,9 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs, and spans (array of [start, stop) word numbers that are hit), items (array of item_ids), hit_words, all_words."""
+    """The rows of docs, and spans (array of [start, stop) word numbers that are hit), items (array of item_ids), hit_words, all_words; columns of docs with these names are replaced."""
+    docs = docs.drop(*_EXTRA)
+    named, docs = [*docs.columns, *_EXTRA], plain_names(docs, "text")
     machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,18 +243,15 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wor
                 extra = [pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(names.get(i, ())) for i in range(len(rows))], pa.list_(pa.string())), pa.array(_counts(first, hit), pa.int64()), pa.array(np.diff(first), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, *_EXTRA])
 
-    return docs.mapInArrow(run, _with(docs, "spans array<struct<start: long, stop: long>>, items array<string>, hit_words long, all_words long"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL("spans array<struct<start: long, stop: long>>, items array<string>, hit_words long, all_words long").fields])).toDF(*named)
 
 
 _EXTRA = ("spans", "items", "hit_words", "all_words")
 
 
-def _with(docs: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *([more] if more else [])])
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without the contaminated rows (coverage limit); from the others, hit spans are cut. Texts without hits stay as they are."""
+    named, docs = docs.columns, plain_names(docs, "text")
     machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wor
                 columns = [pa.array(texts, c.type) if name == "text" else c for name, c in zip(rows.schema.names, rows.columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, rows.schema.names).filter(pa.array(~((k > 0) & (COVERAGE * k >= n))))
 
-    return docs.mapInArrow(run, _with(docs, ""))
+    return docs.mapInArrow(run, docs.schema).toDF(*named)
 
 
 def _lead(raw: bytes) -> int:

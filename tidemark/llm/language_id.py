@@ -12,7 +12,7 @@ A text that is null or has no letter is `und` with score 0. Training rows with
 null lang or null text are not learned from. Equal shares go to the language
 that comes first in order. With no training row, every text is `und`. Only the
 text is an input of a prediction. doc_id may be null or repeat; extra columns
-are ignored by `predict` and kept by `annotate`.
+are ignored by `predict` and kept by `annotate`, but for those named as its results.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import words as W
-from .session import small_batches
+from .session import plain_names, small_batches
 
 GRAMS = 4096  #: hashed trigrams
 ROWS = 64  #: documents whose counts are held as one matrix
@@ -158,15 +159,16 @@ def _predicted(batch: pa.RecordBatch, model: Model) -> list[pa.Array]:
 
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of docs with these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    named, docs = [*docs.columns, "lang_pred", "score"], plain_names(docs, "text")
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *_predicted(batch, shared.value)], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])).toDF(*named)
 
 
 def mixtures(docs: DataFrame, model: Model) -> DataFrame:

@@ -58,3 +58,8 @@ def packed_rest(docs: DataFrame, *own: str) -> tuple[DataFrame, list]:
     kinds = {f.name: f.dataType for f in docs.schema}
     back = [F.col(c).cast(kinds[c]).alias(c) if c in named else F.col("rest")[f"c{place[c]}"].alias(c) for c in docs.columns]
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in named.items()), rest.alias("rest")), back
+
+
+def plain_names(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with all columns but `own` under plain names, by place, so that Python operators take columns of any name."""
+    return docs.toDF(*(c if c in own else f"_{i}" for i, c in enumerate(docs.columns)))

@@ -162,7 +162,8 @@ def compacted(marks: DataFrame, alone: DataFrame, window: int) -> DataFrame:
     leaves = links.groupBy("before").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v = w").select(F.col("before").alias("u"), "v")  # out-degree 1
     enters = links.groupBy("key").agg(F.min("before").alias("u"), F.max("before").alias("w")).where("u = w").select("u", F.col("key").alias("v"))  # in-degree 1
     open_ = leaves.join(enters, ["u", "v"])
-    known = steps.join(open_.select(F.col("u").alias("before"), F.col("v").alias("key"), F.lit(0).alias("same")), ["before", "key"], "left")
+    known = links.join(open_.select(F.col("u").alias("before"), F.col("v").alias("key"), F.lit(0).alias("same")), ["before", "key"], "left")
+    known = known.unionByName(steps.where("before IS NULL").withColumn("same", F.lit(None).cast("int")))  # path heads join nothing
     known = known.join(alone.select("doc_id", F.lit(1).alias("apart")), "doc_id", "left")
     run = F.sum(F.when(F.col("apart").isNull(), F.coalesce("same", F.lit(1))).otherwise(1)).over(of.rowsBetween(Window.unboundedPreceding, 0))
     return known.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.expr("bit_xor(key)").alias("mark")).select("doc_id", "start", "stop", "mark")
