@@ -22,9 +22,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null texts, texts without letters) go; the model learns from the rows that op3 learns from."""
+    """Documents in no language (null texts, texts without letters) go; the model learns from the rows that op3 learns from. Without such a row there is no model, and nothing goes."""
     docs = docs.select(*COLUMNS)
     model = language_id.fit(language_id.held_out(docs).where("NOT held_out"))
+    if not model.langs:
+        return docs
     return language_id.annotate(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
