@@ -72,9 +72,9 @@ def test_texts_that_weak_hashes_confuse(spark):
 
 
 def test_equal_prefixes_and_sizes_are_one_group(spark):
-    sets = spark.createDataFrame([(1, 9, [5, 6], 70, 1, 2.0, [0]), (2, 9, [5, 6], 70, 1, 3.0, [0]), (3, 9, [5, 7], 71, 2, 2.0, [0])], "v long, n long, prefix array<long>, g long, t long, q double, o array<long>")
+    sets = spark.createDataFrame([(1, 9, [5, 6], 70, 1, 2.0, [0] * 16), (2, 9, [5, 6], 70, 1, 3.0, [7] * 16), (3, 9, [5, 7], 71, 2, 2.0, [0] * 16)], "v long, n long, prefix array<long>, g long, t long, q double, o array<long>")
     heads, members = J.groups(sets)
-    assert sorted((x["g"], x["v"], x["prefix"]) for x in heads.collect()) == [(1, 2, [5, 6]), (3, 3, [5, 7])]
+    assert sorted((x["g"], x["v"], x["prefix"], x["radius"]) for x in heads.collect()) == [(1, 2, [5, 6], 48), (3, 3, [5, 7], 0)]
     assert sorted((x["g"], x["v"]) for x in members.collect()) == [(1, 1), (1, 2), (3, 3)]
 
 

@@ -13,9 +13,11 @@ Grouped prefix join.
    with the same prefix and size collapse into one group, and only groups have
    rows in the list of a shingle.
 3. `_meet`: groups that share a prefix shingle are paired, once however many they
-   share, and pairs drop out whose sizes do not fit or whose members are in one
-   component already. `_expand`: the pairs that stay are expanded to members,
-   whose sketches must fit, and `verify` holds their whole texts against the rule.
+   share. Pairs drop out whose sizes do not fit, whose members are in one
+   component already, or whose odd sketches are too far apart: that of the most
+   central member stands for a group, with the largest distance of a member from
+   it as radius. `_expand`: the pairs that stay are expanded to members, whose
+   own sketches must fit, and `verify` holds their whole texts against the rule.
 
 Links inside large groups and long lists are not all expanded. Each group's
 members are first verified against its most central one (whose shingles are the
@@ -225,9 +227,16 @@ def _sizes(rule: Rule):
     return F.lit(rule.den) * F.least("nx", "ny") >= F.lit(rule.num) * F.greatest("nx", "ny")
 
 
-def _fits(rule: Rule):
-    """Whether (nx, ox) and (ny, oy) may link: sizes fit, and the sketches do not differ in more bits than linked sets differ in tokens."""
-    differ = sum((F.bit_count(F.col("ox")[i].bitwiseXOR(F.col("oy")[i])) for i in range(SKETCH // 64)), F.lit(0))
+def _apart(a, b):
+    """In how many bits two sketches differ."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def _fits(rule: Rule, radius=None):
+    """Whether (nx, ox) and (ny, oy) may link: sizes fit, and the sketches (less the radius) do not differ in more bits than linked sets differ in tokens."""
+    differ = _apart(F.col("ox"), F.col("oy"))
+    if radius is not None:
+        differ = F.greatest(differ - radius, F.lit(0))
     n = F.col("nx") + F.col("ny")
     # den * both >= num * (n - both), and differ <= n - 2 * both
     return _sizes(rule) & (F.lit(rule.num + rule.den) * (n - differ) >= F.lit(2 * rule.num) * n)
@@ -248,11 +257,14 @@ def _parts(count):
 
 
 def groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From _prefixes, the groups of sets with the same prefix and size: (g, n, prefix, parts, q and v of the most central member), and their members (g, v, n, o, parts)."""
-    one = sets.groupBy("g", "t").agg(F.min("v").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), _parts(F.count("*")).alias("parts"), F.max(F.struct("q", "v")).alias("lead"))
+    """From _prefixes, the groups of sets with the same prefix and size (g, n, prefix, parts; q, v and o of the most central member, radius), and their members (g, v, n, o, parts)."""
+    one = sets.groupBy("g", "t").agg(F.min("v").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), _parts(F.count("*")).alias("parts"), F.max(F.struct("q", "v", "o")).alias("lead"))
     one = stage(one, "groups")
-    members = sets.select("g", "t", "v", "n", "o").join(one.select("g", "t", "id", "parts"), ["g", "t"]).select(F.col("id").alias("g"), "v", "n", "o", "parts")
-    return one.select(F.col("id").alias("g"), "n", "prefix", "parts", F.col("lead.q").alias("q"), F.col("lead.v").alias("v")), stage(members, "members")
+    members = sets.select("g", "t", "v", "n", "o").join(one.select("g", "t", "id", "parts", F.col("lead.o").alias("center")), ["g", "t"])
+    members = stage(members.select(F.col("id").alias("g"), "v", "n", "o", "parts", _apart(F.col("o"), F.col("center")).alias("d")), "members")
+    radius = members.groupBy("g").agg(F.max("d").alias("radius"))
+    heads_ = one.select(F.col("id").alias("g"), "n", "prefix", "parts", F.col("lead.q").alias("q"), F.col("lead.v").alias("v"), F.col("lead.o").alias("o"))
+    return stage(heads_.join(radius, "g"), "heads"), members.drop("d")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -260,26 +272,29 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.withColumn("c", F.col("v")) if labels is None else members.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
 
 
-def _live(lists: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Lists whose groups are in several components: token, g, n, q, lo and hi (least and greatest component of the group's members), split (parts of the list)."""
-    at = lists.join(labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
+def _live(heads_: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Lists whose groups are in several components: token, g, n, q, o, radius, lo and hi (least and greatest component of the group's members), split (parts of the list)."""
+    at = heads_.join(labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
+    at = at.select(F.explode("prefix").alias("token"), "g", "n", "q", "o", "radius", "lo", "hi")
     mixed = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), _parts(F.count("*")).alias("split")).where("l < h").select("token", "split")
     return _dealt(at, "g", F.lit(16)).join(_each(mixed, F.lit(16)), ["token", "part"]).drop("part")
 
 
 def _meet(one: DataFrame, live: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (x, y) of groups of one and of live in the same list, whose sizes fit and whose members are not all in one component."""
-    x = _each(one, F.col("split")).select("token", "part", F.col("g").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
-    y = _dealt(live, "g", F.col("split")).select("token", "part", F.col("g").alias("y"), F.col("n").alias("ny"), "lo", "hi")
-    return y.join(x, ["token", "part"]).where(_sizes(rule) & (F.least("lo", "lx") < F.greatest("hi", "hx"))).select("x", "y").distinct()
+    """Pairs (x, y, and y's lo and hi) of groups of one and of live in the same list that may have members that link and are not all in one component."""
+    x = _each(one, F.col("split")).select("token", "part", F.col("g").alias("x"), F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("radius").alias("rx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
+    y = _dealt(live, "g", F.col("split")).select("token", "part", F.col("g").alias("y"), F.col("n").alias("ny"), F.col("o").alias("oy"), F.col("radius").alias("ry"), "lo", "hi")
+    fits = (F.least("lo", "lx") < F.greatest("hi", "hx")) & _fits(rule, F.col("rx") + F.col("ry"))
+    return y.join(x, (x["token"] == y["token"]) & (x["part"] == y["part"]) & fits).select("x", "y", "lo", "hi").distinct()
 
 
 def _central(live: DataFrame, k: int) -> DataFrame:
     """The k most central groups of each list."""
-    best = live
-    for keys in ([F.col("token"), F.pmod("g", F.lit(32))], [F.col("token")]):  # a long list is first cut down in 32 parts
+    best = live.select("token", "g", "q")
+    for parts in (64, 8, 1):  # a long list is cut down in parts
+        keys = [F.col("token"), F.pmod("g", F.lit(parts))]
         best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), "g"))).where(F.col("r") <= k).drop("r")
-    return best
+    return live.join(best.select("token", "g"), ["token", "g"])
 
 
 def _outside(live: DataFrame) -> DataFrame:
@@ -295,8 +310,12 @@ def _expand(pairs: DataFrame, some: DataFrame, members: DataFrame, rule: Rule) -
     split = members.select("g", "parts").where("parts > 1").distinct()
     many = pairs.join(split.select(F.col("g").alias("x"), F.col("parts").alias("px")), "x", "left").join(split.select(F.col("g").alias("y"), F.col("parts").alias("py")), "y", "left")
     named = lambda m, z: _dealt(m, "v", F.col("parts")).select(F.col("g").alias(z), "part", F.col("v").alias(f"v{z}"), F.col("c").alias(f"c{z}"), F.col("n").alias(f"n{z}"), F.col("o").alias(f"o{z}"))
-    left = _each(many, F.coalesce("px", F.lit(1))).join(named(some, "x"), ["x", "part"]).drop("part")
-    both = _each(left, F.coalesce("py", F.lit(1))).join(named(members, "y"), ["y", "part"]).where((F.col("cx") != F.col("cy")) & _fits(rule))
+    a = _each(many, F.coalesce("px", F.lit(1)))
+    b = named(some, "x")
+    left = a.join(b, (a["x"] == b["x"]) & (a["part"] == b["part"]) & ((F.col("cx") != F.col("lo")) | (F.col("cx") != F.col("hi")))).select(b["x"], "y", "py", "vx", "cx", "nx", "ox")
+    a = _each(left, F.coalesce("py", F.lit(1)))
+    b = named(members, "y")
+    both = a.join(b, (a["y"] == b["y"]) & (a["part"] == b["part"]) & (F.col("cx") != F.col("cy")) & _fits(rule))
     return both.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
 
 
@@ -339,20 +358,18 @@ def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
     kept = stage(maybe.join(fair, "v"), "kept")
 
     heads_, members = groups(stage(_prefixes(kept, rule), "prefixes"))
-    lists = stage(heads_.select(F.explode("prefix").alias("token"), "g", "n", "q"), "lists")
     lead = heads_.select("g", "v")
     links = tried = labels = None
     for k in (1, *ROUNDS, None):
         labelled = _labelled(members, labels)
-        live = stage(_live(lists, labelled), "live")
-        if labels is not None and live.isEmpty() and labelled.groupBy("g").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").isEmpty():
+        live = stage(_live(heads_, labelled), "live")
+        own = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("g").alias("x"), F.col("g").alias("y"), "lo", "hi")  # members of one group
+        if labels is not None and live.isEmpty() and own.isEmpty():
             break
         pairs = _meet(_central(live, k) if k else _outside(live), live, rule)
-        if k != ROUNDS[0]:  # members of one group
-            own = labelled.groupBy("g").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select(F.col("g").alias("x"), F.col("g").alias("y"))
+        if k != ROUNDS[0]:
             pairs = pairs.unionByName(own).distinct()
-        some = labelled.join(lead, ["g", "v"]) if k else labelled
-        new = _expand(pairs, some, labelled, rule)
+        new = _expand(pairs, labelled.join(lead, ["g", "v"]) if k else labelled, labelled, rule)
         new = stage(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stage(verify(new, kept, rule), "links")
         tried = new if tried is None else tried.unionByName(new)
