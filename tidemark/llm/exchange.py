@@ -18,7 +18,7 @@ from . import words as W
 from .session import partitions, size_of
 
 BUCKET = 32 << 20  #: bytes of input for each bucket
-HOLD = 1 << 19  #: rows that a map task holds before it sends them
+HOLD = 1 << 18  #: rows that a map task holds before it sends them
 
 
 def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:

@@ -177,7 +177,7 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
         for part, s, e, first, ids, _ in passages.parts(batch):
             x = Blocks(W.hash_spans(part, s, e), first, window, anchor)
             if len(x.start):
-                yield (x.h >> np.uint64(32)).astype(np.uint32), x.b, x.c, x.side, ids[x.doc], x.start - first[x.doc], x.stop - x.start
+                yield (x.h >> np.uint64(32)).astype(np.uint32), x.b, x.c, x.side, ids[x.doc], (x.start - first[x.doc]).astype(np.int32), (x.stop - x.start).astype(np.uint8)
 
     def edges_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         for part, s, e, first, ids, rows in passages.parts(batch):
@@ -190,7 +190,7 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
                 start = np.repeat(x.start[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
                 doc, size = np.repeat(x.doc[at], k), np.full(len(start), window)
                 b, c = W.spans(x.words, start, size), (W.spans(x.words, start, size, 1) >> np.uint64(32)).astype(np.uint32)
-                yield (b >> np.uint64(32)).astype(np.uint32), b, c, np.zeros(len(b), np.uint32), ids[doc], start - first[doc], size
+                yield (b >> np.uint64(32)).astype(np.uint32), b, c, np.zeros(len(b), np.uint32), ids[doc], (start - first[doc]).astype(np.int32), size.astype(np.uint8)
 
     own = docs.select("doc_id", "text")
     marks = stage(by_bucket(own.mapInArrow(_sender(n, blocks_of), _PACKED), _compare(WHOLE), MARKS, n), "marks")
