@@ -46,8 +46,8 @@ from .session import stage
 WINDOW, ANCHOR = 13, 4
 WHOLE, CHECK, SINGLE = 0, 1, 2
 
-_ROW = {"h": "<u4", "b": "<u8", "c": "<u4", "side": "<u4", "doc": "<i8", "start": "<i4", "n": "u1"}
-_LATER = {"vdoc": "<i8", "vstart": "<i4", "vn": "u1", "vkey": "<u8"}
+_ROW = {"h": "<u4", "b": "<u8", "c": "<u4", "side": "<u4", "doc": "<i8", "start": "<i4", "n": "<u2"}
+_LATER = {"vdoc": "<i8", "vstart": "<i4", "vn": "<u2", "vkey": "<u8"}
 _PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in (*_ROW, *_LATER))
 MARKS = "doc_id long, kind int, start int, n int, key long"
 
@@ -106,7 +106,7 @@ def _send(found: list[tuple], n: int) -> pa.RecordBatch:
     one = {c: x[~later].astype(k) for (c, x), k in zip(row.items(), _ROW.values(), strict=True)}
     a = pack(to_bucket(W.mix(one["h"].astype(np.uint64)), n), one)
     doc, key = row["doc"][later], key_of(row["b"][later], row["c"][later])
-    b = pack(of_doc(doc, n), {"vdoc": doc, "vstart": row["start"][later].astype("<i4"), "vn": row["n"][later].astype("u1"), "vkey": key})
+    b = pack(of_doc(doc, n), {"vdoc": doc, "vstart": row["start"][later].astype("<i4"), "vn": row["n"][later].astype("<u2"), "vkey": key})
     return beside([a, b], ["bucket", *_ROW, *_LATER])
 
 
@@ -131,7 +131,7 @@ def _compare(kind: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         row = {c: unpack(table, c, k) for c, k in _ROW.items()}
-        out = [_marks(unpack(table, "vdoc", "<i8"), kind, unpack(table, "vstart", "<i4"), unpack(table, "vn", "u1"), unpack(table, "vkey", "<u8"))]
+        out = [_marks(unpack(table, "vdoc", "<i8"), kind, unpack(table, "vstart", "<i4"), unpack(table, "vn", "<u2"), unpack(table, "vkey", "<u8"))]
         if len(row["h"]):
             order, cls, least = classes([row["h"], row["b"], row["c"]], row["doc"])
             row = {c: x[order] for c, x in row.items()}
@@ -177,7 +177,7 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
         for part, s, e, first, ids, _ in passages.parts(batch):
             x = Blocks(W.hash_spans(part, s, e), first, window, anchor)
             if len(x.start):
-                yield (x.h >> np.uint64(32)).astype(np.uint32), x.b, x.c, x.side, ids[x.doc], (x.start - first[x.doc]).astype(np.int32), (x.stop - x.start).astype(np.uint8)
+                yield (x.h >> np.uint64(32)).astype(np.uint32), x.b, x.c, x.side, ids[x.doc], (x.start - first[x.doc]).astype(np.int32), (x.stop - x.start).astype(np.uint16)
 
     def edges_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         for part, s, e, first, ids, rows in passages.parts(batch):
@@ -190,7 +190,7 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
                 start = np.repeat(x.start[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
                 doc, size = np.repeat(x.doc[at], k), np.full(len(start), window)
                 b, c = W.spans(x.words, start, size), (W.spans(x.words, start, size, 1) >> np.uint64(32)).astype(np.uint32)
-                yield (b >> np.uint64(32)).astype(np.uint32), b, c, np.zeros(len(b), np.uint32), ids[doc], (start - first[doc]).astype(np.int32), size.astype(np.uint8)
+                yield (b >> np.uint64(32)).astype(np.uint32), b, c, np.zeros(len(b), np.uint32), ids[doc], (start - first[doc]).astype(np.int32), size.astype(np.uint16)
 
     own = docs.select("doc_id", "text")
     marks = stage(by_bucket(own.mapInArrow(_sender(n, blocks_of), _PACKED), _compare(WHOLE), MARKS, n), "marks")
