@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import columns as C
-from tidemark.operators import costs, event, execution, joins, portfolio, recipes
+from tidemark.operators import costs, engine, event, execution, joins, portfolio, recipes, sweeps
 from tidemark.operators.panel import Panel, check_alignment, compounded, forward, ret
 from tidemark.sources import bars as B
 from tidemark.sources import ledger, long_table
@@ -144,9 +144,6 @@ def test_costs_and_execution(spark, p):
     capped = execution.realize(target, cap_gross=True).groupBy("t").agg(F.sum(F.abs("h")).alias("g")).collect()
     gross = {0: 1.0, 1: 0.3, 2: 0.5}
     assert all(x["g"] <= gross[x["t"]] + 1e-9 or x["t"] == 1 for x in capped)
-    e = execution.suspensions(p.df, 1).count()
-    close = wide(p.df, "close")
-    assert e == sum(sum(1 for k, g in itertools.groupby(close[c].dropna().reindex(range(close[c].first_valid_index(), 60)).isna()) if k) for c in close)
     with pytest.raises(ValueError):
         costs.ImpactModel(aum=-1)
 
@@ -172,7 +169,11 @@ def test_inference(spark):
     d = stats.deflated_sharpe(df)
     assert d["trial"] == 3 and d["dsr"] > 0.95 and stats.pbo(df) < 0.1
     w = stats.walk_forward(df, 60, 30)
-    assert w.select("trial").distinct().count() == 1 and w.count() == 180
+    assert w.select("trial").distinct().count() == 1 and w.count() == 180 and w.where("trial <> 3").isEmpty()
+    part = stats.walk_forward(df, 60, 50, step=25, expanding=False, select=lambda v: -v.mean())
+    assert part.groupBy("t").count().where("count > 1").isEmpty() and part.where("trial = 3").isEmpty()
+    with pytest.raises(ValueError):
+        stats.walk_forward(df, 235, 20)
     x = R[:, 0]
     e = x - x.mean()
     want = math.sqrt(e @ e + sum(2 * (1 - k / 5) * (e[k:] @ e[:-k]) for k in range(1, 5))) / len(x)
@@ -204,8 +205,13 @@ def test_cross_sections(spark):
     res = recipes.neutralize(df.withColumn("g", 2 * F.col("c") + F.col("f")), "g", ["c"]).join(df, ["t", "ticker"])
     assert abs(res.agg(F.corr("residual", "c")).first()[0]) < 1e-9
     assert recipes.neutralize(df.withColumn("g", 2 * F.col("c")), "g", ["c"]).count() == 0
-    g = event.run_gates(3.0, 5.0, 0.7, [0.1, 0.2], [0.1, 0.2, -0.1], {"active": 0.5, "top10": 0.2, "overlap": 0.1})
-    assert g["passed"] and event.run_gates(1.0, 5.0, 0.7, [0.1, 0.2], [0.1], {"active": 0.5, "top10": 0.2, "overlap": 0.1})["first_failure"] == "significant"
+    good = {"max_name_share": 0.2, "daily_turnover": 0.5}
+    g = event.run_gates(3.5, 5.0, 0.7, [0.1, 0.2], [0.1, 0.2, -0.1], good)
+    assert g["passed"] and event.run_gates(1.0, 5.0, 0.7, [0.1, 0.2], [0.1], good)["first_failure"] == "G1 threshold"
+    assert event.run_gates(3.5, 5.0, None, [0.1, 0.2], [0.1], good)["first_failure"] == "G4 monotone"
+    assert event.run_gates(3.5, 5.0, 0.7, [0.1, 0.2], [0.1], good | {"max_name_share": 0.6})["first_failure"] == "G6 structure"
+    strict = event.GateConfig(min_neutral_survival=50.0)
+    assert event.run_gates(3.5, 5.0, 0.7, [0.1, 0.2], [0.1], good, strict, 40.0)["first_failure"] == "G7 neutral"
 
 
 def test_sources(spark, tmp_path):
@@ -273,3 +279,164 @@ def test_pbo_tries_all_splits_of_sixteen_blocks(spark):
         best, out = (a.mean(0) / a.std(0)).argmax(), o.mean(0) / o.std(0)
         bad.append((out <= out[best]).sum() / 6 <= 0.5)
     assert len(bad) == 12870 and stats.pbo(df) == pytest.approx(np.mean(bad))
+
+
+def fills(at, buy, sell, cap, capital=None, price=None, lot=1.0, least=0.0):
+    """The rules of a fill day by day, in plain loops."""
+    out, prev = [], [0.0] * at.shape[1]
+    for t in range(len(at)):
+        def day(k):
+            want, new = [], []
+            for j, x in enumerate(at[t] * k):
+                if capital is not None and x != 0:
+                    x = np.round(x * capital / price[t, j] / lot) * lot * price[t, j] / capital if np.isfinite(price[t, j]) else prev[j]
+                d = x - prev[j]
+                stuck = d > 0 and not buy[t, j] or d < 0 and not sell[t, j] or capital is not None and d != 0 and abs(d) * capital < least
+                want.append(x)
+                new.append(prev[j] if stuck else x)
+            return want, new
+
+        want, new = day(1.0)
+        room = sum(map(abs, want)) + 1e-12
+        if cap and sum(map(abs, new)) > room:
+            k = 0.0
+            if sum(map(abs, day(0.0)[1])) <= room:
+                k = max(k for k in np.linspace(0, 1, 4001) if sum(map(abs, day(k)[1])) <= room)
+            new = day(k)[1]
+        out.append(prev := new)
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("cap", "lots"), [(False, False), (False, True), (True, False)])
+def test_fills_equal_loops(spark, cap, lots):
+    r = np.random.default_rng(5)
+    T, N = 30, 6
+    at = r.normal(0, 0.3, (T, N)).round(2) * (r.random((T, N)) > 0.2)
+    buy, sell, price = r.random((T, N)) > 0.25, r.random((T, N)) > 0.25, r.uniform(5, 50, (T, N))
+    price[r.random((T, N)) < 0.1] = np.nan
+    rows = [(t, f"N{j}", float(at[t, j]), bool(buy[t, j]), bool(sell[t, j]), None if np.isnan(price[t, j]) else float(price[t, j]), 10.0) for t in range(T) for j in range(N)]
+    df = spark.createDataFrame(rows, "t int, ticker string, w double, can_buy boolean, can_sell boolean, price double, lot double")
+    money = {"capital": 1e4, "least_trade": 500.0} if lots else {}
+    got = execution.realize(df, (), cap, **money)
+    h = got.select("t", "ticker", "h").toPandas().pivot(index="t", columns="ticker", values="h").sort_index().to_numpy()
+    want = fills(at, buy, sell, cap, 1e4 if lots else None, price, 10.0, 500.0)
+    if not cap:
+        assert np.allclose(h, want, atol=1e-12)
+    else:  # the scale is searched on a grid there: the gross value keeps to the target's, and is not far below what the grid finds
+        for t in range(T):
+            assert np.abs(h[t]).sum() <= max(np.abs(at[t]).sum(), np.abs(np.where((h[t] == (h[t - 1] if t else 0)), h[t], 0)).sum()) + 1e-9
+        assert np.allclose(h[0], want[0], atol=1e-3)
+    s = execution.fill_statistics(got).first()
+    stuck = got.where("blocked AND t > 0").count()
+    assert s["blocked_trades"] == stuck > 0 and 0 < s["blocked_share"] < 1 and (s["mean_scale"] < 1) == cap
+
+
+def test_suspensions_have_four_outcomes(spark):
+    def bars(name, closes, volumes, last=None):
+        return [(t, name, None if c is None else float(c), None if v is None else float(v), t == last) for t, (c, v) in enumerate(zip(closes, volumes))]
+
+    rows = bars("resumed", [10.0] * 12, [1.0, 1, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1]) + bars("dead", [10.0] * 5 + [None] * 7, [1.0, 1, 0, None, 0] + [None] * 7, 4)
+    rows += bars("liquidated", [10.0, 10, 10, 10, 10, 4, 3] + [None] * 5, [1.0, 1, 0, 0, 0, 1, 1] + [None] * 5, 6) + bars("open", [10.0] * 12, [1.0] * 9 + [0.0] * 3)
+    rows += bars("first", [5.0] * 4 + [6.0] * 8, [0.0] * 4 + [1.0] * 8) + bars("short", [5.0] * 12, [1.0, 0, 0] + [1.0] * 9)
+    df = spark.createDataFrame(rows, "t int, ticker string, close double, volume double, delist_after boolean")
+    got = {x["ticker"]: (x["start_t"], x["end_t"], x["outcome"], x["ret"]) for x in execution.freeze_episodes(df, 3, 5).collect()}
+    assert got == {"resumed": (2, 4, "resumed", 0.0), "dead": (2, 4, "ended_in_halt", 0.0), "liquidated": (2, 4, "resumed_then_delisted", 3 / 10 - 1), "open": (9, 11, "ongoing", None), "first": (0, 3, "resumed", None)}
+    m = {(x["ticker"], x["t"]): (x["can_buy"], x["can_sell"]) for x in execution.tradability(df, max_gap=3).collect()}
+    assert m["dead", 3] == (False, False) and m["dead", 4] == (False, False) and m["dead", 5] == (True, True)  # unknown volume halts; after the last bar a position can be closed
+    gap = spark.createDataFrame([(t, "A", 1.0 if t < 3 or t > 8 else None, 1.0) for t in range(12)], "t int, ticker string, close double, volume double")
+    assert [x["can_sell"] for x in execution.tradability(gap, max_gap=3).orderBy("t").collect()] == [True] * 3 + [False] * 3 + [True] * 6
+    move = spark.createDataFrame([(t, "A", c, 1.0) for t, c in enumerate([100.0, 129.0, 128.0, 91.0])], "t int, ticker string, close double, volume double")
+    got = [(x["can_buy"], x["can_sell"]) for x in execution.tradability(move, limit=0.3).orderBy("t").collect()]
+    assert got == [(True, True), (False, True), (True, True), (True, True)]
+    with pytest.raises(ValueError):
+        execution.tradability(move, limit=0.3, tol=0.4)
+
+
+def test_engine_arguments(spark, p):
+    f = recipes.reversal(4)
+    base = engine.backtest_portfolio(p, f, long_q=0.25, short_q=0.25, hold=3, spread_bp=20.0, benchmark="equal", grid=False)
+    old = portfolio.backtest_portfolio(p, "factor", long_q=0.25, short_q=0.25, hold=3, spread_bp=20.0, df=portfolio.one_bar(p).withColumn("factor", f)).orderBy("t").toPandas()
+    assert np.allclose(base.daily.orderBy("t").toPandas()["net"], old["net"], atol=1e-12)
+    same = p.df.select("date", "ticker", F.lit(10.0).alias("value"))
+    panel = engine.backtest_portfolio(p, f, long_q=0.25, short_q=0.25, hold=3, spread_bp=same, grid=False, benchmark=None)  # a panel is one way: half of the round trip
+    assert np.allclose(panel.daily.orderBy("t").toPandas()["net"], old["net"], atol=1e-12)
+    late = spark.createDataFrame([(day(5), 3.0)], "effective_date date, value double")
+    with pytest.raises(ValueError, match="unknown"):
+        engine.backtest_portfolio(p, f, buy_bp=late, grid=False)
+    hole = p.df.select("date", "ticker", F.when(F.col("t") % 2 == 0, 5.0).alias("value"))
+    with pytest.raises(ValueError, match="short is held"):
+        engine.backtest_portfolio(p, f, borrow_bp=hole, grid=False, long_q=0.25, short_q=0.25)
+    for bad in ({"sell_bp": -1.0}, {"weighting": "other"}, {"benchmark": "other"}, {"freeze_days": 2, "freeze_return": 0.1}, {"freeze_days": 0}, {"hold": 0}):
+        with pytest.raises(ValueError):
+            engine.backtest_portfolio(p, f, grid=False, **bad)
+    g = engine.backtest_portfolio(p, f, long_q=0.25, short_q=0.25, hold=3, spread_bp=20.0).grid
+    one = g.where("hold = 5 AND cost_bp = 20.0").orderBy("t").toPandas()["net"]
+    assert np.allclose(one, engine.backtest_portfolio(p, f, long_q=0.25, short_q=0.25, hold=5, spread_bp=20.0, grid=False).daily.orderBy("t").toPandas()["net"], atol=1e-12)
+    masked = p.with_df(execution.tradability(p.df, max_gap=None))
+    run = engine.backtest_portfolio(masked, f, long_q=0.25, short_q=0.25, hold=3, cap_gross=True)
+    m = run.metrics()
+    assert m["blocked_trades"] > 0 and m["mean_scale"] < 1 and run.positions.groupBy("t").agg(F.sum(F.abs("h")).alias("g")).agg(F.max("g")).first()[0] < 3
+
+
+def test_weights_engine(spark, p):
+    w = p.df.where("eligible AND close IS NOT NULL").select("date", "ticker", (F.when(F.col("ticker") < "N06", 0.1).otherwise(-0.05)).alias("w"))
+    h = wide(joins.align(p.df, w), "w").fillna(0).to_numpy()
+    close = wide(p.df, "close")
+    fwd = (close / close.shift(1) - 1).shift(-2).fillna(0).to_numpy()
+    d = np.vstack([np.zeros(h.shape[1]), np.diff(h, axis=0)])
+    want = (h * fwd).sum(1) - np.abs(d).sum(1) * 8 / 2e4 - (np.maximum(d, 0) * 2 + np.maximum(-d, 0) * 20).sum(1) / 1e4 - np.maximum(-h, 0).sum(1) * 100 / 1e4 / 365
+    run = engine.backtest_weights(p, w, spread_bp=8.0, buy_bp=2.0, sell_bp=20.0, borrow_bp=100.0)
+    assert np.allclose(run.daily.orderBy("t").toPandas()["net"], want[:-2], atol=1e-12)
+    with pytest.raises(ValueError, match="not eligible"):
+        engine.backtest_weights(p, p.df.select("date", "ticker", F.lit(0.1).alias("w")))
+    banned = p.with_df(p.df.withColumn("shortable", F.lit(False)))
+    with pytest.raises(ValueError, match="short"):
+        engine.backtest_weights(banned, w)
+    with pytest.raises(ValueError, match="capital"):
+        engine.backtest_weights(p, w, min_trade_value=5.0)
+    price = p.df.select("date", "ticker", F.col("close").alias("value"))
+    lots = engine.backtest_weights(p, w, capital=1e5, price=price, lot=10.0)
+    x = lots.positions.join(p.df.select("t", "ticker", F.lead("close", 1).over(C.by_time()).alias("px")), ["t", "ticker"]).where("h <> 0 AND px IS NOT NULL").withColumn("s", F.col("h") * 1e5 / F.col("px") / 10)
+    assert x.where("abs(s - round(s)) < 1e-6").count() > 0.8 * x.count() and lots.figures["skipped_trades"] == 0
+
+
+def test_more_inference(spark):
+    r = np.random.default_rng(7)
+    x, y = r.normal(0.001, 0.01, 400), r.normal(0.0, 0.01, 400)
+    f = lambda v: spark.createDataFrame([(t, day(t), float(z)) for t, z in enumerate(v)], "t int, date date, net double")
+    d = stats.sharpe_diff_ci(f(y), f(y + 0.002), 252, 200)
+    assert d["lo"] > 0 and d["p"] < 0.05 and stats.sharpe_diff_ci(f(x), f(x), 252, 200)["diff"] == 0
+    q = stats.drawdown_distribution(f(x), 200)
+    e = np.cumprod(1 + x)
+    assert q["realized"] == pytest.approx((e / np.maximum(np.maximum.accumulate(e), 1) - 1).min()) and q["p05"] < q["p50"] < q["p95"] < 0
+    io = stats.in_out_of_sample(f(x), day(200), 252)
+    assert io["mean_diff_t"] == pytest.approx((x[200:].mean() - x[:200].mean()) / math.sqrt(x[:200].var(ddof=1) / 200 + x[200:].var(ddof=1) / 200)) and io["in_sample"]["bars"] == 200
+    var = [x[:20].var(ddof=1)]
+    for v in x:
+        var.append(0.94 * var[-1] + 0.06 * v * v)
+    assert stats.filtered_risk(f(x))["var_95_now"] == pytest.approx(math.sqrt(var[-1]) * np.percentile(x / np.sqrt(var[:-1]), 5))
+    m = stats.mean_report(f(x), 252)
+    assert m["win_rate"] == pytest.approx((x > 0).mean()) and m["win_lo"] < m["win_rate"] < m["win_hi"] and m["sharpe"] == pytest.approx(x.mean() / x.std(ddof=1) * math.sqrt(252))
+    dd = stats.drawdown_dates(f([0.1, -0.2, 0.05, 0.3, -0.1])).first()
+    assert (dd["peak_t"], dd["trough_t"], dd["recovery_t"]) == (0, 1, 3)
+    frame = pd.DataFrame({"y": 0.5 * x + y, "a": x, "b": r.normal(size=400)})
+    o = stats.decompose(frame, "y", ["a", "b"])
+    assert o["alpha_annual"] + sum(o["contribution_annual"].values()) == pytest.approx(frame["y"].mean() * 252) and 0 < o["unexplained_share"] < 1
+    with pytest.raises(ValueError):
+        stats.decompose(frame.assign(c=1.0), "y", ["a", "c"])
+
+
+def test_permutations_and_lookahead(p):
+    known = F.lead("close", 2).over(C.by_time()) / F.lead("close", 1).over(C.by_time())
+    for method in ("labels", "daily"):
+        s = sweeps.null_summary(sweeps.factor_permutation(p, known, 19, method, long_q=0.25, short_q=0.25, hold=1))
+        assert s["p"] == 0.05 and s["real"] > s["null_p99"]
+    rep = sweeps.factor_permutation(p, recipes.reversal(4), 10, long_q=0.25, short_q=0.25, hold=3).where("rep = -1").first()["sharpe"]
+    net = engine.backtest_portfolio(p, recipes.reversal(4), long_q=0.25, short_q=0.25, hold=3, spread_bp=0.0, benchmark=None, grid=False).daily.toPandas()["net"]
+    assert rep == pytest.approx(net.mean() / net.std() * math.sqrt(365))
+    up = F.lead("close", 3).over(C.by_time()) / F.lead("close", 1).over(C.by_time()) > 1.03
+    for method in ("shift", "random_picks"):
+        s = sweeps.null_summary(sweeps.signal_permutation(p, up, 2, 10.0, n=20, method=method, min_shift=5), "win")
+        assert s["real"] > 0.9 and s["p"] < 0.06
+    look = sweeps.assert_no_lookahead(p, F.col("close"), 3, 4)
+    assert set(look) == {"base_bp", "lagged_bp", "tol_bp", "pass"}

@@ -23,7 +23,7 @@ def test_timing(p):
 
 def test_screen_finds_a_planted_factor(p):
     planted = F.lead("close", 5).over(C.by_time())
-    out = research.screen(p, {"planted": planted, "noise": F.pmod(F.xxhash64("t", "ticker"), F.lit(1000)).cast("double")}, n_null=5)
+    out = research.screen(p, {"planted": planted, "noise": F.pmod(F.xxhash64("t", "ticker"), F.lit(1000)).cast("double")}, horizon=4, n_null=5)
     rows = {r["factor"]: r for r in out.tables["summary"]}
     assert rows["planted"]["ic"] > 0.2 and rows["planted"]["null_p95"] > 0
     assert rows["planted"]["ic"] > abs(rows["noise"]["ic"])
@@ -31,16 +31,29 @@ def test_screen_finds_a_planted_factor(p):
 
 
 def test_event(p):
-    out = research.backtest_event(p, F.lead("ret1", 3).over(C.by_time()) > 0.3, horizons=(4,))
-    assert out.numbers["t"] > 2.5 and out.tables["horizons"][0]["lift"] > 0.05
+    out = research.backtest_event(p, F.lead("ret1", 3).over(C.by_time()) > 0.3, horizons=(2,), cost_bp=0.0)
+    assert out.numbers["t"] > 2.5 and out.tables["horizons"][0]["lift"] > 0.05 and out.tables["neutral"][0]["horizon"] == 2
+    assert {g["gate"][:2] for g in out.tables["gates"]} == {"G1", "G2", "G3", "G4", "G5", "G6"}
+    with pytest.raises(ValueError):
+        research.backtest_event(p, F.lit(False), horizons=(4,))
+
+
+def test_review_event(p, tmp_path):
+    out = research.review_event(p, F.col("ret1") < -0.2, horizons=(1, 4), n_permutations=20)
+    d = json.loads(out.to_json())
+    assert 0 < d["numbers"]["permutation_p_win"] <= 1 and len(d["tables"]["costs"]) == 6 and d["numbers"]["longest_losing_streak_days"] >= 0
+    wins = [r["win"] for r in d["tables"]["costs"]]
+    assert wins == sorted(wins, reverse=True) and all(r["win_lo"] <= r["win"] <= r["win_hi"] for r in d["tables"]["horizons"] + d["tables"]["years"])
+    assert any(x.startswith("event excess") for x in d["notes"])
+    out.report(str(tmp_path / "event.html"))
 
 
 def test_review_and_report(p, tmp_path):
-    out = research.review_portfolio(p, recipes.reversal(5), n_bootstrap=50, n_permutations=5)
+    out = research.review_portfolio(p, recipes.reversal(5), n_bootstrap=50, n_permutations=10, make_factor=lambda n: recipes.reversal(n), grid={"n": [10, 2]}, walk=(104, 26))
     d = json.loads(out.to_json())
     assert d["numbers"]["sharpe_lo"] < d["numbers"]["sharpe_hi"] and len(d["tables"]["grid"]) == 9 and 0 < d["numbers"]["permutation_p"] <= 1
-    names = sum(r["contribution"] for r in d["tables"]["names"])
-    assert names == names
+    assert 0 <= d["numbers"]["pbo"] <= 1 and "walk_oos_sharpe" in d["numbers"] and len(d["notes"]) >= 12
+    assert len(json.loads(out.to_json("none"))["tables"]) < len(d["tables"])
     out.report(str(tmp_path / "page.html"))
     assert "<svg" in (tmp_path / "page.html").read_text()
 
@@ -54,6 +67,8 @@ def test_sweeps(p, spark):
     assert q["p50"] <= q["p95"] <= q["p99"]
     lag = sweeps.latency_sweep(p, recipes.reversal(5), (1, 2)).groupBy("lag").count().collect()
     assert {x["lag"]: x["count"] for x in lag} == {1: 355, 2: 354}
+    m = sweeps.style_returns(p)
+    assert m.columns == ["t", "market", "illiquidity", "lowvol", "momentum", "reversal", "size"] and m.count() == 355
     hurt = sweeps.inject_delistings(p, 0.2, seed=3)
     n = hurt.df.where("delist_after").select("ticker").distinct().count()
     assert 20 < n < 100 and hurt.df.where("close IS NOT NULL").count() < p.df.where("close IS NOT NULL").count()

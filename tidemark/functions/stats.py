@@ -65,41 +65,127 @@ def period_returns(net: DataFrame, unit: str) -> DataFrame:
     return g.agg(F.when(F.count("net") > 0, F.product(1 + F.coalesce(F.col("net"), F.lit(0.0))) - 1).alias("ret"))
 
 
+def drawdown_dates(net: DataFrame) -> DataFrame:
+    """One row: mdd, peak_t, trough_t, recovery_t (NULL: not recovered) of the deepest fall; the peak is the last bar at the high before it, -1 the start."""
+    e = drawdown(net)
+    low = e.orderBy("drawdown", "t").limit(1).select(F.col("t").alias("trough_t"), F.col("drawdown").alias("mdd"), (F.col("equity") / (1 + F.col("drawdown"))).alias("high"))
+    x = e.crossJoin(F.broadcast(low))
+    at_high = F.col("equity") >= F.col("high") * (1 - 1e-12)
+    return x.groupBy("mdd", "trough_t").agg(F.coalesce(F.max(F.when((F.col("t") < F.col("trough_t")) & at_high, F.col("t"))), F.lit(-1)).alias("peak_t"), F.min(F.when((F.col("t") > F.col("trough_t")) & at_high, F.col("t"))).alias("recovery_t"))
+
+
+def _cagr(end: Column, n: Column, periods: int) -> Column:
+    return F.when(end > 0, F.pow(end, F.lit(float(periods)) / n) - 1).otherwise(-1.0)
+
+
 def market_relative(both: DataFrame, periods: int) -> DataFrame:
-    """One row from (t, net, bench): beta, corr, tracking error, information ratio, hit rate, up and down capture."""
+    """One row from (t, date, net, bench): beta, corr, tracking error, information ratio, share of better bars, months and years, up and down capture, growth rates and their difference, the worst relative fall."""
     x = both.where("net IS NOT NULL AND bench IS NOT NULL").withColumn("d", F.col("net") - F.col("bench"))
     up, down = F.col("bench") > 0, F.col("bench") < 0
+    n, own, other = F.count("*"), F.product(1 + F.col("net")), F.product(1 + F.col("bench"))
     a = x.agg(
-        F.count("*").alias("n"), C.div(F.covar_samp("net", "bench"), F.var_samp("bench")).alias("beta"), F.corr("net", "bench").alias("corr"), (F.stddev_samp("d") * math.sqrt(periods)).alias("te"),
+        n.alias("n"), C.div(F.covar_samp("net", "bench"), F.var_samp("bench")).alias("beta"), F.corr("net", "bench").alias("corr"), (F.stddev_samp("d") * math.sqrt(periods)).alias("te"),
         (C.div(F.avg("d"), F.stddev_samp("d")) * math.sqrt(periods)).alias("ir"), F.avg((F.col("d") > 0).cast("double")).alias("hit"),
         C.div(F.avg(F.when(up, F.col("net"))), F.avg(F.when(up, F.col("bench")))).alias("up_capture"), C.div(F.avg(F.when(down, F.col("net"))), F.avg(F.when(down, F.col("bench")))).alias("down_capture"),
+        _cagr(own, n, periods).alias("cagr"), _cagr(other, n, periods).alias("bench_cagr"), (_cagr(own, n, periods) - _cagr(other, n, periods)).alias("excess_cagr"),
     )
-    return a
-
-
-def risk_profile(net: DataFrame) -> DataFrame:
-    """One row: historical VaR and CVaR, tail ratio, extremes, skew, kurtosis (3 is normal), ulcer index, gain to pain, longest time under water."""
-    e = C.run_length(drawdown(net).withColumn("_k", F.lit(0)).withColumn("_u", F.col("drawdown") < 0), "_u", "_run", key="_k")
-    q = e.crossJoin(F.broadcast(net.agg(F.percentile("net", 0.05).alias("q05"), F.percentile("net", 0.95).alias("q95"))))
-    r = F.col("net")
-    return q.agg(
-        (-F.max("q05")).alias("var95"), (-F.avg(F.when(r <= F.col("q05"), r))).alias("cvar95"), F.abs(C.div(F.max("q95"), F.max("q05"))).alias("tail_ratio"), F.max(r).alias("best"), F.min(r).alias("worst"),
-        F.skewness(r).alias("skew"), (F.kurtosis(r) + 3).alias("kurtosis"), F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))).alias("ulcer"),
-        C.div(F.sum(r), -F.sum(F.when(r < 0, r).otherwise(0.0))).alias("gain_to_pain"), F.max("_run").alias("longest_underwater"),
+    for unit in ("month", "year"):
+        g = x.groupBy(F.date_trunc(unit, "date")).agg((own > other).cast("double").alias("w"))
+        a = a.crossJoin(F.broadcast(g.agg(F.avg("w").alias(f"hit_{unit}"))))
+    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    ratio = x.select("t", (F.product(1 + F.col("net")).over(w) / F.product(1 + F.col("bench")).over(w)).alias("q"))
+    fall = ratio.select((F.col("q") / F.greatest(F.max("q").over(w), F.lit(1.0)) - 1).alias("f"))
+    return a.crossJoin(F.broadcast(fall.agg(F.min("f").alias("max_relative_drawdown"))))
+
+
+def risk_profile(net: DataFrame, periods: int = 252) -> DataFrame:
+    """One row from (t, date, net), losses as negative numbers: value at risk and mean beyond it at 95 and 99 %, the normal one, tail ratio, extremes by bar and month, skew, kurtosis (3 is normal), total return, time and depth under water, ulcer index and CAGR over it, gain to pain."""
+    e = drawdown(net).withColumn("_k", F.lit(0)).withColumn("_u", F.col("drawdown") < -1e-12)
+    e = C.run_length(e, "_u", "_run", key="_k")
+    q = e.crossJoin(F.broadcast(net.agg(*(F.percentile("net", k / 100).alias(f"q{k}") for k in (1, 5, 95)))))
+    r, mean = F.col("net"), F.avg("net")
+    total, n = F.product(1 + r), F.count(r)
+    ulcer = F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown")))
+    a = q.agg(
+        n.alias("n"), (total - 1).alias("total_return"), F.max("q5").alias("var_95"), F.max("q1").alias("var_99"), F.avg(F.when(r <= F.col("q5"), r)).alias("cvar_95"), F.avg(F.when(r <= F.col("q1"), r)).alias("cvar_99"),
+        (mean - 1.6448536269514722 * F.stddev_samp(r)).alias("var_95_normal"), F.when(F.max("q5") < 0, F.max("q95") / F.abs(F.max("q5"))).alias("tail_ratio"), F.max(r).alias("best_bar"), F.min(r).alias("worst_bar"),
+        F.skewness(r).alias("skew"), (F.kurtosis(r) + 3).alias("kurtosis"), F.max("_run").cast("long").alias("max_dd_bars"), F.avg(F.col("_u").cast("double")).alias("share_underwater"), ulcer.alias("ulcer_index"),
+        F.when(ulcer > 1e-12, _cagr(total, n, periods) / ulcer).alias("ulcer_performance"), C.div(F.sum(r), -F.sum(F.when(r < 0, r).otherwise(0.0))).alias("gain_to_pain"),
     )
-
-
-def regimes(both: DataFrame, bear: float = -0.2, window: int = 60, least: int = 20) -> DataFrame:
-    """regime, n, net, bench: bars in a fallen market, and calm, middle and stormy thirds of the market's volatility."""
+    months = net.groupBy(F.date_trunc("month", "date")).agg((F.product(1 + r) - 1).alias("m"))
+    return a.crossJoin(F.broadcast(months.agg(F.max("m").alias("best_month"), F.min("m").alias("worst_month"))))
+
+
+def series(net: DataFrame, *columns: str) -> np.ndarray:
+    """The columns of one strategy's daily table on the driver, in order, without unknown rows; one row a bar."""
+    x = net.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).orderBy("t").select(*columns).toPandas().to_numpy(float)
+    return x[:, 0] if len(columns) == 1 else x
+
+
+def filtered_risk(net: DataFrame, periods: int = 252, decay: float = 0.94) -> dict:
+    """Value at risk scaled to the present volatility: the quantiles of returns over an exponentially weighted estimate that is known before each bar (started at the variance of the first 20 bars), times the estimate for the next bar."""
+    if not 0.5 < decay < 1:
+        raise ValueError("decay must be between 0.5 and 1")
+    r = series(net, "net")
+    if len(r) < 60:
+        raise ValueError(f"only {len(r)} observations: at least 60 are needed")
+    var = np.empty(len(r) + 1)
+    var[0] = r[:20].var(ddof=1)
+    for t, x in enumerate(r):
+        var[t + 1] = decay * var[t] + (1 - decay) * x * x
+    scale = np.sqrt(np.maximum(var, 1e-24))
+    z = r / scale[:-1]
+    return {"var_95_now": float(scale[-1] * np.percentile(z, 5)), "var_99_now": float(scale[-1] * np.percentile(z, 1)), "vol_now": float(scale[-1] * math.sqrt(periods))}
+
+
+def regimes(both: DataFrame, bear: float = -0.2, window: int = 60, least: int = 20, periods: int = 252) -> DataFrame:
+    """regime, n, share, mean_annual, sharpe, win of net by the benchmark's state: months in which it rose or fell, bars on which it stood at or below `bear` under its peak or not, calm and stormy thirds of its volatility. both: t, date, net, bench."""
     w = Window.orderBy("t")
-    x = drawdown(both.select("t", F.col("bench").alias("net"), F.col("net").alias("own")))
+    x = drawdown(both.where("net IS NOT NULL AND bench IS NOT NULL").select("t", "date", F.col("bench").alias("net"), F.col("net").alias("own")))
     frame = w.rowsBetween(-(window - 1), 0)
     x = x.withColumn("vol", F.when(F.count("net").over(frame) >= window, F.stddev_samp("net").over(frame)))
-    x = x.crossJoin(F.broadcast(x.agg(F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))))
+    x = x.withColumn("month", F.product(1 + F.col("net")).over(Window.partitionBy(F.date_trunc("month", "date"))) - 1)
+    x = x.crossJoin(F.broadcast(x.agg(F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.count("*").alias("total"))))
     v = F.col("vol")
-    flags = F.array(F.when(F.col("drawdown") <= bear, "bear").otherwise("not_bear"), F.when(v <= F.col("q")[0], "calm").when(v >= F.col("q")[1], "stormy").when(v.isNotNull(), "middle"))
-    x = x.select(F.explode(flags).alias("regime"), "own", "net").where("regime IS NOT NULL")
-    return x.groupBy("regime").agg(F.count("*").alias("n"), F.avg("own").alias("net"), F.avg("net").alias("bench")).where(F.col("n") >= least)
+    flags = F.array(F.when(F.col("month") > 0, "rose").otherwise("fell"), F.when(F.col("drawdown") <= bear, "bear").otherwise("other"), F.when(v <= F.col("q")[0], "calm"), F.when(v >= F.col("q")[1], "stormy"))
+    x = x.select(F.explode(F.array_compact(flags)).alias("regime"), "own", "total")
+    a = x.groupBy("regime").agg(F.count("*").alias("n"), (F.count("*") / F.max("total")).alias("share"), (F.avg("own") * periods).alias("mean_annual"), (C.div(F.avg("own"), F.stddev_samp("own")) * math.sqrt(periods)).alias("sharpe"), F.avg((F.col("own") > 0).cast("double")).alias("win"))
+    return a.where(F.col("n") >= least)
+
+
+def subperiods(net: DataFrame, periods: int) -> DataFrame:
+    """year, ret, vol, sharpe, max_dd (the value at the end of the year before counts as a peak), bars."""
+    w = Window.partitionBy("year").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x = net.where("net IS NOT NULL").withColumn("year", F.year("date")).withColumn("e", F.product(1 + F.col("net")).over(w))
+    x = x.withColumn("dd", F.col("e") / F.greatest(F.max("e").over(w), F.lit(1.0)) - 1)
+    sd = F.stddev_samp("net")
+    return x.groupBy("year").agg((F.product(1 + F.col("net")) - 1).alias("ret"), (sd * math.sqrt(periods)).alias("vol"), (C.div(F.avg("net"), sd) * math.sqrt(periods)).alias("sharpe"), F.min("dd").alias("max_dd"), F.count("*").alias("bars"))
+
+
+def halves(net: DataFrame, periods: int) -> DataFrame:
+    """half (1, 2), sharpe of the first and second half of the bars."""
+    x = net.where("net IS NOT NULL").withColumn("half", F.when(F.row_number().over(Window.orderBy("t")) <= F.floor(F.count("*").over(Window.partitionBy()) / 2), 1).otherwise(2))
+    return x.groupBy("half").agg((C.div(F.avg("net"), F.stddev_samp("net")) * math.sqrt(periods)).alias("sharpe"))
+
+
+def in_out_of_sample(net: DataFrame, split, periods: int, least: int = 30) -> dict:
+    """Both sides of a date that was fixed beforehand (the first of the second part): bars, mean, volatility, Sharpe ratio, win rate, growth, deepest fall; Welch t of the difference of the means, and the ratio of the Sharpe ratios."""
+    part = F.when(F.col("date") < F.lit(split), "in_sample").otherwise("out_of_sample")
+    x = net.where("net IS NOT NULL").withColumn("part", part)
+    rows = x.groupBy("part").agg(F.count("*").alias("bars"), F.min("date").alias("start"), F.max("date").alias("end"), F.avg("net").alias("m"), F.var_samp("net").alias("v"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), _cagr(F.product(1 + F.col("net")), F.count("*"), periods).alias("cagr"))
+    fall = drawdown(x, ("part",)).groupBy("part").agg(F.min("drawdown").alias("max_dd"))
+    got = {r["part"]: r.asDict() for r in rows.join(fall, "part").collect()}
+    if len(got) < 2 or min(g["bars"] for g in got.values()) < least:
+        raise ValueError(f"at least {least} bars are needed on each side of {split}")
+    a, b = got["in_sample"], got["out_of_sample"]
+    se = math.sqrt(a["v"] / a["bars"] + b["v"] / b["bars"])
+    t = (b["m"] - a["m"]) / se if se > 1e-18 else None
+    for g in (a, b):
+        g |= {"mean_annual": g["m"] * periods, "vol_annual": math.sqrt(g["v"] * periods), "sharpe": g["m"] / math.sqrt(g["v"]) * math.sqrt(periods) if g["v"] > 0 else None}
+        for c in ("m", "v", "part"):
+            del g[c]
+    ratio = b["sharpe"] / a["sharpe"] if a["sharpe"] and b["sharpe"] is not None and abs(a["sharpe"]) > 1e-9 else None
+    return {"in_sample": a, "out_of_sample": b, "mean_diff_t": t, "mean_diff_p": None if t is None else two_sided(t), "sharpe_ratio": ratio}
 
 
 def mean_tests(net: DataFrame) -> DataFrame:
@@ -110,6 +196,29 @@ def mean_tests(net: DataFrame) -> DataFrame:
     )
 
 
+def mean_report(net: DataFrame, periods: int, lag: int | None = None) -> dict:
+    """Tests that the mean is not zero: Newey-West (plug-in lag unless given), the t of the Sharpe ratio, and the sign test and Wilson interval of the bars that are not zero."""
+    m = mean_tests(net).first()
+    n = m["n"]
+    if n < 30:
+        raise ValueError(f"only {n} observations: at least 30 are needed")
+    lag = plug_in_lag(n) if lag is None else lag
+    w = newey_west(net, "net", lag).first()
+    moved = n - m["zero"]
+    lo, hi = wilson_interval(m["up"], moved)
+    return {"n": n, "lag": lag, "mean": m["mean"], "nw_t": w["t"], "nw_p": None if w["t"] is None else two_sided(w["t"]), "sharpe": None if m["t"] is None else m["t"] / math.sqrt(n) * math.sqrt(periods), "sharpe_t": m["t"], "win_rate": m["up"] / moved if moved else None, "n_zero": m["zero"], "sign_p": binomial_two_sided(m["up"], moved), "win_lo": lo, "win_hi": hi, "skew": m["skew"], "kurtosis": m["kurtosis"]}
+
+
+def plug_in_lag(n: int) -> int:
+    return int(4 * (n / 100) ** (2 / 9))
+
+
+def rolling_sharpe(net: DataFrame, window: int, periods: int) -> DataFrame:
+    """t, sharpe over the last `window` bars; NULL before."""
+    w = Window.orderBy("t").rowsBetween(-(window - 1), 0)
+    return net.select("t", F.when(F.count("net").over(w) >= window, C.div(F.avg("net").over(w), F.stddev_samp("net").over(w)) * math.sqrt(periods)).alias("sharpe"))
+
+
 def two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -122,6 +231,15 @@ def binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, float(2 * tail / 2**n))
 
 
+def wilson_interval(k: int, n: int, z: float = 1.959963984540054) -> tuple[float | None, float | None]:
+    """On the driver; never beyond 0, 1 or the share itself."""
+    if not n:
+        return None, None
+    p = k / n
+    middle, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    return min(max(middle - half, 0.0), p), max(min(middle + half, 1.0), p)
+
+
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     p = C.div(k, n)
     middle, width = (p + z * z / (2 * n)), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
@@ -149,11 +267,11 @@ def trial_moments(R: DataFrame) -> DataFrame:
     return R.groupBy("trial").agg(F.count("ret").alias("n"), C.div(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurtosis"))
 
 
-def deflated_sharpe(R: DataFrame, trials: int | None = None) -> dict:
-    """Probability that the best trial's Sharpe ratio is above what luck gives among all trials."""
+def deflated_sharpe(R: DataFrame, trials: int | None = None, reference: int | None = None) -> dict:
+    """Probability that a trial's Sharpe ratio (the best one's, or that of `reference`) is above what luck gives among all trials. trials: how many there were, if more than R holds."""
     m = trial_moments(R)
     n_trials, var = m.agg(F.count("*"), F.var_samp("sharpe")).first()
-    best = m.orderBy(F.desc("sharpe"), "trial").first()
+    best = (m if reference is None else m.where(F.col("trial") == reference)).orderBy(F.desc("sharpe"), "trial").first()
     k = trials or n_trials
     gamma = 0.5772156649015329
     luck = math.sqrt(var or 0) * ((1 - gamma) * NORMAL.inv_cdf(1 - 1 / k) + gamma * NORMAL.inv_cdf(1 - 1 / (k * math.e))) if k > 1 else 0.0
@@ -170,11 +288,14 @@ def pbo_blocks(R: DataFrame, blocks: int = 16) -> DataFrame:
     return x.groupBy("trial", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
 
 
-def pbo(R: DataFrame, blocks: int = 16) -> float:
-    """Share of in-sample/out-of-sample splits whose in-sample best is below the median out of sample. Splits are rows; block sums are joined to them."""
+def pbo(R: DataFrame, blocks: int = 16, max_splits: int | None = None, seed: int = 0) -> float:
+    """Share of in-sample/out-of-sample splits whose in-sample best is below the median out of sample. Splits are rows; block sums are joined to them. max_splits: that many splits, drawn by seed, instead of all."""
     b = pbo_blocks(R, blocks)
     spark = R.sparkSession
-    splits = [(i, k, k in half) for i, half in enumerate(combinations(range(blocks), blocks // 2)) for k in range(blocks)]
+    every = list(combinations(range(blocks), blocks // 2))
+    if max_splits is not None and max_splits < len(every):
+        every = [every[i] for i in sorted(np.random.default_rng(seed).choice(len(every), max_splits, replace=False))]
+    splits = [(i, k, k in half) for i, half in enumerate(every) for k in range(blocks)]
     s = F.broadcast(spark.createDataFrame(splits, "split int, block int, inside boolean"))
     g = b.join(s, "block").groupBy("split", "trial", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("n")
@@ -185,35 +306,64 @@ def pbo(R: DataFrame, blocks: int = 16) -> float:
     return g.where("first = 1").agg(F.avg((F.col("rank") / (F.col("n") + 1) <= 0.5).cast("double"))).first()[0]
 
 
-def walk_forward(R: DataFrame, train: int, test: int, expanding: bool = False, embargo: int = 0) -> DataFrame:
-    """fold, trial, score, t, ret: for each fold the trial with the best training Sharpe ratio, and its returns in the test bars. Folds meet the series by range."""
+def walk_forward(R: DataFrame, train: int, test: int, step: int | None = None, expanding: bool = True, embargo: int = 0, select: Callable[[np.ndarray], float] | None = None) -> DataFrame:
+    """fold, trial, score, t, ret: for each whole fold the trial with the best training score (Sharpe ratio, or `select` of its returns), and its returns in the test bars. Folds meet the series by range; a trial needs 10 bars to be scored. Bars of overlapping tests are kept by the first fold that has them."""
+    if train < 10 or test < 10 or embargo < 0 or step is not None and step < 1:
+        raise ValueError("train and test are at least 10 bars, step at least 1, embargo not negative")
     lo, hi = R.agg(F.min("t"), F.max("t")).first()
     folds, at, k = [], lo + train, 0
-    while at + embargo <= hi:
-        folds.append((k, lo if expanding else at - train, at - 1, at + embargo, min(at + embargo + test - 1, hi)))
-        at, k = at + test, k + 1
+    while at + embargo + test <= hi + 1:
+        folds.append((k, lo if expanding else at - train, at - 1, at + embargo, at + embargo + test - 1))
+        at, k = at + (step or test), k + 1
+    if not folds:
+        raise ValueError(f"the sample has {hi - lo + 1} bars, one fold needs {train + embargo + test}")
     f = F.broadcast(R.sparkSession.createDataFrame(folds, "fold int, a int, b int, c int, d int"))
-    s = R.join(f, F.col("t").between(F.col("a"), F.col("b"))).groupBy("fold", "trial").agg(C.div(F.avg("ret"), F.stddev_samp("ret")).alias("score"))
-    best = s.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc_nulls_last("score"), "trial"))).where("r = 1").drop("r")
-    return best.join(f.select("fold", "c", "d"), "fold").join(R, "trial").where(F.col("t").between(F.col("c"), F.col("d"))).select("fold", "trial", "score", "t", "ret")
+    x = R.where("ret IS NOT NULL").join(f, F.col("t").between(F.col("a"), F.col("b")))
+    if select is None:
+        s = x.groupBy("fold", "trial").agg(F.when(F.count("*") >= 10, C.div(F.avg("ret"), F.stddev_samp("ret"))).alias("score"))
+    else:
+        kind = dict(R.dtypes)["trial"]
 
+        def score(x: pd.DataFrame) -> pd.DataFrame:
+            v = float(select(x.sort_values("t")["ret"].to_numpy(float))) if len(x) >= 10 else None
+            return pd.DataFrame({"fold": [x["fold"].iloc[0]], "trial": [x["trial"].iloc[0]], "score": [v]})
 
-def plateau(table: DataFrame, share: float = 0.5) -> DataFrame:
-    """From (i, j, value): the best cell, how many of its neighbours have at least `share` of its value, and a verdict."""
-    best = table.orderBy(F.desc("value"), "i", "j").limit(1).select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("value").alias("best"))
-    near = table.join(F.broadcast(best), (F.abs(F.col("i") - F.col("bi")) <= 1) & (F.abs(F.col("j") - F.col("bj")) <= 1) & ((F.col("i") != F.col("bi")) | (F.col("j") != F.col("bj"))))
-    out = near.groupBy("bi", "bj", "best").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= F.col("best") * share).alias("good"))
-    part = F.col("good") / F.col("n")
-    return out.withColumn("verdict", F.when(part >= 0.75, "plateau").when(part >= 0.4, "hill").otherwise("spike"))
+        s = x.select("fold", "trial", "t", "ret").groupBy("fold", "trial").applyInPandas(score, f"fold int, trial {kind}, score double")
+    best = s.where("score IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "trial"))).where("r = 1").drop("r")
+    out = best.join(f.select("fold", "c", "d"), "fold").join(R.where("ret IS NOT NULL"), "trial").where(F.col("t").between(F.col("c"), F.col("d"))).select("fold", "trial", "score", "t", "ret")
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy("t").orderBy("fold"))).where("_r = 1").drop("_r") if step is not None and step < test else out
+
+
+def walk_forward_summary(R: DataFrame, folds: DataFrame, periods: int, train: int, expanding: bool = True) -> dict:
+    """Of `walk_forward`: out-of-sample Sharpe ratio, mean in-sample Sharpe ratio of the chosen trials, their ratio, share of folds that gained, how often each trial was chosen."""
+    oos = folds.agg(C.div(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(periods)).first()[0]
+    one = folds.groupBy("fold", "trial").agg((F.product(1 + F.col("ret")) - 1).alias("r"), F.min("t").alias("c"), F.first("score").alias("score")).collect()
+    inside = sum(x["score"] for x in one) / len(one) * math.sqrt(periods)
+    chosen: dict = {}
+    for x in one:
+        chosen[str(x["trial"])] = chosen.get(str(x["trial"]), 0) + 1
+    return {"oos_sharpe": oos, "mean_is_sharpe": inside, "efficiency": oos / inside if oos is not None and inside > 1e-9 else None, "share_folds_positive": sum(x["r"] > 0 for x in one) / len(one), "chosen": chosen, "n_folds": len(one)}
 
 
-def decompose(df: pd.DataFrame, y: str, x: list[str], lag: int | None = None) -> dict:
-    """Least squares of y on 1 and x with a Newey-West covariance; a few thousand rows, on the driver."""
-    d = df[[y, *x]].dropna().to_numpy(float)
+def plateau(table: DataFrame, share: float = 0.5) -> DataFrame:
+    """From (i, j, value): the best cell, its n neighbours, neighbour_ratio (their mean over the best), share_within (of neighbours with at least `share` of the best), grid_positive, and a verdict: plateau from a ratio of 0.7, spike below 0.3, hill between; undetermined without a positive best or neighbours."""
+    known = table.where("value IS NOT NULL AND NOT isnan(value)")
+    best = known.orderBy(F.desc("value"), "i", "j").limit(1).select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("value").alias("best"))
+    near = known.crossJoin(F.broadcast(best)).withColumn("near", (F.abs(F.col("i") - F.col("bi")) <= 1) & (F.abs(F.col("j") - F.col("bj")) <= 1) & ((F.col("i") != F.col("bi")) | (F.col("j") != F.col("bj"))))
+    v = F.when(F.col("near"), F.col("value"))
+    out = near.groupBy("bi", "bj", "best").agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.avg(F.when(F.col("near"), (F.col("value") >= share * F.col("best")).cast("double"))).alias("w"), F.avg((F.col("value") > 0).cast("double")).alias("grid_positive"))
+    out = out.withColumn("neighbour_ratio", F.when(F.col("best") > 0, F.col("m") / F.col("best"))).withColumn("share_within", F.when(F.col("best") > 0, F.col("w")))
+    ratio = F.col("neighbour_ratio")
+    return out.select("bi", "bj", "best", "n", "neighbour_ratio", "share_within", "grid_positive", F.when(ratio >= 0.7, "plateau").when(ratio < 0.3, "spike").when(ratio.isNotNull(), "hill").otherwise("undetermined").alias("verdict"))
+
+
+def decompose(df: pd.DataFrame, y: str, x: list[str], lag: int | None = None, periods: int = 252) -> dict:
+    """Least squares of y on 1 and x with a Newey-West covariance: alpha, betas with t, contributions to the annual mean, unexplained share, appraisal ratio (residual deviation by n less coefficients). A few thousand rows, on the driver."""
+    d = df[[y, *x]].replace([np.inf, -np.inf], np.nan).dropna().to_numpy(float)
     n, m = len(d), np.column_stack((np.ones(len(d)), d[:, 1:]))
-    if n <= m.shape[1] + 1 or np.linalg.matrix_rank(m) < m.shape[1]:
+    if n <= m.shape[1] + 1 or np.linalg.matrix_rank(m) < m.shape[1] or (d[:, 1:].std(0) <= 1e-12 * np.maximum(1, np.abs(d[:, 1:]).mean(0))).any():
         raise ValueError("too few rows, or factors that are constant or repeat each other")
-    lag = int(4 * (n / 100) ** (2 / 9)) if lag is None else lag
+    lag = max(0, min(plug_in_lag(n) if lag is None else lag, n - 1))
     inv = np.linalg.inv(m.T @ m)
     b = inv @ m.T @ d[:, 0]
     e = d[:, 0] - m @ b
@@ -222,14 +372,20 @@ def decompose(df: pd.DataFrame, y: str, x: list[str], lag: int | None = None) ->
     for k in range(1, lag + 1):
         g = u[k:].T @ u[:-k]
         s += (1 - k / (lag + 1)) * (g + g.T)
-    se = np.sqrt(np.diag(inv @ s @ inv))
-    return {"alpha": b[0], "alpha_t": b[0] / se[0], "beta": dict(zip(x, b[1:], strict=True)), "t": dict(zip(x, b[1:] / se[1:], strict=True)), "r2": 1 - e.var() / d[:, 0].var(), "lag": lag}
-
-
-def stationary_bootstrap(net: DataFrame, statistic: Callable[[np.ndarray], float], n: int = 1000, block: float | None = None, seed: int = 0) -> DataFrame:
-    """rep, value: the statistic of n resamples by blocks of geometric length. The series, one row per bar of one strategy, is broadcast; replicates are rows, each with its own seed."""
-    x = np.array([r[0] for r in net.where("net IS NOT NULL").orderBy("t").select("net").collect()])
-    mean = block or max(1.0, len(x) ** (1 / 3))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = b / np.sqrt(np.diag(inv @ s @ inv))
+    resid = float(e.std(ddof=m.shape[1]) * math.sqrt(periods))
+    r2 = float(1 - e @ e / ((d[:, 0] - d[:, 0].mean()) ** 2).sum())
+    return {
+        "alpha": b[0], "alpha_annual": b[0] * periods, "alpha_t": t[0], "alpha_p": two_sided(t[0]) if math.isfinite(t[0]) else None, "beta": dict(zip(x, b[1:], strict=True)), "t": dict(zip(x, t[1:], strict=True)),
+        "contribution_annual": {c: float(b[i] * d[:, i].mean() * periods) for i, c in enumerate(x, 1)}, "r2": r2, "unexplained_share": 1 - r2, "resid_vol_annual": resid, "appraisal": b[0] * periods / resid if resid > 0 else None, "lag": lag, "n": n,
+    }
+
+
+def stationary_bootstrap(net: DataFrame, statistic: Callable[[np.ndarray], float], n: int = 1000, block: float | None = None, seed: int = 0, columns: tuple[str, ...] = ("net",)) -> DataFrame:
+    """rep, value: the statistic of n resamples by blocks of geometric length; with several columns, of their rows. The series, one row per bar, is broadcast; replicates are rows, each with its own seed."""
+    x = series(net, *columns)
+    mean = block or max(1.0, round(len(x) ** (1 / 3)))
     shared = net.sparkSession.sparkContext.broadcast(x)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +404,52 @@ def stationary_bootstrap(net: DataFrame, statistic: Callable[[np.ndarray], float
     return net.sparkSession.range(n).mapInPandas(run, "rep long, value double")
 
 
+def _interval(values: DataFrame, level: float) -> dict:
+    a = (1 - level) / 2
+    lo, hi, se = values.agg(F.percentile("value", a), F.percentile("value", 1 - a), F.stddev_samp("value")).first()
+    return {"lo": lo, "hi": hi, "se": se}
+
+
+def sharpe_ci(net: DataFrame, periods: int = 252, n: int = 2000, block: float | None = None, level: float = 0.95, seed: int = 0) -> dict:
+    """Percentile interval of the annual Sharpe ratio."""
+    x = series(net, "net")
+    if len(x) < 30:
+        raise ValueError(f"{len(x)} observations are too few for a bootstrap")
+    k = math.sqrt(periods)
+    return {"sharpe": float(sharpe_of(x) * k), **_interval(stationary_bootstrap(net, lambda v: sharpe_of(v) * k, n, block, seed), level), "n": len(x), "level": level}
+
+
+def sharpe_diff_ci(a: DataFrame, b: DataFrame, periods: int = 252, n: int = 2000, block: float | None = None, level: float = 0.95, seed: int = 0) -> dict:
+    """Sharpe ratio of b less that of a (t, net), with the same resampled dates for both; p is twice the smaller tail around zero."""
+    both = a.select("t", F.col("net").alias("a")).join(b.select("t", F.col("net").alias("b")), "t").where("a IS NOT NULL AND b IS NOT NULL")
+    x = series(both, "a", "b")
+    if len(x) < 30:
+        raise ValueError(f"{len(x)} common observations are too few for a bootstrap")
+    k = math.sqrt(periods)
+    reps = stationary_bootstrap(both, lambda v: (sharpe_of(v[:, 1]) - sharpe_of(v[:, 0])) * k, n, block, seed, ("a", "b"))
+    below, above = reps.agg(F.avg((F.col("value") <= 0).cast("double")), F.avg((F.col("value") >= 0).cast("double"))).first()
+    return {"diff": float((sharpe_of(x[:, 1]) - sharpe_of(x[:, 0])) * k), **_interval(reps, level), "p": min(1.0, 2 * min(below, above)), "n": len(x), "level": level}
+
+
+def deepest(x: np.ndarray) -> float:
+    """Deepest fall of a series of returns; the starting capital counts as a peak."""
+    e = np.cumprod(1 + x)
+    return float((e / np.maximum(np.maximum.accumulate(e), 1.0) - 1).min())
+
+
+def drawdown_distribution(net: DataFrame, n: int = 1000, block: float | None = None, seed: int = 0) -> dict:
+    """Percentiles of the deepest fall over resampled histories, the share that is deeper than the real one, and the shares beyond 20, 30 and 50 %."""
+    x = series(net, "net")
+    if len(x) < 60 or n < 100:
+        raise ValueError("at least 60 observations and 100 histories are needed")
+    real = deepest(x)
+    v = F.col("value")
+    reps = stationary_bootstrap(net, deepest, n, block or max(2.0, len(x) ** (1 / 3)), seed)
+    share = lambda c: F.avg((v < c).cast("double"))
+    q, worse, *beyond = reps.agg(F.percentile(v, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))), share(real), *(share(-k) for k in (0.2, 0.3, 0.5))).first()
+    return {"realized": real, **dict(zip(("p05", "p25", "p50", "p75", "p95"), q, strict=True)), "p_worse": worse, **dict(zip(("p_exceed_20", "p_exceed_30", "p_exceed_50"), beyond, strict=True)), "n": n}
+
+
 def sharpe_of(x: np.ndarray) -> float:
     s = x.std(ddof=1)
     return x.mean() / s if s > 0 else 0.0
@@ -255,7 +457,7 @@ def sharpe_of(x: np.ndarray) -> float:
 
 def permutation(net: DataFrame, search: Callable[[np.ndarray], float], n: int = 200, block: int = 1, seed: int = 0) -> dict:
     """p-value of a search's best statistic against the series with its blocks shuffled."""
-    x = np.array([r[0] for r in net.where("net IS NOT NULL").orderBy("t").select("net").collect()])
+    x = series(net, "net")
     real, shared = float(search(x)), net.sparkSession.sparkContext.broadcast(x)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,18 +471,21 @@ def permutation(net: DataFrame, search: Callable[[np.ndarray], float], n: int =
     return {"real": real, "p": (1 + above) / (n + 1)}
 
 
-def fama_macbeth(df: DataFrame, y: str, factor: str, controls: list[str], least: int = 30) -> DataFrame:
-    """t, n, beta, raw: per date, the coefficient of the factor with the controls partialled out by QR, and alone. NULL where the factor has nothing of its own."""
+def fama_macbeth(df: DataFrame, y: str, factor: str, controls: list[str], least: int = 30, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, t, n, beta, raw, collinear: per date, the coefficient of the factor with the controls partialled out by QR, and alone. NULL, and collinear, where the factor has nothing of its own."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        t, x = x["t"].iloc[0], x.dropna()
+        own = {**{k: [x[k].iloc[0]] for k in keys}, "t": [x["t"].iloc[0]]}
+        x = x.dropna()
         if len(x) < max(least, 2 * (len(controls) + 2)):
-            return pd.DataFrame({"t": [t], "n": [len(x)], "beta": [None], "raw": [None]})
+            return pd.DataFrame(own | {"n": [len(x)], "beta": [None], "raw": [None], "collinear": [False]})
         f, r = x[factor].to_numpy(float), x[y].to_numpy(float)
         q, _ = np.linalg.qr(np.column_stack((np.ones(len(x)), x[controls].to_numpy(float))))
         e = f - q @ (q.T @ f)
         c = f - f.mean()
-        own = e @ e > 1e-10 * (c @ c)
-        return pd.DataFrame({"t": [t], "n": [len(x)], "beta": [e @ r / (e @ e) if own else None], "raw": [c @ r / (c @ c) if c @ c > 0 else None]})
+        fresh = e @ e > 1e-10 * (c @ c)
+        return pd.DataFrame(own | {"n": [len(x)], "beta": [e @ r / (e @ e) if fresh else None], "raw": [c @ r / (c @ c) if c @ c > 0 else None], "collinear": [not fresh]})
 
-    return df.where("eligible").select("t", y, factor, *controls).groupBy("t").applyInPandas(run, "t int, n int, beta double, raw double")
+    kinds = dict(df.dtypes)
+    head = "".join(f"{k} {kinds[k]}, " for k in keys)
+    return df.where("eligible").select(*keys, "t", y, factor, *controls).groupBy(*keys, "t").applyInPandas(run, f"{head}t int, n int, beta double, raw double, collinear boolean")

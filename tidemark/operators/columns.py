@@ -92,3 +92,11 @@ def compound(x: str | Column) -> Column:
 def half_even(x: str | Column) -> Column:
     """Round to whole numbers, halves to even."""
     return F.bround(col(x), 0)
+
+
+def stacked(df: DataFrame, key: str, value: str, parts: dict[str, Column], *keep: str) -> DataFrame:
+    """keep, key, value: one row for each of the named parts of every row. The parts are computed side by side, in one window stage."""
+    names = list(parts)
+    wide = df.select(*keep, *(parts[n].cast("double").alias(f"_{i}") for i, n in enumerate(names)))
+    rows = F.array(*(F.struct(F.lit(n).alias(key), F.col(f"_{i}").alias(value)) for i, n in enumerate(names)))
+    return wide.select(*keep, F.explode(rows).alias("_x")).select(*keep, f"_x.{key}", f"_x.{value}")

@@ -162,14 +162,32 @@ def survivors_only(p: Panel, gap_days: int = 5) -> Panel:
 
 
 def audit(p: Panel) -> DataFrame:
-    """One row: counts, extreme moves, share of ended securities, mean market return."""
-    df = p.df.withColumn("_r", ret(1))
-    end = df.agg(F.max("t").alias("end"))
-    last = df.where("close IS NOT NULL").groupBy("ticker").agg(F.max("t").alias("l")).crossJoin(F.broadcast(end))
-    ended = last.agg(F.avg((F.col("l") < F.col("end")).cast("double")).alias("ended_share"))
-    market = df.where("eligible").groupBy("t").agg(F.avg("_r").alias("m")).agg(F.min("m").alias("worst_market"), F.avg("m").alias("mean_market"))
-    cells = df.agg(
-        F.countDistinct("t").alias("n_dates"), F.countDistinct("ticker").alias("n_tickers"), F.count("close").alias("n_prices"), F.count_if("eligible").alias("n_eligible"),
-        F.avg((F.abs("_r") > 0.5).cast("double")).alias("extreme_share"), F.percentile("_r", 0.05).alias("p05"), F.percentile("_r", 0.95).alias("p95"),
+    """One row: counts, share of extreme moves, market's worst day, deepest fall and annual return, spread of the names' volatility, gaps at the open against daily moves, coverage of the last 20 dates, share of names that end, and what these make suspect."""
+    df = p.df.withColumn("_all", ret(1)).withColumn("_r", F.when(F.col("eligible"), F.col("_all")))
+    end = df.agg(F.max("t").alias("end"), F.max("date").alias("last"), F.min("date").alias("first"))
+    last = df.where("close IS NOT NULL").groupBy("ticker").agg(F.max("t").alias("l"), F.max("date").alias("d")).crossJoin(F.broadcast(end))
+    gone = F.datediff("last", "d") > 30
+    ended = last.agg(F.avg((F.col("l") < F.col("end")).cast("double")).alias("ended_share"), F.avg(gone.cast("double")).alias("ended_before_end_share"), F.count("*").alias("_names"), (F.max(F.datediff("last", "first")) / 365.25).alias("_years"))
+    day = df.where("eligible").groupBy("t").agg(F.avg("_r").alias("m"))
+    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    eq = day.where("m IS NOT NULL").withColumn("e", F.product(1 + F.col("m")).over(w)).withColumn("dd", F.col("e") / F.max("e").over(w) - 1)
+    market = eq.agg(F.min("m").alias("worst_market"), F.avg("m").alias("mean_market"), F.min("dd").alias("market_max_drawdown"), (F.pow(F.product(1 + F.col("m")), F.lit(float(p.periods_per_year)) / F.count("m")) - 1).alias("market_annual_return"))
+    vol = df.groupBy("ticker").agg((F.stddev_samp("_r") * p.periods_per_year**0.5).alias("v")).where("v > 0").agg(F.percentile("v", 0.05).alias("volatility_p05"), F.percentile("v", 0.95).alias("volatility_p95"))
+    cover = df.groupBy("t").agg(F.count("close").alias("k")).crossJoin(F.broadcast(end)).agg(F.avg(F.when(F.col("t") > F.col("end") - 20, F.col("k"))).alias("_tail"), F.percentile(F.when(F.col("t") <= F.col("end") - 20, F.col("k")), 0.5).alias("_body"), F.count("*").alias("_dates"))
+    extreme = lambda c: F.avg((F.abs(c) > 0.3).cast("double"))
+    gap = C.div("open", F.lag("close").over(C.by_time())) - 1 if p.has("open") else F.lit(None).cast("double")
+    cells = df.withColumn("_gap", F.when(F.col("eligible"), gap)).agg(
+        F.countDistinct("t").alias("n_dates"), F.countDistinct("ticker").alias("n_tickers"), F.countDistinct(F.when(F.col("eligible"), F.col("ticker"))).alias("n_ever_eligible"), F.count("close").alias("n_prices"), F.count_if("eligible").alias("n_eligible"),
+        F.avg((F.abs("_all") > 0.5).cast("double")).alias("extreme_share"), F.percentile("_all", 0.05).alias("p05"), F.percentile("_all", 0.95).alias("p95"), extreme(F.col("_r")).alias("extreme_eligible"), extreme(F.col("_gap")).alias("extreme_gaps"),
     )
-    return cells.crossJoin(ended).crossJoin(market)
+    out = cells.crossJoin(ended).crossJoin(market).crossJoin(vol).crossJoin(cover)
+    ratio = F.col("extreme_gaps") / F.greatest("extreme_eligible", F.lit(1e-11))
+    out = out.withColumn("gap_vs_daily", ratio).withColumn("tail_coverage", F.when(F.col("_dates") > 60, C.div("_tail", "_body"))).withColumn("truncation_suspected", F.coalesce(F.col("tail_coverage") < 0.5, F.lit(False)))
+    return out.withColumn("survivorship_suspected", (F.col("_names") >= 30) & (F.col("_years") >= 3) & (F.col("ended_before_end_share") < 0.01)).drop("_names", "_years", "_tail", "_body", "_dates")
+
+
+def eligible_by_year(p: Panel) -> DataFrame:
+    """year, names: mean number of eligible names on its dates, and growth against the first year."""
+    day = p.df.groupBy("t", "date").agg(F.count_if("eligible").alias("k"))
+    y = day.groupBy(F.year("date").alias("year")).agg(F.avg("k").alias("names"))
+    return y.withColumn("growth", C.div("names", F.first("names").over(Window.orderBy("year"))))

@@ -9,6 +9,9 @@ from . import columns as C
 from .panel import Panel, ret
 
 
+WEIGHTINGS = ("equal", "signal", "rank")
+
+
 def check_arguments(long_q: float, short_q: float | None, hold: int, *costs: float) -> None:
     if not 0 < long_q <= 1 or short_q is not None and (not 0 < short_q <= 1 or long_q + short_q > 1):
         raise ValueError("the legs must be within 1 and not overlap")
@@ -20,8 +23,8 @@ def leg(rank: str | Column, signal: str, q: float, top: bool, weighting: str = "
     """Raw weights of a leg before normalisation: names with rank >= 1 - q, or <= q."""
     rank = C.col(rank)
     inside = rank >= F.lit(1 - q) if top else rank <= F.lit(q)
-    far = rank if top else 1 - rank
-    size = {"equal": F.lit(1.0), "rank": far, "signal": F.abs(F.col(signal))}[weighting]
+    far = rank - F.lit(1 - q) if top else F.lit(q) - rank
+    size = {"equal": F.lit(1.0), "rank": far, "signal": F.abs(F.coalesce(F.col(signal), F.lit(0.0)))}[weighting]
     return F.when(inside, size).otherwise(0.0)
 
 
@@ -30,9 +33,15 @@ def tranche(w: str | Column, hold: int, t: str = "t") -> Column:
     return F.sum(C.col(w)).over(C.back(hold)) / F.least(F.lit(hold), F.col(t) + 1)
 
 
-def one_bar(p: Panel) -> DataFrame:
-    """df with fwd1: the return of the bar after entry, missing as 0; 0 past the end."""
-    return p.df.withColumn("_r", ret(1)).withColumn("fwd1", F.coalesce(F.lead("_r", p.entry_lag + 1).over(C.by_time()), F.lit(0.0))).drop("_r")
+def one_bar(p: Panel, delist_return: float | None = None, funding: bool = True) -> DataFrame:
+    """df with fwd1, fund1, hit1: the return of the bar after entry (missing as 0; 0 past the end; delist_return on the bar after a flagged last one), the funding rate over it, and whether it is that bar."""
+    w, k = C.by_time(), p.entry_lag + 1
+    gone = F.coalesce(F.lag("delist_after").over(w), F.lit(False)) if p.has("delist_after") else F.lit(False)
+    r = F.coalesce(ret(1), F.lit(0.0))
+    df = p.df.withColumn("_n", gone).withColumn("_r", r if delist_return is None else F.when(gone, float(delist_return)).otherwise(r))
+    df = df.withColumn("fwd1", F.coalesce(F.lead("_r", k).over(w), F.lit(0.0))).withColumn("hit1", F.coalesce(F.lead("_n", k).over(w), F.lit(False)))
+    rate = F.coalesce(F.lead(F.coalesce("funding", F.lit(0.0)), k).over(w), F.lit(0.0)) if funding and p.has("funding") else F.lit(0.0)
+    return df.withColumn("fund1", rate).drop("_r", "_n")
 
 
 def holdings(p: Panel, factor: str, long_q: float, short_q: float | None, hold: int, weighting: str = "equal", df: DataFrame | None = None) -> DataFrame:

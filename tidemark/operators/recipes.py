@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,20 +52,47 @@ def names() -> list[str]:
     return sorted(RECIPES)
 
 
-def recipe(name: str, **parameters) -> Column:
+def describe(name: str) -> dict:
+    """What a recipe computes, its parameters with their defaults, and the columns that it needs beyond close."""
+    import inspect
+
+    if name not in RECIPES:
+        raise KeyError(f"no recipe {name!r}; there are {', '.join(names())}")
+    needs = {"low_volatility": ["ret1"], "size": ["mkt_cap"], "illiquidity": ["volume"], "volume_shock": ["volume"]}
+    return {"name": name, "does": (inspect.getdoc(RECIPES[name]) or "").split("\n")[0], "parameters": {k: None if v.default is v.empty else v.default for k, v in inspect.signature(RECIPES[name]).parameters.items()}, "needs": needs.get(name, [])}
+
+
+def recipe(name: str, periods_per_year: int = 252, **parameters) -> Column:
+    """A recipe by name. Windows that span a year, or a month, have defaults from periods_per_year."""
     if name not in RECIPES:
         raise KeyError(f"no recipe {name!r}; there are {', '.join(names())}")
-    return RECIPES[name](**parameters)
+    defaults = {"momentum": {"lookback": periods_per_year, "skip": max(1, periods_per_year // 12)}, "distance_to_high": {"window": periods_per_year}}
+    given = defaults.get(name, {}) | parameters
+    for k, v in given.items():
+        if isinstance(v, bool) or not isinstance(v, str | int) or isinstance(v, int) and v < (0 if k == "skip" else 1):
+            raise ValueError(f"{k} must be a whole number of at least 1, got {v!r}")
+    if name == "momentum" and given["skip"] >= given["lookback"]:
+        raise ValueError("skip must be below lookback")
+    return RECIPES[name](**given)
+
+
+def registered(name: str, build: Callable[..., Column]) -> None:
+    """Add a recipe of one's own."""
+    if name in RECIPES:
+        raise ValueError(f"there is a recipe {name!r} already")
+    RECIPES[name] = build
 
 
 def controls(p: Panel) -> DataFrame:
-    """df with ranked controls c_rev1, c_rev5, c_mom21, c_mom63, c_vol21, c_logsize, c_turnover and c_char_*, as the panel allows."""
+    """df with ranked controls c_rev1, c_rev5, c_mom21, c_mom63, c_vol21, c_mom252_21 (where the panel is longer than a year and 21 bars), c_logsize, c_turnover and c_char_*, as the panel allows."""
     df = p.df.withColumn("ret1", ret(1))
-    raw = {"rev1": -F.col("ret1"), "rev5": -ret(5), "mom21": ret(21), "mom63": ret(63), "vol21": C.rolling(F.stddev_samp, "ret1", 21)}
+    raw = {"rev1": F.col("ret1"), "rev5": ret(5), "mom21": ret(21), "mom63": ret(63), "vol21": C.rolling(F.stddev_samp, "ret1", 21)}
+    if p.periods_per_year < p.df.agg(F.max("t")).first()[0] + 1 - 21:
+        raw["mom252_21"] = ret(p.periods_per_year) - ret(21)
     if p.has("mkt_cap"):
         raw["logsize"] = F.when(F.col("mkt_cap") > 0, F.ln("mkt_cap"))
         if p.has("volume"):
-            raw["turnover"] = C.div(C.rolling(F.avg, _value(), 21), "mkt_cap")
+            raw["turnover"] = C.div(C.rolling(F.avg, _value(), 20), "mkt_cap")
     raw |= {c: F.col(c) for c in p.df.columns if c.startswith("char_")}
     df = df.select("*", *(v.alias(f"_{k}") for k, v in raw.items()))
     return df.select(*(c for c in df.columns if c[1:] not in raw), *(C.xs_norm(f"_{k}", "eligible").alias(f"c_{k}") for k in raw))
@@ -82,3 +111,17 @@ def neutralize(df: DataFrame, factor: str, by: list[str], least: int = 50) -> Da
         return pd.DataFrame({"t": x["t"], "ticker": x["ticker"], "residual": e if e.std() > 1e-5 * y.std() else np.full(len(e), np.nan)}).dropna()
 
     return df.where("eligible").select("t", "ticker", factor, *by).groupBy("t").applyInPandas(run, "t int, ticker string, residual double")
+
+
+def characteristics_from_financials(df: DataFrame) -> DataFrame:
+    """df (t, ticker, close, mkt_cap, equity, net_income, assets; the last three known by then and carried forward) with char_log_size, char_momentum (a year without its last month), char_log_bm (at least ln 1e-6), char_roa, char_asset_growth; those whose inputs the frame lacks are left out."""
+    has = set(df.columns)
+    out = {"log_size": F.when(F.col("mkt_cap").isNotNull(), F.ln(F.greatest("mkt_cap", F.lit(1.0)))), "momentum": ret(252) - ret(21)}
+    if "equity" in has:
+        ratio = C.div("equity", "mkt_cap")
+        out["log_bm"] = F.when(ratio.isNotNull(), F.ln(F.greatest(ratio, F.lit(1e-6))))
+    if {"net_income", "assets"} <= has:
+        out["roa"] = C.div("net_income", "assets")
+    if "assets" in has:
+        out["asset_growth"] = C.div("assets", F.lag("assets", 252).over(C.by_time())) - 1
+    return df.select("*", *(v.alias(f"char_{k}") for k, v in out.items()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from . import columns as C
 from . import costs, portfolio, recipes
-from .panel import Panel, ret
+from .panel import Panel, forward, ret
 
 
 def participation(df: DataFrame, h: DataFrame, aum: float, window: int = 30) -> DataFrame:
@@ -34,14 +34,17 @@ def capacity_curve(p: Panel, h: DataFrame, aums: list[float], ys: tuple[float, .
     return day.groupBy("aum", "y").agg(F.avg("cost").alias("cost"), F.avg(F.col("gross") - F.col("cost")).alias("net"))
 
 
-def latency_sweep(p: Panel, factor: Column, lags: tuple[int, ...], **setting) -> DataFrame:
-    """lag, t, net of the same factor entered later and later."""
-    out = None
-    for lag in lags:
-        q = replace(p, entry_lag=lag)
-        x = portfolio.backtest_portfolio(q, "factor", df=portfolio.one_bar(q).withColumn("factor", factor), **setting).select(F.lit(lag).alias("lag"), "t", "net")
-        out = x if out is None else out.unionByName(x)
-    return out
+def latency_sweep(p: Panel, factor: Column, lags: tuple[int, ...], *, long_q: float = 0.1, short_q: float | None = 0.1, hold: int = 5, spread_bp: float = 20.0) -> DataFrame:
+    """lag, t, net of the same factor entered later and later. Positions do not depend on the lag: one job, with one return column for each."""
+    df = p.df.withColumn("ret1", ret(1)).withColumn("factor", factor).withColumn("_r", F.coalesce(ret(1), F.lit(0.0)))
+    df = df.withColumn("fwd1", F.lit(0.0))
+    held = portfolio.holdings(p, "factor", long_q, short_q, hold, df=df)
+    w = C.by_time()
+    held = held.withColumn("_d", F.abs(F.coalesce(F.col("hl") - F.lag("hl").over(w), F.lit(0.0))) + F.abs(F.coalesce(F.col("hs") - F.lag("hs").over(w), F.lit(0.0))))
+    held = held.select("t", (F.col("hl") - F.col("hs")).alias("h"), "_d", *(F.coalesce(F.lead("_r", k + 1).over(w), F.lit(0.0)).alias(f"f{k}") for k in lags))
+    day = held.groupBy("t").agg(F.sum("_d").alias("d"), *(F.sum(F.col("h") * F.col(f"f{k}")).alias(f"g{k}") for k in lags)).withColumn("_e", F.max("t").over(Window.partitionBy()))
+    rows = day.select("t", "_e", "d", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"g{k}").alias("g")) for k in lags))).alias("x"))
+    return rows.where(F.col("t") < F.col("_e") - F.col("x.lag")).select("x.lag", "t", (F.col("x.g") - F.col("d") * spread_bp / 2e4).alias("net"))
 
 
 def breakeven_bp(daily: DataFrame, cost_bp: float) -> DataFrame:
@@ -50,19 +53,42 @@ def breakeven_bp(daily: DataFrame, cost_bp: float) -> DataFrame:
 
 
 def style_returns(p: Panel, hold: int = 5, q: float = 0.3, least: int = 10) -> DataFrame:
-    """t, market and one column for each style's long/short return; NULL on dates with fewer than `least` known names."""
+    """t, market and one column for each style's long/short return, before costs; NULL on dates with fewer than `least` known names.
+
+    market is the mean return of the eligible names from entry to the bar after. Styles: size, momentum (a year without its last month; where the
+    panel is longer than that), reversal, low volatility, illiquidity. Rows are (style, t, ticker): one ranking and one holding window for all.
+    """
+    year = max(20, round(p.periods_per_year))
+    skip = max(2, round(p.periods_per_year / 12))
+    value = F.col("close") * F.col("volume") if p.has("volume") else None
     df = portfolio.one_bar(p).withColumn("ret1", ret(1))
-    styles = {"momentum": recipes.momentum(26, 2), "reversal": recipes.reversal(5), "lowvol": recipes.low_volatility(30)}
+    styles = {"reversal": recipes.reversal(5), "lowvol": -C.rolling(F.stddev_samp, "ret1", 60, 40)}
+    if p.df.agg(F.max("t")).first()[0] + 1 > year + skip + 30:
+        styles["momentum"] = recipes.momentum(year, skip)
     if p.has("mkt_cap"):
         styles["size"] = recipes.size()
-    if p.has("volume"):
-        styles["illiquidity"] = recipes.illiquidity(10)
-    out = portfolio.benchmark(df).withColumnRenamed("bench", "market")
-    for name, factor in styles.items():
-        h = portfolio.holdings(p, "f", q, q, hold, df=df.withColumn("f", factor))
-        known = F.count_if(F.col("eligible") & F.col("f").isNotNull())
-        out = out.join(h.groupBy("t").agg(F.when(known >= least, F.sum((F.col("hl") - F.col("hs")) * F.col("fwd1"))).alias(name)), "t", "left")
-    return out
+    if value is not None:
+        mean = C.rolling(F.avg, value, 30, 20)
+        styles["illiquidity"] = F.when(mean > 0, -mean)
+    names = sorted(styles)
+    x = C.stacked(df, "style", "f", {n: styles[n] for n in names}, "t", "ticker", "eligible", "fwd1")
+    keyed = keyed_holdings(x, "style", "f", q, q, hold)
+    day = keyed.groupBy("style", "t").agg(F.when(F.count_if(F.col("eligible") & F.col("f").isNotNull()) >= least, F.sum(F.col("h") * F.col("fwd1"))).alias("r"))
+    wide = day.groupBy("t").pivot("style", names).agg(F.first("r"))
+    w = C.by_time()
+    market = p.df.withColumn("_f", C.div(F.lead("close", p.entry_lag + 1).over(w), F.lead("close", p.entry_lag).over(w)) - 1).where("eligible").groupBy("t").agg(F.avg("_f").alias("market"))
+    end = p.df.agg(F.max("t").alias("_e"))
+    return market.join(wide, "t", "full").crossJoin(F.broadcast(end)).where(F.col("t") < F.col("_e") - p.entry_lag).drop("_e").select("t", "market", *names)
+
+
+def keyed_holdings(x: DataFrame, key: str, factor: str, long_q: float, short_q: float | None, hold: int, weighting: str = "equal") -> DataFrame:
+    """x (key, t, ticker, eligible, factor, more) with h: the net position of each key's long/short book."""
+    date = (key, "t")
+    x = x.withColumn("_rank", C.pct_rank(factor, "eligible", date))
+    x = x.withColumn("_wl", C.weights(portfolio.leg("_rank", factor, long_q, True, weighting), date))
+    x = x.withColumn("_ws", C.weights(portfolio.leg("_rank", factor, short_q, False, weighting), date) if short_q else F.lit(0.0))
+    own = Window.partitionBy(key, "ticker").orderBy("t").rowsBetween(-(hold - 1), 0)
+    return x.withColumn("h", F.sum(F.col("_wl") - F.col("_ws")).over(own) / F.least(F.lit(hold), F.col("t") + 1)).drop("_rank", "_wl", "_ws")
 
 
 def inject_delistings(p: Panel, annual_rate: float, hazard: str = "uniform", seed: int = 0, min_age: int = 60) -> Panel:
@@ -99,15 +125,106 @@ def survivorship_scenarios(p: Panel, evaluate: Callable[[Panel, float], float],
     return out
 
 
-def label_permutation(p: Panel, held: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """rep, sharpe: holdings (t, ticker, h) given to other names by a random one-to-one map for each replicate; costs off."""
-    names = p.df.select("ticker").distinct().withColumn("i", F.row_number().over(Window.orderBy("ticker")))
-    reps = p.df.sparkSession.range(n).withColumnRenamed("id", "rep")
+def relabelled(names: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """rep, ticker, other: a random one-to-one map of the tickers for each replicate."""
+    names = names.select("ticker").distinct().withColumn("i", F.row_number().over(Window.orderBy("ticker")))
+    reps = names.sparkSession.range(n).withColumnRenamed("id", "rep")
     maps = names.crossJoin(reps).withColumn("j", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "ticker"), "ticker")))
-    maps = maps.select("rep", "ticker", "j").join(names.select(F.col("ticker").alias("other"), F.col("i").alias("j")), "j").select("rep", "ticker", "other")
-    x = held.where("h <> 0").join(maps, "ticker").join(portfolio.one_bar(p).select("t", F.col("ticker").alias("other"), "fwd1"), ["t", "other"])
-    d = x.groupBy("rep", "t").agg(F.sum(F.col("h") * F.col("fwd1")).alias("net"))
-    return d.groupBy("rep").agg(C.div(F.avg("net"), F.stddev_samp("net")).alias("sharpe"))
+    return maps.select("rep", "ticker", "j").join(names.select(F.col("ticker").alias("other"), F.col("i").alias("j")), "j").select("rep", "ticker", "other")
+
+
+def factor_permutation(p: Panel, factor: Column, n: int = 100, method: str = "labels", seed: int = 0, *, long_q: float = 0.1, short_q: float | None = 0.1, hold: int = 5, weighting: str = "equal") -> DataFrame:
+    """rep, sharpe before every cost of the same book with the factor's link to the names cut; rep -1 is the real one.
+
+    labels: each name has another one's whole history, once for each replicate; eligibility and ranks are taken anew. daily: values are
+    shuffled within each date, which holds only for a factor that changes from day to day. Replicates are keys of one job.
+    """
+    if n < 10 or method not in ("labels", "daily"):
+        raise ValueError("n must be at least 10, and method labels or daily")
+    df = portfolio.one_bar(p).withColumn("ret1", ret(1)).withColumn("_f", factor)
+    base = df.select("t", "ticker", "eligible", "fwd1")
+    if method == "labels":
+        moved = df.where("_f IS NOT NULL").select("t", F.col("ticker").alias("other"), "_f").join(relabelled(p.df, n, seed), "other").select("rep", "t", "ticker", "_f")
+    else:
+        moved = within_date_shuffle(df, "_f", n, seed).select("rep", "t", "ticker", F.col("value").alias("_f"))
+    real = df.select(F.lit(-1).cast("long").alias("rep"), "t", "ticker", "_f")
+    reps = p.df.sparkSession.range(-1, n).withColumnRenamed("id", "rep")
+    x = base.crossJoin(F.broadcast(reps)).join(moved.unionByName(real), ["rep", "t", "ticker"], "left")
+    day = keyed_holdings(x, "rep", "_f", long_q, short_q, hold, weighting).groupBy("rep", "t").agg(F.sum(F.col("h") * F.col("fwd1")).alias("net"))
+    end = p.df.agg(F.max("t").alias("_e"))
+    day = day.crossJoin(F.broadcast(end)).where(F.col("t") < F.col("_e") - p.entry_lag)
+    return day.groupBy("rep").agg((C.div(F.avg("net"), F.stddev_samp("net")) * p.periods_per_year**0.5).alias("sharpe"))
+
+
+def null_summary(reps: DataFrame, value: str = "sharpe") -> dict:
+    """real (rep -1), p = (1 + draws at least as good) / (n + 1), mean, deviation, 95th and 99th percentile of the draws."""
+    v, null = F.coalesce(F.col(value), F.lit(0.0)), F.col("rep") >= 0
+    real = reps.where("rep = -1").select(value).first()[0]
+    if real is None:
+        raise ValueError("the real one has no figure")
+    n, above, mean, std, q = reps.where(null).agg(F.count("*"), F.count_if(v >= real), F.avg(v), F.stddev_samp(v), F.percentile(v, F.array(F.lit(0.95), F.lit(0.99)))).first()
+    return {"real": real, "n": n, "p": (1 + above) / (n + 1), "null_mean": mean, "null_std": std, "null_p95": q[0], "null_p99": q[1]}
+
+
+def signal_permutation(p: Panel, fire: Column, horizon: int, cost_bp: float = 0.0, *, n: int = 200, method: str = "shift", min_shift: int | None = None, delist_return: float | None = None, seed: int = 0) -> DataFrame:
+    """rep, fires, win, mean (net of a round trip) of the real signal (rep -1) and of n copies.
+
+    shift: all fires move in time by a random number of bars, around the end, at least min_shift (max(2 * horizon, 21)); those that land
+    on a name that is not eligible or has no outcome drop out. random_picks: on each date as many names are picked among the eligible.
+    """
+    if horizon < 1 or n < 20 or not cost_bp >= 0 or method not in ("shift", "random_picks"):
+        raise ValueError("horizon must be at least 1, n at least 20, cost_bp not negative, method shift or random_picks")
+    df = forward(p, horizon, delist_return).withColumn("ret1", ret(1))
+    df = df.withColumn("_f", F.coalesce(fire, F.lit(False)) & F.col("eligible")).withColumn("_u", F.col("eligible") & F.col("fwd").isNotNull())
+    usable = df.where("_u").select("t", "ticker", "fwd")
+    real = df.where("_f AND _u").select(F.lit(-1).cast("long").alias("rep"), "fwd")
+    bars = df.agg(F.max("t")).first()[0] + 1
+    if real.limit(30).count() < 30:
+        raise ValueError("at least 30 fires with a measured outcome are needed")
+    unit = lambda *k: (F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    reps = p.df.sparkSession.range(n).withColumnRenamed("id", "rep")
+    if method == "shift":
+        lo = max(2 * horizon, 21) if min_shift is None else min_shift
+        if bars - 2 * lo < 10:
+            raise ValueError(f"the sample has {bars} bars: too few for shifts of at least {lo}")
+        reps = reps.withColumn("by", (lo + F.floor(unit("rep") * (bars - 2 * lo + 1))).cast("int"))
+        moved = df.where("_f").select("t", "ticker").crossJoin(F.broadcast(reps)).select("rep", F.pmod(F.col("t") + F.col("by"), F.lit(bars)).cast("int").alias("t"), "ticker")
+        null = moved.join(usable, ["t", "ticker"]).select("rep", "fwd")
+    else:
+        k = df.where("_f AND _u").groupBy("t").agg(F.count("*").alias("k"))
+        x = usable.join(k, "t").crossJoin(F.broadcast(reps))
+        null = x.withColumn("r", F.row_number().over(Window.partitionBy("rep", "t").orderBy(F.xxhash64(F.lit(seed), "rep", "t", "ticker"), "ticker"))).where("r <= k").select("rep", "fwd")
+    r = F.col("fwd") - cost_bp / 1e4
+    return real.unionByName(null).groupBy("rep").agg(F.count("*").alias("fires"), F.avg((r > 0).cast("double")).alias("win"), F.avg(r).alias("mean"))
+
+
+def shuffle_null(df: DataFrame, column: str, controls: list[str], lag: int, reps: int = 3, seed: int = 0) -> dict:
+    """Size of chance: |t| of the regression of fwd on the column shuffled within dates, beside the controls: n, median, p95, p99, max. df: t, ticker, eligible, fwd, column, controls."""
+    x = within_date_shuffle(df, column, reps, seed).join(df.select("t", "ticker", "eligible", "fwd", *controls), ["t", "ticker"])
+    t = F.abs("t")
+    a = stats.newey_west(stats.fama_macbeth(x, "fwd", "value", controls, keys=("rep",)), "beta", lag, ("rep",)).agg(F.count("t"), F.percentile(t, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))), F.max(t)).first()
+    q = a[1] or [None] * 3
+    return {"n": a[0], "median": q[0], "p95": q[1], "p99": q[2], "max": a[2]}
+
+
+def decile_spread(df: DataFrame, signal: str, fwd: str = "fwd", q: float = 0.1, least: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, spread: mean over days of the mean return of the top q of eligible names less that of the bottom q, on days with `least` names in both."""
+    date = (*keys, "t")
+    x = df.withColumn("_r", C.pct_rank(signal, "eligible", date)).where(F.col(fwd).isNotNull())
+    hi, lo = F.col("_r") >= F.lit(1 - q), F.col("_r") <= F.lit(q)
+    d = x.groupBy(*date).agg(F.count_if(hi).alias("a"), F.count_if(lo).alias("b"), (F.avg(F.when(hi, F.col(fwd))) - F.avg(F.when(lo, F.col(fwd)))).alias("s")).where((F.col("a") >= least) & (F.col("b") >= least))
+    return d.groupBy(*keys).agg(F.avg("s").alias("spread"))
+
+
+def assert_no_lookahead(p: Panel, signal: Column, h: int = 5, n_null: int = 8, seed: int = 0) -> dict:
+    """A weak heuristic, to be read as no evidence when it passes: a signal that does better one bar later may know the future. base, lagged, tol (twice the deviation of the spreads of shuffled signals) and pass."""
+    df = forward(p, h).withColumn("ret1", ret(1)).withColumn("_s", signal.cast("double"))
+    df = df.withColumn("_l", F.lag("_s").over(C.by_time()))
+    base, lagged = decile_spread(df, "_s").first()[0], decile_spread(df, "_l").first()[0]
+    sh = within_date_shuffle(df, "_s", n_null, seed).join(df.select("t", "ticker", "eligible", "fwd"), ["t", "ticker"])
+    n, sd = decile_spread(sh, "value", keys=("rep",)).agg(F.count("spread"), F.stddev_pop("spread")).first()
+    tol = 2 * sd if n >= 3 else 0.0
+    return {"base_bp": None if base is None else base * 1e4, "lagged_bp": None if lagged is None else lagged * 1e4, "tol_bp": tol * 1e4, "pass": base is None or lagged is None or lagged <= base + tol}
 
 
 def within_date_shuffle(df: DataFrame, column: str, reps: int, seed: int = 0) -> DataFrame:

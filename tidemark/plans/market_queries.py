@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import columns as C
 from ..operators import portfolio, recipes, sweeps
 from ..operators.panel import ret
 from ..sources import long_table, markets
-from .base import WT, bars, panel, query, r, roll, sql, table
+from .base import WT, bars, panel, query, r, rank_cte, roll, sql, table
+from .portfolio_queries import BOOK
 
 _RATES = "sc AS (SELECT * FROM (VALUES (DATE '1990-01-01', 'a', 30.0::DOUBLE), (DATE '1997-04-07', 'a', 25.0), (DATE '1990-01-01', 'b', 20.0), (DATE '1999-02-01', 'b', 35.0)) x(d, m, v))"
 
@@ -30,11 +32,6 @@ def market_cap_asof(spark, sf_dir):
     return markets.market_cap(c, s).select("ticker", "date", r("mkt_cap", 2).alias("mkt_cap"))
 
 
-@query(sql(f"SELECT t, ticker, coalesce(lead(run = 2, 1) OVER ({WT}), false) AS frozen FROM (SELECT *, CASE WHEN close IS NULL THEN t - coalesce(max(CASE WHEN close IS NOT NULL THEN t END) OVER ({WT}), -1) ELSE 0 END AS run FROM panel)"))
-def freeze_hits(spark, sf_dir):
-    return markets.freeze_hits(panel(spark, sf_dir).df, 2, 1).select("t", "ticker", "frozen")
-
-
 @query(sql(f"SELECT t, ticker, round(5.0 + greatest(2.0, 0.25 / close * 1e4) + CASE WHEN coalesce(m < 30000, true) THEN 10.0 ELSE 0.0 END, 8) AS cost FROM (SELECT *, {roll('median(close * volume)', 12, 6)} AS m FROM panel)"))
 def liquidity_cost(spark, sf_dir):
     df = panel(spark, sf_dir).df.withColumn("tick", F.lit(0.5))
@@ -46,21 +43,8 @@ def split_reused_codes(spark, sf_dir):
     return long_table.split_reused_codes(bars(spark, sf_dir).select("ticker", "date"), 28).select("ticker", "date", "sid")
 
 
-@query(sql("SELECT ticker, date, round(100 * product(1 + coalesce(r, 0)) OVER (PARTITION BY ticker ORDER BY date), 6) AS adjusted FROM (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars) WHERE date < DATE '1997-01-01'"))
-def chain_linked(spark, sf_dir):
-    import datetime
-
-    from pyspark.sql import Window
-
-    b = bars(spark, sf_dir).withColumn("r", C.div("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1).withColumn("sid", F.col("ticker")).where(F.col("date") < datetime.date(1997, 1, 1))
-    return long_table.chain_linked(b, "r").select("ticker", "date", r("adjusted", 6).alias("adjusted"))
-
-
 @query(sql("SELECT ticker, date, round(100 * product(1 + coalesce(r, 0)) OVER (PARTITION BY ticker ORDER BY date), 6) AS adjusted FROM (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars)"))
-def chain_linked_all(spark, sf_dir):
-    """chain_linked over all dates."""
-    from pyspark.sql import Window
-
+def chain_linked(spark, sf_dir):
     b = bars(spark, sf_dir).withColumn("r", C.div("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1).withColumn("sid", F.col("ticker"))
     return long_table.chain_linked(b, "r").select("ticker", "date", r("adjusted", 6).alias("adjusted"))
 
@@ -71,32 +55,54 @@ def _book(spark, sf_dir):
     return p, portfolio.holdings(p, "factor", 0.2, 0.2, 4, df=df).select("t", "ticker", (F.col("hl") - F.col("hs")).alias("h"))
 
 
-@query()
+_LIQUID = BOOK + f", lq AS (SELECT *, {roll('stddev_samp(ret1)', 20, 10)} AS s, {roll('avg(close * volume)', 30)} AS adv FROM tr)"
+
+
+@query(sql("""SELECT aum, y, round(avg(cost), 10) AS cost, round(avg(gross - cost), 8) + 0.0 AS net FROM (SELECT aum, y, t, sum(CASE WHEN d <> 0 THEN abs(d) * coalesce(least(y * s * sqrt(abs(d) * aum / nullif(adv, 0)), 0.01), 0.01) ELSE 0 END) AS cost, sum(h * fwd1) AS gross
+FROM lq, (SELECT unnest([1e4::DOUBLE, 1e5, 1e6]) AS aum), (SELECT unnest([0.5::DOUBLE, 1.0]) AS y) GROUP BY aum, y, t) GROUP BY aum, y""", _LIQUID))
 def capacity_curve(spark, sf_dir):
     p, h = _book(spark, sf_dir)
-    return sweeps.capacity_curve(p, h, [1e4, 1e5, 1e6], (0.5, 1.0))
+    return sweeps.capacity_curve(p, h, [1e4, 1e5, 1e6], (0.5, 1.0)).select("aum", "y", r("cost", 10).alias("cost"), r("net").alias("net"))
 
 
-@query()
+@query(sql("SELECT round(quantile_cont(p, 0.5), 8) AS p50, round(quantile_cont(p, 0.95), 8) AS p95, round(quantile_cont(p, 0.99), 8) AS p99, round(1000.0 / quantile_cont(p, 0.95), 4) AS aum_at_1pct FROM (SELECT abs(d) * 1e5 / nullif(adv, 0) AS p FROM lq WHERE abs(d) > 1e-12)", _LIQUID))
 def participation(spark, sf_dir):
     p, h = _book(spark, sf_dir)
-    return sweeps.participation(p.df, h, 1e5)
+    x = sweeps.participation(p.df, h, 1e5)
+    return x.select(*(r(c).alias(c) for c in ("p50", "p95", "p99")), r("aum_at_1pct", 4).alias("aum_at_1pct"))
 
 
 @query()
-def label_permutation(spark, sf_dir):
-    p, h = _book(spark, sf_dir)
-    return sweeps.label_permutation(p, h, 20)
+def factor_permutation(spark, sf_dir):
+    return sweeps.factor_permutation(panel(spark, sf_dir), recipes.reversal(5), 20, long_q=0.2, short_q=0.2, hold=4)
 
 
 @query()
+def signal_permutation(spark, sf_dir):
+    return sweeps.signal_permutation(panel(spark, sf_dir), F.col("ret1") < -0.2, 4, 10.0, n=20)
+
+
+_STYLES = f"""sy AS (SELECT *, coalesce(lead(ret1, 2) OVER ({WT}), 0) AS fwd1, {{'illiquidity': CASE WHEN {roll('avg(close * volume)', 30, 20)} > 0 THEN -({roll('avg(close * volume)', 30, 20)}) END, 'lowvol': -({roll('stddev_samp(ret1)', 60, 40)}), 'momentum': lag(close, 4) OVER ({WT}) / nullif(lag(close, 52) OVER ({WT}), 0) - 1, 'reversal': -(close / nullif(lag(close, 5) OVER ({WT}), 0) - 1), 'size': CASE WHEN mkt_cap > 0 THEN -mkt_cap END}} AS f FROM panel),
+sx AS (SELECT t, ticker, eligible, fwd1, n AS style, CASE n WHEN 'illiquidity' THEN f.illiquidity WHEN 'lowvol' THEN f.lowvol WHEN 'momentum' THEN f.momentum WHEN 'reversal' THEN f.reversal ELSE f.size END AS x FROM sy, (SELECT unnest(['illiquidity', 'lowvol', 'momentum', 'reversal', 'size']) AS n)),
+{rank_cte('sr', 'sx', 'x', 'eligible', 'style, t')},
+sw AS (SELECT *, coalesce((CASE WHEN pr >= 1 - 0.3::DOUBLE THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN pr >= 1 - 0.3::DOUBLE THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY style, t), 0), 0) - coalesce((CASE WHEN pr <= 0.3::DOUBLE THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN pr <= 0.3::DOUBLE THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY style, t), 0), 0) AS w FROM sr),
+sh AS (SELECT *, sum(w) OVER (PARTITION BY style, ticker ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / least(5, t + 1) AS h FROM sw),
+sd AS (SELECT style, t, CASE WHEN count(*) FILTER (eligible AND x IS NOT NULL) >= 10 THEN sum(h * fwd1) END AS r FROM sh GROUP BY style, t),
+mk AS (SELECT t, avg(f) AS market FROM (SELECT *, lead(close, 2) OVER ({WT}) / nullif(lead(close, 1) OVER ({WT}), 0) - 1 AS f FROM panel) WHERE eligible GROUP BY t)"""
+
+
+@query(sql("SELECT t, round(any_value(market), 8) + 0.0 AS market, " + ", ".join(f"round(max(r) FILTER (style = '{n}'), 8) + 0.0 AS {n}" for n in ("illiquidity", "lowvol", "momentum", "reversal", "size")) + " FROM sd LEFT JOIN mk USING (t) WHERE t < (SELECT max(t) - 1 FROM panel) GROUP BY t", _STYLES))
 def style_returns(spark, sf_dir):
-    return sweeps.style_returns(panel(spark, sf_dir))
+    s = sweeps.style_returns(panel(spark, sf_dir))
+    return s.select("t", *(r(c).alias(c) for c in s.columns[1:]))
 
 
-@query()
+@query(sql(
+    f"""SELECT x.lag, t, round(CASE x.lag WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE g3 END - d * 10 / 2e4, 8) + 0.0 AS net FROM (SELECT t, sum(d) AS d, sum((hl - hs) * f1) AS g1, sum((hl - hs) * f2) AS g2, sum((hl - hs) * f3) AS g3 FROM
+(SELECT t, hl, hs, abs(coalesce(hl - lag(hl) OVER ({WT}), 0)) + abs(coalesce(hs - lag(hs) OVER ({WT}), 0)) AS d, coalesce(lead(ret1, 2) OVER ({WT}), 0) AS f1, coalesce(lead(ret1, 3) OVER ({WT}), 0) AS f2, coalesce(lead(ret1, 4) OVER ({WT}), 0) AS f3 FROM held) GROUP BY t), (SELECT unnest([1, 2, 3]) AS lag) x WHERE t < (SELECT max(t) FROM panel) - x.lag""", BOOK))
 def latency_sweep(spark, sf_dir):
-    return sweeps.latency_sweep(panel(spark, sf_dir), recipes.reversal(5), (1, 2, 3))
+    x = sweeps.latency_sweep(panel(spark, sf_dir), recipes.reversal(5), (1, 2, 3), long_q=0.2, short_q=0.2, hold=4, spread_bp=10.0)
+    return x.select("lag", "t", r("net").alias("net"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import columns as C
 from ..operators import costs, event, execution, joins, recipes
 from ..operators import panel as P
@@ -77,28 +78,57 @@ def last_bar_delist(spark, sf_dir):
     return df.where("close IS NOT NULL").groupBy("ticker").agg(F.max("t").alias("last_t")).crossJoin(F.broadcast(end)).select("ticker", "last_t", (F.col("last_t") < F.col("e") - 4).alias("ended"))
 
 
-@query(sql("""SELECT t, ticker, CASE WHEN close IS NULL THEN count(*) OVER (PARTITION BY ticker, g ORDER BY t) - CASE WHEN t0 THEN 0 ELSE 1 END ELSE 0 END AS run FROM
- (SELECT *, sum(CASE WHEN close IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY t) AS g, sum(CASE WHEN close IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY t) = 0 AS t0 FROM panel)"""))
+def halted_panel(p: P.Panel) -> P.Panel:
+    """The panel with bars without volume, ends of every fifth security, days without short sales and a funding rate, all by rule."""
+    k = F.expr("CAST(substring(ticker, 2) AS INT)")
+    dead = k % 5 == 0
+    df = p.df.withColumn("close", F.when(~(dead & (F.col("t") > 250 + k % 40)), F.col("close"))).withColumn("volume", F.when((F.col("t") + k * 7) % 29 < 4, 0.0).otherwise(F.col("volume")))
+    return p.with_df(df.withColumn("delist_after", dead & (F.col("t") == 250 + k % 40)).withColumn("shortable", (F.col("t") + k) % 11 != 0).withColumn("funding", ((F.col("t") + k) % 7 - 3) / 1e4))
+
+
+HALTED = f"""hp0 AS (SELECT *, CAST(substring(ticker, 2) AS INT) AS k FROM panel),
+hp AS (SELECT t, date, ticker, k, CASE WHEN NOT (k % 5 = 0 AND t > 250 + k % 40) THEN close END AS close, CASE WHEN (t + k * 7) % 29 < 4 THEN 0.0 ELSE volume END AS volume, high, low, mkt_cap, char_disc, eligible, k % 5 = 0 AND t = 250 + k % 40 AS delist_after, (t + k) % 11 <> 0 AS shortable, ((t + k) % 7 - 3) / 1e4::DOUBLE AS funding FROM hp0),
+hr AS (SELECT *, close / nullif(lag(close) OVER ({WT}), 0) - 1 AS ret1, close IS NOT NULL AND NOT coalesce(volume > 0, false) AS halted, coalesce(max(CASE WHEN delist_after THEN 1 ELSE 0 END) OVER ({WT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS gone,
+  CASE WHEN close IS NULL THEN t - coalesce(max(CASE WHEN close IS NOT NULL THEN t END) OVER ({WT}), -1) ELSE 0 END AS gap FROM hp),
+hg AS (SELECT *, sum(CASE WHEN halted THEN 0 ELSE 1 END) OVER ({WT}) AS isl FROM hr),
+hh AS (SELECT *, CASE WHEN halted THEN count(*) FILTER (halted) OVER (PARTITION BY ticker, isl ORDER BY t) ELSE 0 END AS run FROM hg)"""
+
+
+@query(sql("SELECT t, ticker, run FROM hh", HALTED))
 def halt_runs(spark, sf_dir):
-    df = panel(spark, sf_dir).df.withColumn("gap", F.col("close").isNull())
-    return C.run_length(df, "gap", "run").select("t", "ticker", F.col("run").cast("long").alias("run"))
+    return execution.halt_runs(halted_panel(panel(spark, sf_dir)).df).select("t", "ticker", F.col("halt_run").cast("long").alias("run"))
+
+
+@query(sql(f"SELECT t, ticker, coalesce(lead(run = 2, 1) OVER ({WT}), false) AS frozen FROM hh", HALTED))
+def freeze_hits(spark, sf_dir):
+    return execution.freeze_hits(halted_panel(panel(spark, sf_dir)).df, 2, 1).select("t", "ticker", "frozen")
 
 
-_EPISODES = f"""isl AS (SELECT *, last_value(close IGNORE NULLS) OVER ({WT} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen, first_value(close IGNORE NULLS) OVER ({WT} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM panel),
-i2 AS (SELECT *, t - row_number() OVER ({WT}) AS g FROM isl WHERE close IS NULL AND seen IS NOT NULL)"""
+_EPISODES = f"""ep0 AS (SELECT *, last_value(CASE WHEN NOT halted THEN close END IGNORE NULLS) OVER ({WT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(CASE WHEN close IS NOT NULL THEN t END IGNORE NULLS) OVER ({WT} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt, first_value(close IGNORE NULLS) OVER ({WT} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc FROM hh),
+ends AS (SELECT ticker, max(t) FILTER (close IS NOT NULL) AS lt, arg_max(close, t) FILTER (close IS NOT NULL) AS lc, bool_or(delist_after) AS flagged FROM hp GROUP BY ticker),
+ep1 AS (SELECT ticker, min(t) AS start_t, max(t) AS end_t, count(*) AS days, arg_min(coalesce(before, -1), t) AS b, arg_max(coalesce(nt, -1), t) AS nt, arg_max(coalesce(nc, -1), t) AS nc FROM ep0 WHERE halted GROUP BY ticker, isl HAVING count(*) >= 3),
+ep AS (SELECT *, CASE WHEN flagged AND lt = end_t THEN 'ended_in_halt' WHEN end_t = (SELECT max(t) FROM hp) OR nt < 0 THEN 'ongoing' WHEN flagged AND lt - nt <= 20 THEN 'resumed_then_delisted' ELSE 'resumed' END AS outcome FROM ep1 JOIN ends USING (ticker))"""
 
 
-@query(sql("SELECT ticker, min(t) AS start_t, count(*) AS n_bars, CASE WHEN min(nxt) IS NULL THEN 'ended' ELSE 'resumed' END AS outcome, round(min(nxt) / min(seen) - 1, 8) + 0.0 AS ret FROM i2 GROUP BY ticker, g HAVING count(*) >= 2", _EPISODES))
+@query(sql("SELECT ticker, start_t, end_t, days, outcome, round(CASE WHEN b < 0 OR outcome = 'ongoing' THEN NULL WHEN outcome = 'ended_in_halt' THEN 0.0 WHEN outcome = 'resumed' THEN nc / b - 1 ELSE lc / b - 1 END, 8) + 0.0 AS ret FROM ep", HALTED + ", " + _EPISODES))
 def freeze_episodes(spark, sf_dir):
-    e = execution.suspensions(panel(spark, sf_dir).df, 2)
-    return e.select("ticker", "start_t", F.col("n_bars").cast("long"), "outcome", r("ret").alias("ret"))
+    e = execution.freeze_episodes(halted_panel(panel(spark, sf_dir)).df, 3, 20)
+    return e.select("ticker", "start_t", "end_t", "days", "outcome", r("ret").alias("ret"))
 
 
-@query(sql(f"""SELECT t, ticker, ok AND NOT coalesce(ret1 >= 0.3 - 0.001, false) AS can_buy, ok AND NOT coalesce(ret1 <= -0.3 + 0.001, false) AS can_sell FROM
- (SELECT *, close IS NOT NULL AND coalesce(volume > 0, true) AND coalesce(lag(gap) OVER ({WT}), 0) <= 3 AS ok FROM
- (SELECT *, CASE WHEN close IS NULL THEN t - coalesce(max(CASE WHEN close IS NOT NULL THEN t END) OVER ({WT}), -1) ELSE 0 END AS gap FROM panel))"""))
+TRADABLE = "tb AS (SELECT *, (close IS NOT NULL AND NOT halted OR gone OR gap > 3) AND NOT coalesce(ret1 >= 0.3::DOUBLE - 0.01::DOUBLE, false) AS can_buy, (close IS NOT NULL AND NOT halted OR gone OR gap > 3) AND NOT coalesce(ret1 <= -(0.3::DOUBLE - 0.01::DOUBLE), false) AS can_sell FROM hh)"
+
+
+@query(sql("SELECT t, ticker, can_buy, can_sell FROM tb", HALTED + ", " + TRADABLE))
 def tradability(spark, sf_dir):
-    return execution.tradability(panel(spark, sf_dir).df, limit=0.3, max_gap=3).select("t", "ticker", "can_buy", "can_sell")
+    return execution.tradability(halted_panel(panel(spark, sf_dir)).df, limit=0.3, max_gap=3).select("t", "ticker", "can_buy", "can_sell")
+
+
+@query(sql(
+    "SELECT count(*) AS n, min(t) AS first_t, (SELECT ticker FROM mz ORDER BY t, ticker LIMIT 1) AS first_ticker FROM mz", HALTED + f", mz AS (SELECT * FROM (SELECT t, ticker, k, eligible AND k % 3 = 0 AS held, lead(close, 1) OVER ({WT}) IS NULL OR lead(close, 2) OVER ({WT}) IS NULL AS miss, max(CASE WHEN delist_after THEN 1 ELSE 0 END) OVER ({WT} ROWS BETWEEN UNBOUNDED PRECEDING AND 2 FOLLOWING) > 0 AS fl FROM hp) WHERE miss AND held AND NOT fl AND t < (SELECT max(t) - 1 FROM hp))"))
+def held_without_price(spark, sf_dir):
+    h = execution.held_without_price(halted_panel(panel(spark, sf_dir)).df, F.col("eligible") & (F.expr("CAST(substring(ticker, 2) AS INT)") % 3 == 0), 1)
+    return h.select("n", "first_t", "first_ticker")
 
 
 @query(sql("SELECT count(DISTINCT t) AS n_dates, count(DISTINCT ticker) AS n_tickers, count(close) AS n_prices, count(*) FILTER (eligible) AS n_eligible, round(avg(CAST(abs(ret1) > 0.5 AS INT)), 8) AS extreme_share, round(quantile_cont(ret1, 0.05), 8) AS p05, round(quantile_cont(ret1, 0.95), 8) AS p95, (SELECT round(avg(CAST(l < e AS INT)), 8) FROM (SELECT max(t) AS l FROM panel WHERE close IS NOT NULL GROUP BY ticker), (SELECT max(t) AS e FROM panel)) AS ended_share, (SELECT round(min(m), 8) FROM (SELECT avg(ret1) AS m FROM panel WHERE eligible GROUP BY t)) AS worst_market FROM panel"))
@@ -222,9 +252,9 @@ def _control_sql(name: str, x: str) -> str:
     return rank_cte(f"k_{name}", "cb", x)
 
 
-_CONTROLS = {"rev1": "-ret1", "rev5": "-r5", "mom21": "r21", "vol21": "s21", "logsize": "CASE WHEN mkt_cap > 0 THEN ln(mkt_cap) END", "turnover": "a21 / nullif(mkt_cap, 0)", "char_disc": "char_disc"}
+_CONTROLS = {"rev1": "ret1", "rev5": "r5", "mom21": "r21", "mom252_21": "r52 - r21", "vol21": "s21", "logsize": "CASE WHEN mkt_cap > 0 THEN ln(mkt_cap) END", "turnover": "a21 / nullif(mkt_cap, 0)", "char_disc": "char_disc"}
 _CONTROL_CTE = (
-    f"cb AS (SELECT *, close / nullif(lag(close, 5) OVER ({WT}), 0) - 1 AS r5, close / nullif(lag(close, 21) OVER ({WT}), 0) - 1 AS r21, {roll('stddev_samp(ret1)', 21)} AS s21, {roll('avg(close * volume)', 21)} AS a21 FROM panel), "
+    f"cb AS (SELECT *, close / nullif(lag(close, 5) OVER ({WT}), 0) - 1 AS r5, close / nullif(lag(close, 21) OVER ({WT}), 0) - 1 AS r21, close / nullif(lag(close, 52) OVER ({WT}), 0) - 1 AS r52, {roll('stddev_samp(ret1)', 21)} AS s21, {roll('avg(close * volume)', 20)} AS a21 FROM panel), "
     + ", ".join(_control_sql(k, v) for k, v in _CONTROLS.items())
 )
 
@@ -243,8 +273,6 @@ def neutralize(spark, sf_dir):
 
 @query()
 def fm_controls(spark, sf_dir):
-    from ..functions import stats
-
     p = panel(spark, sf_dir)
     c = recipes.controls(p).join(P.forward(p, 4).select("t", "ticker", "fwd"), ["t", "ticker"])
     return stats.fama_macbeth(c, "fwd", "c_rev5", ["c_logsize", "c_rev1"])
@@ -269,11 +297,40 @@ def ic_report(spark, sf_dir):
     return a.select("days", *(r(c).alias(c) for c in ("mean", "std", "hit", "icir")))
 
 
-@query(sql("SELECT bin, round(avg(e) * 1e4, 4) + 0.0 AS excess_bp, count(*) AS days FROM (SELECT t, bin, avg(fwd - m) AS e FROM (SELECT *, least(CAST(floor(ra * 10) AS INT), 9) AS bin, avg(fwd) OVER (PARTITION BY t) AS m, count(*) OVER (PARTITION BY t) AS n FROM fb WHERE ra IS NOT NULL) WHERE n >= 30 GROUP BY t, bin HAVING count(*) >= 3) GROUP BY bin", _IC))
+_DECILE = rank_cte("dr", f"(SELECT *, CAST(CAST(lead(close, 5) OVER ({WT}) / nullif(lead(close, 1) OVER ({WT}), 0) - 1 AS FLOAT) AS DOUBLE) AS fwd, -(close / nullif(lag(close, 5) OVER ({WT}), 0) - 1) AS factor FROM panel)", "factor")
+_DECILE += """, dp AS (SELECT * FROM (SELECT *, avg(fwd) OVER (PARTITION BY t) AS m, count(*) OVER (PARTITION BY t) AS n FROM dr WHERE eligible AND fwd IS NOT NULL) WHERE n >= 30 AND pr IS NOT NULL),
+db AS (SELECT bin, avg(e) * 1e4 AS excess_bp, count(*) AS days FROM (SELECT t, bin, avg(fwd) - any_value(m) AS e FROM (SELECT *, BINS AS bin FROM dp) GROUP BY t, bin HAVING count(*) >= 3) GROUP BY bin)""".replace("BINS", " + ".join(f"CASE WHEN pr >= {d / 10}::DOUBLE THEN 1 ELSE 0 END" for d in range(1, 10)))
+
+
+@query(sql("SELECT CAST(bin AS INT) AS bin, round(excess_bp, 4) + 0.0 AS excess_bp, days FROM db", _DECILE))
 def decile_profile(spark, sf_dir):
     return event.decile_profile(_factor(panel(spark, sf_dir))).select("bin", r("excess_bp", 4).alias("excess_bp"), "days")
 
 
+@query(sql("SELECT round(corr(k, bin), 6) AS rho, round(max(excess_bp) FILTER (bin = 9) - max(excess_bp) FILTER (bin = 0), 4) AS spread_bp FROM (SELECT *, rank() OVER (ORDER BY excess_bp) AS k FROM db)", _DECILE))
+def decile_shape(spark, sf_dir):
+    return event.profile_shape(event.decile_profile(_factor(panel(spark, sf_dir)))).select(r("rho", 6).alias("rho"), r("spread_bp", 4).alias("spread_bp"))
+
+
+_ONE = rank_cte("oa", f"(SELECT *, close / nullif(lag(close, 21) OVER ({WT}), 0) - 1 AS m21, CASE WHEN mkt_cap > 0 THEN ln(mkt_cap) END AS ls, CAST(CAST(lead(close, 5) OVER ({WT}) / nullif(lead(close, 1) OVER ({WT}), 0) - 1 AS FLOAT) AS DOUBLE) AS fwd FROM panel)", "m21")
+_ONE += ", " + rank_cte("ob", "(SELECT * EXCLUDE (v_, pr), (pr - 0.5) * sqrt(12) AS f FROM oa)", "ls") + ", oc AS (SELECT t, ticker, eligible, fwd, f, (pr - 0.5) * sqrt(12) AS c FROM ob)"
+
+
+@query(sql("SELECT t, ticker, round(f - a - b * c, 7) + 0.0 AS residual FROM (SELECT *, regr_intercept(f, c) OVER (PARTITION BY t) AS a, regr_slope(f, c) OVER (PARTITION BY t) AS b, count(*) OVER (PARTITION BY t) AS n FROM oc WHERE eligible AND f IS NOT NULL AND c IS NOT NULL) WHERE n >= 20", _ONE))
+def neutralize_one(spark, sf_dir):
+    """neutralize beside one control, which has a closed form."""
+    c = recipes.controls(panel(spark, sf_dir))
+    return recipes.neutralize(c, "c_mom21", ["c_logsize"], 20).select("t", "ticker", r("residual", 7).alias("residual"))
+
+
+@query(sql("SELECT t, round(sum(e * fwd) / sum(e * e), 8) + 0.0 AS beta FROM (SELECT t, fwd, f - a - b * c AS e, n FROM (SELECT *, regr_intercept(f, c) OVER (PARTITION BY t) AS a, regr_slope(f, c) OVER (PARTITION BY t) AS b, count(*) OVER (PARTITION BY t) AS n FROM oc WHERE eligible AND f IS NOT NULL AND c IS NOT NULL AND fwd IS NOT NULL) WHERE n >= 30) GROUP BY t", _ONE))
+def fm_one_control(spark, sf_dir):
+    """fm_controls beside one control, which has a closed form."""
+    p = panel(spark, sf_dir)
+    c = recipes.controls(p).join(P.forward(p, 4).select("t", "ticker", "fwd"), ["t", "ticker"])
+    return stats.fama_macbeth(c, "fwd", "c_mom21", ["c_logsize"]).where("beta IS NOT NULL").select("t", r("beta").alias("beta"))
+
+
 @query(sql("SELECT t, round(regr_slope(fwd, factor), 8) + 0.0 AS slope, count(*) AS n FROM fa WHERE v_ IS NOT NULL GROUP BY t HAVING count(*) >= 20", _IC))
 def fm_raw_slope(spark, sf_dir):
     x = _factor(panel(spark, sf_dir)).where("eligible AND fwd IS NOT NULL AND factor IS NOT NULL")

@@ -54,10 +54,11 @@ def bar_minutes(bar: str) -> int:
 
 def aggregate_bars(minutes: DataFrame, bar: str, by: str = "symbol") -> DataFrame:
     """Bars labelled by their end from one-minute rows (symbol, ts at the minute's start, o, h, l, c, volume). Works on batches and on streams with a watermark on ts."""
+    more = [c for c in ("quote_volume", "trades") if c in minutes.columns]
     g = minutes.groupBy(by, F.window("ts", f"{bar_minutes(bar)} minutes").alias("w")).agg(
-        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_min")
+        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_min"), *(F.sum(c).alias(c) for c in more)
     )
-    return g.select(by, F.col("w.end").alias("bar_end"), "open", "high", "low", "close", "volume", "n_min")
+    return g.select(by, F.col("w.end").alias("bar_end"), "open", "high", "low", "close", "volume", "n_min", *more)
 
 
 def drop_partial(bars: DataFrame, minutes: DataFrame, by: str = "symbol") -> DataFrame:
@@ -88,6 +89,74 @@ def symbol_rules(info: DataFrame) -> DataFrame:
     return r.where("step IS NOT NULL").select("symbol", F.greatest("step", "min_qty").alias("lot"), "min_notional", "tick")
 
 
+def execution_rules(rules: DataFrame, tickers: DataFrame, missing: str = "raise") -> DataFrame:
+    """ticker, lot, min_notional of each ticker by exchange rules (`symbol_rules`). missing: "raise" for tickers without rules, or "null"."""
+    if missing not in ("raise", "null"):
+        raise ValueError("missing is raise or null")
+    want = tickers.select("ticker").distinct()
+    unknown = [r[0] for r in want.join(rules.select(F.col("symbol").alias("ticker")), "ticker", "left_anti").orderBy("ticker").limit(5).collect()]
+    if unknown and missing == "raise":
+        raise ValueError(f"no rules for {', '.join(unknown)}")
+    return want.join(rules.select(F.col("symbol").alias("ticker"), "lot", "min_notional"), "ticker", "left")
+
+
+def top_up(archive: DataFrame, live: DataFrame, today, key: str = "symbol") -> DataFrame:
+    """Daily rows (key, date, ...) of an archive with newer rows from a live source: the live row wins on the same day, and the unfinished bar of today goes."""
+    both = archive.withColumn("_live", F.lit(0)).unionByName(live.withColumn("_live", F.lit(1)), allowMissingColumns=True).where(F.col("date") < F.lit(today))
+    return keep_last(both, [key, "date"], "_live").drop("_live")
+
+
+def daily_funding(settlements: DataFrame) -> DataFrame:
+    """symbol, date, rate: settlements (symbol, ts, rate) summed by UTC day."""
+    return settlements.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.sum("rate").alias("rate"))
+
+
+def read_funding_zips(spark: SparkSession, path: str) -> DataFrame:
+    """path, ts, rate of zipped CSV files of funding settlements (calc_time, interval, rate); a header line is left out."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        x = pd.read_csv(io.BytesIO(z.read(member)), header=None, names=range(3), dtype=str)
+                        x = x[x[0].str.strip().str.isdigit().fillna(False)]
+                        yield pd.DataFrame({"path": name, "time": x[0].astype("int64"), "rate": x[2].astype("float64")})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, time long, rate double").select("path", instant("time").alias("ts"), "rate")
+
+
+def archive_paths(root: str, symbol: str, start, end, today) -> list[str]:
+    """Files that cover [start, end): one for each whole past month, and one a day for the month of `today`."""
+    import datetime as dt
+
+    out, day = [], dt.date(start.year, start.month, 1)
+    last = end - dt.timedelta(days=1)
+    while day <= last:
+        after = (day.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+        if (day.year, day.month) < (today.year, today.month):
+            out.append(f"{root}/monthly/{symbol}/{symbol}-{day:%Y-%m}.zip")
+        else:
+            d = max(day, dt.date(start.year, start.month, start.day))
+            while d < min(after, end, today):
+                out.append(f"{root}/daily/{symbol}/{symbol}-{d:%Y-%m-%d}.zip")
+                d += dt.timedelta(days=1)
+        day = after
+    return out
+
+
+def between(minutes: DataFrame, start, end, at: str = "bar_end") -> DataFrame:
+    """Rows of the half-open time (start, end]: bars are known by their end."""
+    return minutes.where((F.col(at) > F.lit(start)) & (F.col(at) <= F.lit(end)))
+
+
+def minute_bars(klines: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """symbol, bar_end, open .. trades of kline rows (symbol, open_time in ms or us, ...): labelled by their end, rows without close left out, the last of repeated minutes kept."""
+    x = klines.where("close IS NOT NULL").withColumn("bar_end", instant("open_time") + F.expr("INTERVAL 1 MINUTE"))
+    return keep_last(x, [symbol, "bar_end"], "open_time").select(symbol, "bar_end", "open", "high", "low", "close", "volume", "quote_volume", "trades")
+
+
 def estimate_memory(n_bars: int, n_symbols: int, n_matrices: int = 20) -> float:
     """GB of that many float64 matrices; advice only, since Spark spills."""
     return n_bars * n_symbols * n_matrices * 8 / 1e9

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import fcntl
 import hashlib
 import json
 import math
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,14 @@ def dump_json(x, kind: str) -> str:
     return json.dumps({"schema_version": 1, "kind": kind} | jsonable(x), ensure_ascii=False, sort_keys=True, allow_nan=False)
 
 
+def array_fingerprint(df: DataFrame, *columns: str) -> str:
+    """16 hex digits of the values of a table as single-precision numbers; the order of its rows and partitions does not count."""
+    kinds = dict(df.dtypes)
+    cells = [F.col(c).cast("float") if kinds[c] in ("double", "float") else F.col(c) for c in columns or df.columns]
+    n, a, b = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*cells)), F.sum(F.xxhash64(F.lit(1), *cells).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{len(cells)}|{n}|{a}|{b}".encode()).hexdigest()[:16]
+
+
 class Ledger:
     """Lines on the driver; each trial's return series is one Parquet folder, which Spark reads back."""
 
@@ -55,8 +66,22 @@ class Ledger:
         key = hashlib.sha256(json.dumps([family, config], sort_keys=True).encode()).hexdigest()[:16]
         returns.select("date", F.col("ret").cast("double")).write.mode("overwrite").parquet(f"{self.path}/returns/{key}")
         n, mean, std = returns.agg(F.count("ret"), F.avg("ret"), F.stddev_samp("ret")).first()
+        with self._locked():
+            return self._append(family, name, key, config, n, mean / std if std else None)
+
+    @contextlib.contextmanager
+    def _locked(self) -> Iterator[None]:
+        """One writer at a time reads the end of the chain and adds to it."""
+        with (self.path / "lock").open("w") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            try:
+                yield
+            finally:
+                fcntl.flock(f, fcntl.LOCK_UN)
+
+    def _append(self, family: str, name: str, key: str, config: dict, n: int, sharpe: float | None) -> str:
         old = self.rows()
-        row = {"t": dt.datetime.now(dt.timezone.utc).isoformat(), "family": family, "name": name, "config_hash": key, "config": config, "n_obs": n, "sharpe": mean / std if std else None, "prev": old[-1]["row_hash"] if old else ""}
+        row = {"t": dt.datetime.now(dt.timezone.utc).isoformat(), "family": family, "name": name, "config_hash": key, "config": config, "n_obs": n, "sharpe": sharpe, "prev": old[-1]["row_hash"] if old else ""}
         row["row_hash"] = self._hash(row)
         with self.lines.open("a") as f:
             f.write(json.dumps(row, sort_keys=True) + "\n")
@@ -70,12 +95,19 @@ class Ledger:
             prev = row["row_hash"]
         return True
 
-    def trials(self) -> list[dict]:
+    def trials(self, family: str | None = None) -> list[dict]:
         seen: dict[tuple, dict] = {}
         for r in self.rows():
-            seen.setdefault((r["family"], r["config_hash"]), r)
+            if family in (None, r["family"]):
+                seen.setdefault((r["family"], r["config_hash"]), r)
         return list(seen.values())
 
+    def deflated_sharpe(self, spark: SparkSession, reference: str | None = None) -> dict:
+        """Of the best trial (or the one with the config hash `reference`) among all that were recorded."""
+        from ..functions.stats import deflated_sharpe
+
+        return deflated_sharpe(self.returns(spark), len(self.trials()), reference)
+
     def returns(self, spark: SparkSession, least: int = 30) -> DataFrame:
         """trial, t, ret on the dates that all trials share."""
         out, k = None, 0
