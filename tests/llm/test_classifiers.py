@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import numpy as np
@@ -110,3 +111,49 @@ def test_noisy_or_equals_plain_loops(spark):
             p = [1 / (1 + math.exp(-(sum(float(m.weight[f]) for w in h[a:b] for f in w) - 1))) for a, b, o in zip(head, np.append(head[1:], len(h)), row) if o + at == d]
             want[d] = 1 - math.prod(1 - x for x in p)
     assert np.allclose(m.scores(texts), want)
+
+
+def test_few_labels_are_learned_from(spark):
+    r = random.Random(12)
+    vocab = [f"word{i}" for i in range(300)]
+    line = lambda: " ".join(r.choice(vocab) for _ in range(12))
+    rows = [(i, f"{line()}. {line()}{' vile' if i % 2 else ''} {line()}.") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in X.score(docs, X.fit(docs, labels)).collect()}
+    assert sum(got[i]["predicted"] == i % 2 for i, _ in rows) >= 28
+    bounded = X.fit(docs, labels, train_bytes=1000)  # a few whole texts of each class
+    assert bounded.weight.shape == (1 << X.BITS,)
+
+
+def test_extra_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", 0.5, "x", 3), (2, "der hund und die katze", "de", 0.1, "y", 4)], "doc_id long, text string, lang string, score double, `a.b c` string, lang_pred int")
+    out = L.annotate(docs, L.fit(docs))
+    assert out.columns == ["doc_id", "text", "lang", "a.b c", "lang_pred", "score"]
+    assert {x["doc_id"]: (x["lang_pred"], x["a.b c"]) for x in out.collect()} == {1: ("en", "x"), 2: ("de", "y")}
+
+
+def test_language_set_equals_plain_loops():
+    r = np.random.default_rng(4)
+    m = L.Model(["a", "b", "c"], r.integers(0, 40, (3, L.GRAMS)) ** 2)
+    c = np.zeros((6, L.GRAMS), np.int64)
+    for i in range(6):
+        for k in ([0], [1], [0, 1], [2], [0, 2], [0, 1, 2])[i]:
+            c[i] += r.multinomial(60, m.p[k])
+
+    def em(row, share, steps):
+        for _ in range(steps):
+            q = share @ m.p + 1e-300
+            share = np.array([share[k] * (row * m.p[k] / q).sum() for k in range(3)]) / max(row.sum(), 1)
+        return share, (row * np.log(share @ m.p + 1e-300)).sum()
+
+    for row, got in zip(c, m.shares(c)):
+        share, fit = em(row, np.full(3, 1 / 3), L.STEPS)
+        while (share > 0).sum() > 1:
+            less = share.copy()
+            less[np.where(share > 0, share, 2).argmin()] = 0
+            less, new = em(row, less / less.sum(), 6)
+            if (fit - new) / 3 >= L.PENALTY * np.log(max(row.sum(), 2)) / 2:
+                break
+            share, fit = less, new
+        assert np.allclose(got, share, atol=1e-9)

@@ -43,10 +43,12 @@ def test_equals_brute_force_and_stores_chunks_once(spark):
     listed = M.index(docs)
     digests = {d for x in listed.collect() for d in x["chunks"]}
     media = stage(M.store(docs, listed), "media").collect()
-    own = [d for x in media if x["kind"] == 0 for line in M._lists(bytes(x["refs"])) for d in {d for k, d in line if k > 0}]
+    own = [d for x in media if x["kind"] == 0 for _, line in M._lists(bytes(x["refs"])) for d in {d for k, d in line if k > 0}]
     shared = [bytes(x["key"]) for x in media if x["kind"] == 1]
     assert len(own) == len(set(own)) and len(shared) == len(set(shared)) > 0 and not set(own) & set(shared)
     assert set(own) | set(shared) == {bytes(d) for d in digests}
+    lists = {hashlib.sha256(stored).hexdigest(): stored for x in media if x["kind"] == 0 for stored, _ in M._lists(bytes(x["refs"]))}
+    assert sum(map(len, lists)) and {x["media_bytes"] - x["payload_bytes"] for x in back} <= set(map(len, lists.values()))  # the stored list and the samples
 
 
 def test_chunks_are_content_defined():

@@ -104,3 +104,9 @@ def test_small_memory_gives_the_same():
     small = S.PieceEncoder(VOCABULARY)
     small.remember = 50
     assert ids_of(texts, small) == ids_of(texts, small) == LIBRARY.encode(texts)
+
+
+def test_texts_that_weak_hashes_confuse():
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits[:n]) for n in (1024, 2048)] + ["".join("ba"[b] for b in bits[:n]) for n in (1024, 2048)]
+    assert ids_of(texts, S.PieceEncoder(VOCABULARY)) == LIBRARY.encode(texts)

@@ -44,6 +44,38 @@ def test_many_segments(spark, monkeypatch):
     assert sorted((tuple(x) for x in S.read(store).collect()), key=str) == brute(rows)
 
 
+def test_documents_by_select(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT", 40)
+    rows = [(i * 7 - 30, f"some words of {i} " * (i % 5)) for i in range(40)] + [(5, "twice"), (5, "again"), (None, "no id"), (2**62, "far"), (-(2**62), "before")]
+    store = S.write(spark.createDataFrame([(*x, "") for x in rows], SCHEMA), PATH)
+    got = sorted((x["doc_id"], x["ids"]) for x in S.ids_of(store, spark.createDataFrame([(5,), (-30,), (2**62,), (999,), (None,), (5,)], "doc_id long")).collect())
+    want = sorted((i, [*PLAIN.encode(t, add_special_tokens=False).ids, 0]) for i, t in rows if i in (5, -30, 2**62))
+    assert got == want and len(got) == 5
+    assert sorted((tuple(x) for x in S.read(store).collect()), key=str) == brute(rows)
+
+
+def test_rows_without_doc_id_are_dealt_to_several_shards(spark):
+    rows = [(None, f"{i} a text without a number") for i in range(400)]
+    store = S.write(spark.createDataFrame([(*x, "") for x in rows], SCHEMA).repartition(4), PATH)
+    assert store.select("shard").distinct().count() > 1
+    assert sorted((tuple(x) for x in S.read(store).collect()), key=str) == brute(rows)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(S.Encoder, "hashed", lambda self, buf, start, stop: np.full(len(start), 7, np.uint64))
+    e = S.Encoder(PATH)
+    texts = ["the first text", "another, longer pieceofatextwithoutblanks " * 3, "the", "", "pieceofatextwithoutblanks"]
+    flat, size = e.ids(*W.buffers(pa.array(texts, pa.string())))
+    assert flat.tolist() == [i for t in texts for i in [*PLAIN.encode(t, add_special_tokens=False).ids, 0]] and size.sum() == len(flat)
+
+
+def test_texts_that_weak_hashes_confuse():
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits[:n]) for n in (1024, 2048)] + ["".join("ba"[b] for b in bits[:n]) for n in (1024, 2048)]
+    flat, _ = S.Encoder(PATH).ids(*W.buffers(pa.array(texts, pa.string())))
+    assert flat.tolist() == [i for t in texts for i in [*PLAIN.encode(t, add_special_tokens=False).ids, 0]]
+
+
 def test_empty_table(spark):
     assert S.read(S.write(spark.createDataFrame([], SCHEMA), PATH)).count() == 0
 

@@ -15,8 +15,9 @@ of 256 to 16384 bytes, so an edit changes the chunks around it only.
    their pack; for others the missing chunks are joined by digest. Each rebuilt
    payload must have the digest that it is stored under.
 
-The stored form of one payload is its chunk list (magic, sizes, digests) and
-its 8-bit samples. Documents with equal texts share one payload, so hot groups
+The stored form of one payload is its chunk list (magic, sizes, digests), which
+stands in its pack as it is, and the samples of its chunks, 8 bits each; both
+are read back, and no list is made anew. Documents with equal texts share one payload, so hot groups
 of copies are rebuilt once. doc_id may be null or repeat; extra columns are
 ignored. Digests are 128-bit blake2b.
 """
@@ -42,6 +43,7 @@ UNIT = 64
 LEAST, MOST, BITS = 256, 16384, 11  #: bytes of a chunk at least and at most; a cut is at one position in 2**BITS
 PACK = 4 << 20  #: bytes of payloads in one pack
 DIGEST = 16
+MAGIC = b"TMC1"  #: before each stored chunk list
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -175,20 +177,20 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
                 if (k := digest(x)) in done:
                     continue
                 done.add(k)
-                mark, line, given = role.get(k, {}), [], set()
+                mark, line, given, elsewhere = role.get(k, {}), [], set(), bytearray()
                 for c in chunks:
                     d = digest(c)
+                    line.append(struct.pack("<i16s", len(c), d))
+                    elsewhere.append(d in mark)
                     if d in mark:
-                        line.append(struct.pack("<i16s", -len(c), d))
                         if mark[d] and d not in given:
                             given.add(d)
                             give.append((d, c))
                     else:
-                        line.append(struct.pack("<i16s", len(c), d))
                         data.append(c)
                         size += len(c)
                 keys.append(k)
-                refs.append(struct.pack("<i", len(line)) + b"".join(line))
+                refs.append(MAGIC + struct.pack("<qi", len(x), len(line)) + b"".join(line) + elsewhere)
                 if size >= PACK:
                     yield flush()
                     keys, refs, data, give, size = [], [], [], [], 0
@@ -203,25 +205,29 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
 _SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("refs", pa.binary()), ("data", pa.binary())])
 
 
-def _lists(refs: bytes) -> Iterator[list[tuple[int, bytes]]]:
+def _lists(refs: bytes) -> Iterator[tuple[bytes, list[tuple[int, bytes]]]]:
+    """Stored chunk lists: their bytes, and (size, digest) of each chunk; the size is negative where the chunk is a shared one."""
     at = 0
     while at < len(refs):
-        (k,) = struct.unpack_from("<i", refs, at)
-        yield [struct.unpack_from("<i16s", refs, at + 4 + 20 * i) for i in range(k)]
-        at += 4 + 20 * k
+        if refs[at : at + 4] != MAGIC:
+            raise ValueError("a stored chunk list is damaged")
+        (k,) = struct.unpack_from("<i", refs, at + 12)
+        end = at + 16 + 20 * k
+        line = [struct.unpack_from("<i16s", refs, at + 16 + 20 * i) for i in range(k)]
+        yield refs[at:end], [(-n if refs[end + i] else n, d) for i, (n, d) in enumerate(line)]
+        at = end + k
 
 
-def features(key: bytes, line: list[tuple[int, bytes]], data: bytes) -> tuple:
-    """The columns of one rebuilt payload, which must be what was stored."""
+def features(key: bytes, listed: bytes, data: bytes) -> tuple:
+    """The columns of one rebuilt payload, which must be what was stored. listed: its stored chunk list."""
     if digest(data) != key:
         raise ValueError(f"stored media {key.hex()} came back changed")
-    form = b"TMC1" + struct.pack("<qi", len(data), len(line)) + b"".join(struct.pack("<i16s", abs(n), d) for n, d in line)
     x = np.frombuffer(data, np.uint8).astype(np.float64) - 128
     crossings = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
     text = f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings}"
-    whole = hashlib.sha256(form)
+    whole = hashlib.sha256(listed)
     whole.update(data)
-    return key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(form) + len(data), whole.hexdigest(), text
+    return key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(listed) + len(data), whole.hexdigest(), text
 
 
 _FEATURES = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -244,20 +250,20 @@ def rebuild(media: DataFrame) -> DataFrame:
         for batch in batches:
             for keys, refs, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "refs", "data")), strict=True):
                 raw, at, done, part = zstandard.ZstdDecompressor().decompress(blob), 0, [], []
-                for i, line in enumerate(_lists(refs)):
+                for i, (listed, line) in enumerate(_lists(refs)):
                     key = keys[DIGEST * i : DIGEST * (i + 1)]
                     size = sum(k for k, _ in line if k > 0)
                     data, at = raw[at : at + size], at + size
                     if all(k > 0 for k, _ in line):
-                        done.append(features(key, line, data))
+                        done.append(features(key, listed, data))
                     else:
-                        part.append((key, line, data))
+                        part.append((key, listed, line, data))
                 press = zstandard.ZstdCompressor(level=3)
                 lack = [pa.array([None] * len(done), pa.int32()), pa.array([None] * len(done), pa.binary()), pa.array([None] * len(done), pa.binary()), pa.array([None] * len(done), pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*_rows(done), *lack], [*_NAMES, "bucket", "refs", "data", "lacks"])
-                rows = _rows([(k, None, None, None, None, None, None) for k, _, _ in part])
-                lines = [b"".join(struct.pack("<i16s", *x) for x in line) for _, line, _ in part]
-                more = [pa.array(_bucket([k for k, _, _ in part], n), pa.int32()), pa.array(lines, pa.binary()), pa.array([press.compress(d) for _, _, d in part], pa.binary()), pa.array([sorted({d for k, d in line if k < 0}) for _, line, _ in part], pa.list_(pa.binary()))]
+                rows = _rows([(k, None, None, None, None, None, None) for k, _, _, _ in part])
+                lines = [listed + bytes(k < 0 for k, _ in line) for _, listed, line, _ in part]
+                more = [pa.array(_bucket([k for k, _, _, _ in part], n), pa.int32()), pa.array(lines, pa.binary()), pa.array([press.compress(d) for _, _, _, d in part], pa.binary()), pa.array([sorted({d for k, d in line if k < 0}) for _, _, line, _ in part], pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*rows, *more], [*_NAMES, "bucket", "refs", "data", "lacks"])
 
     def join(table: pa.Table) -> pa.Table:
@@ -268,14 +274,15 @@ def rebuild(media: DataFrame) -> DataFrame:
         for key, refs, data in zip(*(table.column(c).to_pylist() for c in ("key", "refs", "data")), strict=True):
             if refs is None:
                 continue
-            line, own, at, out = [struct.unpack_from("<i16s", refs, i) for i in range(0, len(refs), 20)], unpress.decompress(data), 0, []
+            ((listed, line),) = _lists(refs)
+            own, at, out = unpress.decompress(data), 0, []
             for k, d in line:
                 if k > 0:
                     out.append(own[at : at + k])
                     at += k
                 else:
                     out.append(unpress.decompress(have[d]))
-            found.append(features(key, line, b"".join(out)))
+            found.append(features(key, listed, b"".join(out)))
         return pa.Table.from_arrays(_rows(found), _NAMES)
 
     read = stage(media.where(F.col("kind") == _OWN).mapInArrow(whole, f"{_FEATURES}, bucket int, refs binary, data binary, lacks array<binary>"), "features")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .decontaminate import op5_decontaminate
 from .html_extract import op8_html_extract
 from .jaccard_join import op10_jaccard_join
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL

@@ -45,6 +45,7 @@ from .session import stage
 
 WINDOW, ANCHOR = 13, 4
 WHOLE, CHECK, SINGLE = 0, 1, 2
+OFTEN, HOTTEST = 1024, 4096  #: followers from which a block's link is broadcast, and how many are at most
 
 _ROW = {"h": "<u4", "b": "<u8", "c": "<u4", "side": "<u4", "doc": "<i8", "start": "<i4", "n": "<u2"}
 _LATER = {"vdoc": "<i8", "vstart": "<i4", "vn": "<u2", "vkey": "<u8"}
@@ -157,12 +158,17 @@ def compacted(marks: DataFrame, alone: DataFrame, window: int) -> DataFrame:
     """doc_id, start, stop, mark of the longest nonbranching paths of repeated blocks (doc_id, start, n, key). alone: doc_ids that several texts share; their blocks stay single."""
     of = Window.partitionBy("doc_id").orderBy("start", "key")
     meets = F.col("start") == F.lag(F.col("start") + F.col("n")).over(of) - (window - 1)
-    steps = marks.select("doc_id", "start", "n", "key").withColumn("before", F.when(meets, F.lag("key").over(of)))
+    steps = stage(marks.select("doc_id", "start", "n", "key").withColumn("before", F.when(meets, F.lag("key").over(of))), "steps")
     links = steps.where("before IS NOT NULL")
-    leaves = links.groupBy("before").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v = w").select(F.col("before").alias("u"), "v")  # out-degree 1
+    after = stage(links.groupBy(F.col("before").alias("u")).agg(F.min("key").alias("v"), F.max("key").alias("w"), F.count("*").alias("k")), "after")
+    hot = [r["u"] for r in after.where(F.col("k") > OFTEN).orderBy(F.desc("k"), "u").limit(HOTTEST).select("u").collect()]
+    leaves = after.where("v = w").select("u", "v")  # out-degree 1
     enters = links.groupBy("key").agg(F.min("before").alias("u"), F.max("before").alias("w")).where("u = w").select("u", F.col("key").alias("v"))  # in-degree 1
-    open_ = leaves.join(enters, ["u", "v"])
-    known = links.join(open_.select(F.col("u").alias("before"), F.col("v").alias("key"), F.lit(0).alias("same")), ["before", "key"], "left")
+    open_ = leaves.join(enters, ["u", "v"]).select(F.col("u").alias("before"), F.col("v").alias("key"), F.lit(0).alias("same"))
+    often = F.col("before").isin(hot) if hot else F.lit(False)
+    known = links.where(~often).join(open_.where(~often), ["before", "key"], "left")
+    if hot:  # a block in very many documents has at most one open link, which goes to all tasks
+        known = known.unionByName(links.where(often).join(F.broadcast(open_.where(often)), ["before", "key"], "left"))
     known = known.unionByName(steps.where("before IS NULL").withColumn("same", F.lit(None).cast("int")))  # path heads join nothing
     known = known.join(alone.select("doc_id", F.lit(1).alias("apart")), "doc_id", "left")
     run = F.sum(F.when(F.col("apart").isNull(), F.coalesce("same", F.lit(1))).otherwise(1)).over(of.rowsBetween(Window.unboundedPreceding, 0))

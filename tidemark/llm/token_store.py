@@ -2,8 +2,8 @@
 
 Documents are dealt to shards by ranges of doc_id and sorted. A shard is a
 sequence of segments of about SEGMENT ids; one segment holds the concatenated
-ids (2 bytes each while the vocabulary allows, else 4) and the ends of its
-documents as an Elias-Fano sequence: low bits packed, high bits in unary, and
+ids (2 bytes each while the vocabulary allows, else 4), and the ends and the
+doc_ids of its documents as Elias-Fano sequences: low bits packed, high bits in unary, and
 every 64th one's position, so an end is found without reading the others and
 no 64-bit table is kept. Segments are binary columns of a Parquet table, which
 is the only kind of file that every executor of a cluster can write and read.
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .memo import Memo
-from .session import partitions, small_batches, stage
+from .session import partitions, size_of, small_batches, stage
 
 END = 0  #: the id after each document
 SEGMENT = 1 << 20  #: ids in a segment, but for a longer document
 SAMPLE = 64
+SHARD = 64 << 20  #: bytes of input in a shard, where that makes more shards than there are shuffle partitions
 
 # --- Elias-Fano -------------------------------------------------------------
 
@@ -179,13 +180,15 @@ def encoder(path: str) -> Encoder:
 
 # --- the store --------------------------------------------------------------
 
-_SEGMENT = "shard int, segment int, n_docs int, n_ids long, width int, doc_ids binary, null_ids binary, ids binary, low_bits int, low binary, high binary, samples binary"
+_SEGMENT = "shard int, segment int, n_docs int, n_ids long, width int, n_null int, first_id long, id_bits int, id_low binary, id_high binary, id_samples binary, ids binary, low_bits int, low binary, high binary, samples binary"
+_FAR = 1 << 62  #: a segment whose doc_ids span more keeps them as they are (id_bits -1)
 
 
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Encode docs (doc_id, text) and write the store to the shared folder. Gives the written table."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spread = docs.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_head").asc_nulls_first()]  # the beginning of the text splits rows that share a doc_id, or have none
+    spread = docs.withColumn("_head", F.substring("text", 1, 48)).repartitionByRange(max(partitions(docs.sparkSession), -(-size_of(docs) // SHARD)), *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = TaskContext.get().partitionId(), 0
@@ -193,9 +196,16 @@ def write(docs: DataFrame, path: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             size, flat = np.concatenate(sizes), np.concatenate(ids)
-            ef = EliasFano.of(np.cumsum(size))
-            row = [shard, segment, len(size), len(flat), flat.itemsize, np.concatenate(names).astype("<i8").tobytes(), np.packbits(np.concatenate(nulls)).tobytes(), flat.tobytes(), ef.low_bits, ef.low, ef.high, ef.samples]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            ef, n_null = EliasFano.of(np.cumsum(size)), int(np.concatenate(nulls).sum())
+            known = np.concatenate(names)[n_null:].astype(np.int64)  # ascending; rows without doc_id come first
+            first_id = int(known[0]) if len(known) else 0
+            if len(known) and int(known[-1]) - first_id >= _FAR:
+                id_bits, *packed = -1, known.astype("<i8").tobytes(), b"", b""
+            else:
+                x = EliasFano.of(known - first_id)
+                id_bits, *packed = x.low_bits, x.low, x.high, x.samples
+            row = [shard, segment, len(size), len(flat), flat.itemsize, n_null, first_id, id_bits, *packed, flat.tobytes(), ef.low_bits, ef.low, ef.high, ef.samples]
+            kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _SEGMENT.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
         for batch in batches:
@@ -228,6 +238,46 @@ def bases(store: DataFrame) -> DataFrame:
     return size.withColumn("i", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).join(shard, "shard").select("shard", "segment", (F.col("s") + F.col("i")).alias("base"))
 
 
+def doc_ids(segment: dict) -> pa.Array:
+    """The doc_ids of a segment, null for rows without one."""
+    n = segment["n_docs"] - segment["n_null"]
+    if segment["id_bits"] < 0:
+        known = np.frombuffer(segment["id_low"], "<i8")
+    else:
+        known = EliasFano(n, segment["id_bits"], segment["id_low"], segment["id_high"], segment["id_samples"]).all() + segment["first_id"]
+    return pa.concat_arrays([pa.nulls(segment["n_null"], pa.int64()), pa.array(known, pa.int64())])
+
+
+def document(segment: dict, i: int) -> np.ndarray:
+    """The ids of the i-th document of a segment, by two selects: no other boundary is read."""
+    ends = EliasFano(segment["n_docs"], segment["low_bits"], segment["low"], segment["high"], segment["samples"])
+    start = ends[i - 1] if i else 0
+    return np.frombuffer(segment["ids"], f"<u{segment['width']}", ends[i] - start, start * segment["width"])
+
+
+def ids_of(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids (array<int>) of the wanted doc_ids: segments are found by their range of doc_ids, documents by select."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                names = np.asarray(doc_ids(x).slice(x["n_null"]))
+                for w in sorted(set(x["wanted"])):
+                    a, b = np.searchsorted(names, [w, w + 1])
+                    found = [document(x, x["n_null"] + i).tolist() for i in range(int(a), int(b))]
+                    yield pa.RecordBatch.from_arrays([pa.array([w] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(x["shard"], x["segment"], x["first_id"], doc_ids(x)[-1].as_py()) for x in batch.to_pylist() if x["n_docs"] > x["n_null"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["shard", "segment", "lo", "hi"])
+
+    spans = store.mapInArrow(last, "shard int, segment int, lo long, hi long")
+    hits = wanted.select(F.col("doc_id").cast("long").alias("w")).where("w IS NOT NULL").join(spans, F.col("w").between(F.col("lo"), F.col("hi")))
+    asked = hits.groupBy("shard", "segment").agg(F.collect_set("w").alias("wanted"))
+    return store.join(asked, ["shard", "segment"]).mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def read(store: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written segments."""
     base = stage(bases(store), "bases")
@@ -239,10 +289,10 @@ def read(store: DataFrame) -> DataFrame:
                 start = np.concatenate(([0], ends[:-1]))
                 wide = np.frombuffer(x["ids"], f"<u{x['width']}").astype("<u4")
                 raw = memoryview(wide).cast("B")
-                null = np.unpackbits(np.frombuffer(x["null_ids"], np.uint8))[: x["n_docs"]].astype(bool)
+                names = doc_ids(x)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(x["doc_ids"], "<i8"), mask=null), pa.array(start + x["base"]), pa.array(ends - start), pa.array(crc, pa.int64())],
+                    [names, pa.array(start + x["base"]), pa.array(ends - start), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

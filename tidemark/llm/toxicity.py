@@ -5,8 +5,12 @@ A sentence has the logit b + sum of the weights of its words and of their first
 any sentence is (noisy-or): 1 - product of (1 - sentence probability). Weights
 of hashed features are fitted to the document labels alone, by gradient steps on
 the likelihood of the noisy-or with a penalty, on at most TRAIN_ROWS labelled
-documents of each class, chosen by a hash of doc_id. The sentence
-probabilities then locate the offending sentences (`sentences`).
+documents and TRAIN_BYTES of text of each class, chosen by a hash of doc_id (whole
+texts; one at least). A feature gets a weight if LEAST_DOCS training documents hold
+it and its z-score between the classes is LEAST_Z; with few labels, where no
+feature could get there, a quarter of the toxic documents and 0.6 of the largest
+possible z-score are enough. The sentence probabilities then locate the offending
+sentences (`sentences`).
 
 Only text is an input of a score. Null and empty texts, and texts without
 words, have the score of no sentence: 0. Labels that are null are not learned
@@ -28,6 +32,7 @@ from .session import small_batches
 
 BITS = 18
 TRAIN_ROWS = 2500  #: labelled documents of each class that are learned from, at most
+TRAIN_BYTES = 24 << 20  #: bytes of their texts, at most
 STEMS = (4, 5)  #: bytes of a word's beginning that are features too
 LEAST_DOCS, LEAST_Z = 8, 6.0  #: training documents that hold a feature, and its z-score between the classes, for it to get a weight
 STEPS, RATE, RIDGE = 120, 0.15, 1e-2
@@ -79,7 +84,7 @@ def learn(h: np.ndarray, head: np.ndarray, row: np.ndarray, label: np.ndarray) -
     pos, neg = label.sum(), n - label.sum()
     share = np.clip(seen / n, 1e-9, 1 - 1e-9)
     z = (bad / pos - (seen - bad) / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
-    keep = (seen >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+    keep = (seen >= min(LEAST_DOCS, max(2, pos // 4))) & (np.abs(z) >= min(LEAST_Z, 0.6 * np.sqrt(n)))  # a feature that parts the classes has z = sqrt(n)
     odds = np.log((bad + 0.5) / (pos + 1)) - np.log((seen - bad + 0.5) / (neg + 1))
     weight = np.where(keep, np.clip(odds, -1, 3), 0.0)
     bias, total = -6.0, weight.size
@@ -99,12 +104,19 @@ def learn(h: np.ndarray, head: np.ndarray, row: np.ndarray, label: np.ndarray) -
     return Model(weight, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """From documents (doc_id, text) and labels (doc_id, toxic). At most 2 * train_rows doc_ids are broadcast."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """From documents (doc_id, text) and labels (doc_id, toxic). At most 2 * train_rows doc_ids are broadcast; the driver gets the words of at most 2 * train_bytes of text."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     order = F.xxhash64("doc_id", F.lit(17))
     some = [one.where(F.col("y") == k).orderBy(order, "doc_id").limit(train_rows) for k in (0, 1)]
-    chosen = F.broadcast(some[0].unionByName(some[1]))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sizes = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    taken, room = [], {0: train_bytes, 1: train_bytes}
+    for x in sizes.orderBy(order, "doc_id").collect():  # at most 2 * train_rows rows
+        if x["n"] <= room[x["y"]] or room[x["y"]] == train_bytes:
+            room[x["y"]] -= x["n"]
+            taken.append((x["doc_id"], x["y"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, y int"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
                     lo, hi = int(head[a]), int(head[b]) if b < len(head) else len(h)
                     yield pa.RecordBatch.from_arrays([pa.array([int(y[at + row[a]])], pa.int32()), pa.array([h[lo:hi].astype("<i4").tobytes()], pa.binary()), pa.array([length[a:b].astype("<i4").tobytes()], pa.binary())], ["y", "words", "sizes"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("text", "y").mapInArrow(words, "y int, words binary, sizes binary").toArrow()
+    rows = texts.join(chosen, "doc_id").select("text", "y").mapInArrow(words, "y int, words binary, sizes binary").toArrow()
     label = np.asarray(rows.column("y")).astype(np.float64)
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(1 << BITS), -1e9)
