@@ -55,7 +55,7 @@ def tables(seed, shortest):
     return [*docs, (None, docs[3][1]), (500, None), (501, ""), (502, " .\x7f ")], items
 
 
-@pytest.mark.parametrize(("seed", "shortest", "shard"), [(1, 1, 10**6), (2, 2, 10**6), (3, 13, 150)])
+@pytest.mark.parametrize(("seed", "shortest", "shard"), [(1, 1, 10**6), (2, 2, 10**6), (3, 13, 150), (4, 1, 40)])
 def test_equals_brute_force(spark, seed, shortest, shard):
     docs, items = tables(seed, shortest)
     d = spark.createDataFrame([(*x, "") for x in docs], DOCS).repartition(3)
@@ -77,6 +77,14 @@ def test_clean_drops_contaminated_and_cuts_spans(spark):
     assert out[2]["items"] == "e"
 
 
+def test_clean_in_several_passes_is_the_same(spark):
+    docs, items = tables(6, 5)
+    d = spark.createDataFrame([(*x, "") for x in docs], DOCS)
+    b = spark.createDataFrame([(*x, "") for x in items], ITEMS)
+    one, many = (sorted((tuple(x) for x in D.clean(d, b, shard_words=n).collect()), key=str) for n in (10**6, 30))
+    assert one == many and len(one) < len(docs)
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert D.digest(d, b).count() == 0

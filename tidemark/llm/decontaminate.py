@@ -12,7 +12,9 @@ are stepped through. Words are compared by 64-bit hashes.
 The benchmark is counted first. Up to SHARD_WORDS words one automaton is
 broadcast; a larger benchmark is dealt into automata of about that size (an
 item longer than that is one automaton by itself), and each document passes
-through them one after the other.
+through them one after the other. At most ABREAST automata are on the executors
+at a time: a benchmark of more is read in several passes, each of which writes
+the hit words and items of its rows, and these are joined in the end.
 
 Null and empty texts have no words and no hits. Null item texts, and items
 without words, match nothing; rows of the benchmark that repeat an item_id are
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import words as W
-from .session import plain_names, small_batches
+from .session import plain_names, small_batches, stage
 
 WINDOW = 13
 SHARD_WORDS = 400_000  #: words of test items in one automaton
+ABREAST = 8  #: automata that are broadcast at a time
 COVERAGE = 20  #: a document is contaminated if COVERAGE * hit words >= words
 _BITS = 22
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -171,23 +174,55 @@ class Automaton:
         return out
 
 
-def automata(spark: SparkSession, benchmark: DataFrame, window: int, shard_words: int) -> list:
-    """Broadcast automata, each of about shard_words words."""
+def prepared(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int) -> tuple[DataFrame, list]:
+    """docs (with text), and the broadcast automata that its rows have to pass. A benchmark of many automata has been passed already: the rows then have their _spans and _items, and no automata are left."""
+    spark = small_batches(docs).sparkSession
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("k"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.size(F.regexp_extract_all(F.lower("text"), F.lit(_PATTERN), F.lit(0)))).alias("n")).first()["n"] or 0
     n = max(1, -(-int(total) // shard_words))
-    out = []
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("k"), F.lit(n)) == k) if n > 1 else items
-        rows = part.toArrow()
-        if len(rows):
-            *_, first, h = hashed_words(rows.column("text"))
-            out.append(spark.sparkContext.broadcast(Automaton([(name, h[a:b]) for name, a, b in zip(rows.column("k").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)], window)))
-    return out
+
+    def machines(shards: range) -> list:
+        out = []
+        for k in shards:
+            rows = (items.where(F.pmod(F.xxhash64("k"), F.lit(n)) == k) if n > 1 else items).toArrow()
+            if len(rows):
+                *_, first, h = hashed_words(rows.column("text"))
+                out.append(spark.sparkContext.broadcast(Automaton([(name, h[a:b]) for name, a, b in zip(rows.column("k").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)], window)))
+        return out
+
+    if n <= ABREAST:
+        return docs, machines(range(n))
+    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = None
+    for at in range(0, n, ABREAST):
+        some = machines(range(at, min(at + ABREAST, n)))
+
+        def run(batches: Iterator[pa.RecordBatch], some: list = some) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, _, _, _, first, hit, names in _scanned(batch, some):
+                    at = sorted(names)
+                    yield pa.RecordBatch.from_arrays([rows.column("_row").take(pa.array(at, pa.int64())), pa.array([_runs(hit[first[i] : first[i + 1]]) for i in at], _SPANS), pa.array([sorted(names[i]) for i in at], pa.list_(pa.string()))], ["_row", "_spans", "_items"])
+
+        hits = stage(docs.select("_row", "text").mapInArrow(run, "_row long, _spans array<struct<start: long, stop: long>>, _items array<string>"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        for x in some:
+            x.destroy()
+    told = found.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    return docs.join(told, "_row", "left").drop("_row"), []
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _runs(hit: np.ndarray) -> list[dict]:
+    """[start, stop) of the runs of hit words."""
+    edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    return [{"start": int(x), "stop": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def _scanned(batch: pa.RecordBatch, machines: list) -> Iterator[tuple]:
     """Chunks: rows, bytes, word starts, ends, first words, hit words, names of items by row."""
+    told = "_spans" in batch.schema.names
     buf, offsets = W.buffers(batch.column("text"))
     for i, j in W.chunks(offsets):
         part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -198,7 +233,15 @@ def _scanned(batch: pa.RecordBatch, machines: list) -> Iterator[tuple]:
             a = m.value
             for row, found in a.scan(h, first, hit).items():
                 names.setdefault(row, set()).update(a.names[x] for x in found)
-        yield batch.slice(i, j - i), part, s, e, first, hit, names
+        rows = batch.slice(i, j - i)
+        if told:
+            for k, (spans, found) in enumerate(zip(rows.column("_spans").to_pylist(), rows.column("_items").to_pylist(), strict=True)):
+                for x in spans or ():
+                    hit[first[k] + x["start"] : first[k] + x["stop"]] = True
+                if found:
+                    names[k] = set(found)
+            rows = rows.select([c for c in rows.schema.names if c not in ("_spans", "_items")])
+        yield rows, part, s, e, first, hit, names
 
 
 def _counts(first: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -208,7 +251,7 @@ def _counts(first: np.ndarray, hit: np.ndarray) -> np.ndarray:
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
+    docs, machines = prepared(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
@@ -224,26 +267,23 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
                 )
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of docs, and spans (array of [start, stop) word numbers that are hit), items (array of item_ids), hit_words, all_words; columns of docs with these names are replaced."""
     docs = docs.drop(*_EXTRA)
-    named, docs = [*docs.columns, *_EXTRA], plain_names(docs, "text")
-    machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
+    named, plain = [*docs.columns, *_EXTRA], plain_names(docs, "text")
+    docs, machines = prepared(plain, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, _, _, first, hit, names in _scanned(batch, machines):
-                where = []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    edge = np.flatnonzero(np.diff(hit[a:b].astype(np.int8), prepend=0, append=0))
-                    where.append([{"start": int(x), "stop": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                extra = [pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(names.get(i, ())) for i in range(len(rows))], pa.list_(pa.string())), pa.array(_counts(first, hit), pa.int64()), pa.array(np.diff(first), pa.int64())]
+                where = [_runs(hit[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                extra = [pa.array(where, _SPANS), pa.array([sorted(names.get(i, ())) for i in range(len(rows))], pa.list_(pa.string())), pa.array(_counts(first, hit), pa.int64()), pa.array(np.diff(first), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, *_EXTRA])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL("spans array<struct<start: long, stop: long>>, items array<string>, hit_words long, all_words long").fields])).toDF(*named)
+    return docs.mapInArrow(run, StructType([*plain.schema.fields, *StructType.fromDDL("spans array<struct<start: long, stop: long>>, items array<string>, hit_words long, all_words long").fields])).toDF(*named)
 
 
 _EXTRA = ("spans", "items", "hit_words", "all_words")
@@ -251,8 +291,8 @@ _EXTRA = ("spans", "items", "hit_words", "all_words")
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without the contaminated rows (coverage limit); from the others, hit spans are cut. Texts without hits stay as they are."""
-    named, docs = docs.columns, plain_names(docs, "text")
-    machines = automata(small_batches(docs).sparkSession, benchmark, window, shard_words)
+    named, plain = docs.columns, plain_names(docs, "text")
+    docs, machines = prepared(plain, benchmark, window, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +309,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wor
                 columns = [pa.array(texts, c.type) if name == "text" else c for name, c in zip(rows.schema.names, rows.columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, rows.schema.names).filter(pa.array(~((k > 0) & (COVERAGE * k >= n))))
 
-    return docs.mapInArrow(run, docs.schema).toDF(*named)
+    return docs.mapInArrow(run, plain.schema).toDF(*named)
 
 
 def _lead(raw: bytes) -> int:
