@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import substring_dedup, suffix_dedup
+from tidemark.llm import passages, substring_dedup, suffix_dedup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.StringType())])
 
@@ -91,6 +91,17 @@ def test_texts_that_weak_hashes_confuse(spark, run, k):
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, k)
 
 
+@pytest.mark.parametrize("often", [0, 1, 5])
+def test_prefixes_that_many_rows_share_are_dealt_by_passages(spark, often):
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(45)]
+    rows = [(i, " ".join([f"w{r.randrange(10**6)}" for _ in range(i % 40)] + passage[i % 9 :] + [f"w{r.randrange(10**6)}" for _ in range(i % 30)])) for i in range(150)]
+    rows += [(200 + i, " ".join(["a"] * (30 + i))) for i in range(10)] + texts(4)[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = passages.digest(docs, lambda own: suffix_dedup.find(own, often=often), suffix_dedup.verify)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, 32)
+
+
 def test_sparse_suffixes_are_ordered_and_extended():
     r = np.random.default_rng(3)
     words = r.integers(1, 4, 400).astype(np.uint64)

@@ -81,8 +81,8 @@ def classes(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.cumsum(new) - 1, doc[order][new]
 
 
-def held_elsewhere(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
-    """(doc_id, keys): for each document the keys (array of long) that another document has too. keys_of gives keys and documents of a batch.
+def held_elsewhere(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int, often: int) -> DataFrame:
+    """(doc_id, keys): for each document the keys (array of long) that another document has too, and, without doc_id, keys of which more than `often` rows came together. keys_of gives keys and documents of a batch.
 
     A map task settles keys that it sees in several documents, and tells their
     bucket so in one row; a key in a third of all documents is one row per task.
@@ -120,11 +120,20 @@ def held_elsewhere(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
             yield flush(held)
 
     def meet(table: pa.Table) -> pa.Table:
-        key, doc, many = tally(unpack(table, "token", "<u8"), unpack(table, "doc", "<i8"), unpack(table, "several", "u1") > 0)
+        token = unpack(table, "token", "<u8")
+        hot, rows = np.unique(token, return_counts=True)
+        hot = hot[rows > often]
+        key, doc, many = tally(token, unpack(table, "doc", "<i8"), unpack(table, "several", "u1") > 0)
         key, doc = np.concatenate((key[many], unpack(table, "known", "<u8"))), np.concatenate((doc[many], unpack(table, "by", "<i8")))
-        return pa.Table.from_batches([pack(of_doc(doc, n), {"known": key, "by": doc})])
+        told = pack(of_doc(doc, n), {"known": key, "by": doc})
+        if not len(hot):
+            return pa.Table.from_batches([told])
+        return pa.Table.from_batches([told, pack(-1 - to_bucket(hot, n), {"known": hot, "by": np.zeros(len(hot), np.int64)})])
 
     def listed(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            hot = unpack(table, "known", "<u8")
+            return pa.table({"doc_id": pa.nulls(1, pa.int64()), "keys": pa.array([hot.view(np.int64)], pa.list_(pa.int64()))})
         key, doc = unpack(table, "known", "<u8"), unpack(table, "by", "<i8")
         order = np.lexsort([key, doc])
         key, doc = key[order], doc[order]

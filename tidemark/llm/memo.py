@@ -26,8 +26,8 @@ class Memo:
         """Starts of the pieces of a chunk; every non-empty text starts one."""
         raise NotImplementedError
 
-    def hashed(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return W.hash_spans(buf, start, stop)
+    def hashed(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return W.hashes_and_ends(buf, start, stop)
 
     def encoded(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """An order of the texts, their numbers of ids in that order, and the ids."""
@@ -56,8 +56,7 @@ class Memo:
         """Ids of all texts of a chunk, and how many each text has."""
         start, n = self.cut(buf, offsets), len(offsets) - 1
         stop = np.append(start[1:], len(buf))
-        h = self.hashed(buf, start, stop)
-        low, high = W.ends_of(W.lanes(buf), start, stop)
+        h, low, high = self.hashed(buf, start, stop)
         slot = (h >> np.uint64(64 - self.slots)).astype(np.int64)
         at = self.index[slot]
         miss = np.flatnonzero((self.keys[slot] != h) | (at >= len(self.offset) - 1))
@@ -77,9 +76,12 @@ class Memo:
             found = np.array([self.number[k] for k in keys])
             self.keys[slot[place]], self.index[slot[place]] = known, found
             at[miss] = found[which]
-        wrong = (self.low[at] != low) | (self.high[at] != high) | (self.bytes[at] != stop - start)
-        for i in np.flatnonzero(~wrong & (stop - start > 16)).tolist():
-            wrong[i] = buf[start[i] : stop[i]].tobytes() != self.long[at[i]]
+        length = stop - start
+        wrong = (self.low[at] != low) | (self.high[at] != high) | (self.bytes[at] != length)
+        longer = np.flatnonzero(~wrong & (length > 16))
+        if len(longer):
+            raw = buf.tobytes()
+            wrong[longer] = [raw[a:b] != self.long[k] for a, b, k in zip(start[longer].tolist(), stop[longer].tolist(), at[longer].tolist(), strict=True)]
         if wrong.any():  # another piece has this hash
             some = np.flatnonzero(wrong)
             base = len(self.offset) - 1

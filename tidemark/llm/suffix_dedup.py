@@ -17,6 +17,12 @@ hold it at the same place.
    share the passage of 32 words that starts a words before them; it is
    repeated in all documents but the smallest. Neighbouring passages merge.
 
+A prefix that very many rows share (OFTEN) could have a different context in
+each document, all in one bucket. At such suffixes the passages of 32 words
+themselves are dealt, by 128 bits of their words: shared ones are one row of a
+map task, others go to different buckets. At most HOTTEST such prefixes are told
+to the tasks; the rows of the others are fewer than theirs.
+
 A word goes if a passage of 32 words that starts in a document with a smaller
 doc_id covers it; matches are judged on the input. Null and empty texts have no
 words; rows without doc_id lose nothing; rows that share a doc_id are one
@@ -35,9 +41,11 @@ from pyspark.sql import functions as F
 
 from . import passages
 from . import words as W
-from .exchange import beside, buckets, by_bucket, classes, held_elsewhere, of_doc, pack, to_bucket, unpack
+from .exchange import HOLD, beside, buckets, by_bucket, classes, held_elsewhere, of_doc, pack, to_bucket, unpack
+from .session import stage
 
 LEAST, PREFIX = 32, 12
+OFTEN, HOTTEST = 64, 1 << 20  #: rows (of a map task, or of a document) from which a prefix is dealt by passages, and how many such prefixes there are at most
 _HELD = 40_000  #: contexts that a map task holds before it sends them
 
 
@@ -103,17 +111,31 @@ def _merged(hit: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, 1 - hi, least - lo
 
 
-def find(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFrame:
+def _repeated(w: np.ndarray, x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of passages by their two hashes: rows of the smallest document of each, and rows of later ones."""
+    order, cls, lowest = classes([w, x], doc)
+    later = doc[order] > lowest[cls]
+    return order[~later], order[later]
+
+
+def find(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, often: int = OFTEN) -> DataFrame:
     """Repeated passages of docs (doc_id, text): doc_id, start, stop, mark."""
     n = buckets(docs)
-    row_of = {"doc": "<i8", "at": "<i4"}
-    names = ["bucket", "right", "left", *row_of, "sdoc", "start", "stop", "mark"]
+    row_of, passage = {"doc": "<i8", "at": "<i4"}, {"w": "<u8", "x": "<u8", "wdoc": "<i8", "wat": "<i4"}
+    names = ["bucket", "right", "left", *row_of, *passage, "sdoc", "start", "stop", "mark"]
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part, s, e, first, ids, _ in passages.parts(batch):
             _, row, h = sampled(W.hash_spans(part, s, e), first, least, prefix)
             yield h, ids[row]
 
+    def flush_passages(held: list[tuple]) -> pa.RecordBatch:
+        w, x, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        one, later = _repeated(w, x, doc)
+        a = pack(to_bucket(w[one], n), {"w": w[one], "x": x[one], "wdoc": doc[one], "wat": at[one].astype("<i4")})
+        b = pack(of_doc(doc[later], n), {"sdoc": doc[later], "start": at[later].astype("<i4"), "stop": (at[later] + least).astype("<i4"), "mark": w[later]})
+        return beside([a, b], names)
+
     def flush(held: list[tuple]) -> pa.RecordBatch:
         h, whole, a, b, doc, at, right, left, mark = (np.concatenate(x) for x in zip(*held, strict=True))
         order, cls, lowest = classes([h, whole], doc)
@@ -124,7 +146,7 @@ def find(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFrame
         return beside([x, y], names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, dealt, many = [], 0, [], 0
         for batch in batches:
             for part, s, e, first, ids, rows in passages.parts(batch):
                 words = W.hash_spans(part, s, e)
@@ -134,6 +156,19 @@ def find(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFrame
                 asked = np.asarray(column.flatten()).astype(np.int64).view(np.uint64) ^ np.repeat(tag, np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
                 keep = np.isin(h ^ tag[row], asked)
                 p, row, h = p[keep], row[keep], h[keep]
+                common = np.isin(h, hot)
+                if common.any():
+                    q, r = p[common], row[common]
+                    lead, room = np.minimum(q - first[r], least - prefix), np.maximum(least - (first[r + 1] - q), 0)
+                    k = np.maximum(lead - room + 1, 0)  # passages that start room .. lead words before the suffix
+                    at = np.repeat(q - lead - np.cumsum(k) + k, k) + np.arange(k.sum())
+                    doc, size_ = np.repeat(r, k), np.full(len(at), least)
+                    dealt.append((W.spans(words | np.uint64(1), at, size_), W.spans(words | np.uint64(1), at, size_, 1), ids[doc], at - first[doc]))
+                    many += len(at)
+                    if many >= HOLD:
+                        yield flush_passages(dealt)
+                        dealt, many = [], 0
+                    p, row, h = p[~common], row[~common], h[~common]
                 for i in range(0, len(p), _HELD):  # a chunk of a very long text has many
                     q, r = p[i : i + _HELD], row[i : i + _HELD]
                     a, b, right, left = contexts(words, first, q, r, least, prefix)
@@ -146,6 +181,8 @@ def find(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFrame
                         held, size = [], 0
         if size:
             yield flush(held)
+        if many:
+            yield flush_passages(dealt)
 
     def judge(table: pa.Table) -> pa.Table:
         out = [passages.spans_of(*(unpack(table, c, k) for c, k in (("sdoc", "<i8"), ("start", "<i4"), ("stop", "<i4"), ("mark", "<u8"))))]
@@ -158,9 +195,15 @@ def find(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFrame
             width, zero = line.shape[1], least - prefix
             mark = W.spans(line.ravel(), row * width + zero + lo, hi - lo) if len(row) else np.zeros(0, np.uint64)
             out.append(passages.spans_of(doc[row], at[row] + lo, at[row] + hi, mark))
+        w, x, doc, at = (unpack(table, c, k) for c, k in passage.items())
+        _, later = _repeated(w, x, doc)
+        out.append(passages.spans_of(doc[later], at[later], at[later] + least, w[later]))
         return pa.Table.from_batches(out)
 
-    shared = held_elsewhere(docs.select("doc_id", "text"), keys_of, n)
+    shared = stage(held_elsewhere(docs.select("doc_id", "text"), keys_of, n, often), "prefixes")
+    told = shared.where("doc_id IS NULL").select(F.explode("keys").alias("key")).limit(HOTTEST).toArrow()  # at most 8 MB
+    hot = np.sort(np.asarray(told.column("key")).astype(np.int64).view(np.uint64))
+    shared = shared.where("doc_id IS NOT NULL")
     sent = docs.join(shared.hint("shuffle_hash"), "doc_id").mapInArrow(send, ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in names))
     return by_bucket(sent, judge, passages.FIELDS, n)
 
