@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import columns as C
-from ..operators import costs, event, execution, joins, recipes
+from ..operators import costs, engine, event, execution, joins, recipes, sweeps
 from ..operators import panel as P
 from ..sources import bars as B
 from ..sources import long_table
@@ -15,6 +15,22 @@ from ..streaming.bars import sessions
 from .base import PANEL, WT, bars, panel, query, r, rank_cte, roll, sql, table, with_ret
 
 
+def halted_panel(p: P.Panel) -> P.Panel:
+    """The panel with bars without volume, ends of every fifth security, days without short sales and a funding rate, all by rule."""
+    k = F.expr("CAST(substring(ticker, 2) AS INT)")
+    dead = k % 5 == 0
+    df = p.df.withColumn("close", F.when(~(dead & (F.col("t") > 250 + k % 40)), F.col("close"))).withColumn("volume", F.when((F.col("t") + k * 7) % 29 < 4, 0.0).otherwise(F.col("volume")))
+    return p.with_df(df.withColumn("delist_after", dead & (F.col("t") == 250 + k % 40)).withColumn("shortable", (F.col("t") + k) % 11 != 0).withColumn("funding", ((F.col("t") + k) % 7 - 3) / 1e4))
+
+
+HALTED = f"""hp0 AS (SELECT *, CAST(substring(ticker, 2) AS INT) AS k FROM panel),
+hp AS (SELECT t, date, ticker, k, CASE WHEN NOT (k % 5 = 0 AND t > 250 + k % 40) THEN close END AS close, CASE WHEN (t + k * 7) % 29 < 4 THEN 0.0 ELSE volume END AS volume, high, low, mkt_cap, char_disc, eligible, k % 5 = 0 AND t = 250 + k % 40 AS delist_after, (t + k) % 11 <> 0 AS shortable, ((t + k) % 7 - 3) / 1e4::DOUBLE AS funding FROM hp0),
+hr AS (SELECT *, close / nullif(lag(close) OVER ({WT}), 0) - 1 AS ret1, close IS NOT NULL AND NOT coalesce(volume > 0, false) AS halted, coalesce(max(CASE WHEN delist_after THEN 1 ELSE 0 END) OVER ({WT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS gone,
+  CASE WHEN close IS NULL THEN t - coalesce(max(CASE WHEN close IS NOT NULL THEN t END) OVER ({WT}), -1) ELSE 0 END AS gap FROM hp),
+hg AS (SELECT *, sum(CASE WHEN halted THEN 0 ELSE 1 END) OVER ({WT}) AS isl FROM hr),
+hh AS (SELECT *, CASE WHEN halted THEN count(*) FILTER (halted) OVER (PARTITION BY ticker, isl ORDER BY t) ELSE 0 END AS run FROM hg)"""
+
+
 def _column(name: str, spark_column, sql_column: str, more: str = "", source: str = "panel", prepare=with_ret, decimals: int | None = 8):
     """A query of t, ticker and one column; rounded where sums decide its last bits."""
 
@@ -78,22 +94,6 @@ def last_bar_delist(spark, sf_dir):
     return df.where("close IS NOT NULL").groupBy("ticker").agg(F.max("t").alias("last_t")).crossJoin(F.broadcast(end)).select("ticker", "last_t", (F.col("last_t") < F.col("e") - 4).alias("ended"))
 
 
-def halted_panel(p: P.Panel) -> P.Panel:
-    """The panel with bars without volume, ends of every fifth security, days without short sales and a funding rate, all by rule."""
-    k = F.expr("CAST(substring(ticker, 2) AS INT)")
-    dead = k % 5 == 0
-    df = p.df.withColumn("close", F.when(~(dead & (F.col("t") > 250 + k % 40)), F.col("close"))).withColumn("volume", F.when((F.col("t") + k * 7) % 29 < 4, 0.0).otherwise(F.col("volume")))
-    return p.with_df(df.withColumn("delist_after", dead & (F.col("t") == 250 + k % 40)).withColumn("shortable", (F.col("t") + k) % 11 != 0).withColumn("funding", ((F.col("t") + k) % 7 - 3) / 1e4))
-
-
-HALTED = f"""hp0 AS (SELECT *, CAST(substring(ticker, 2) AS INT) AS k FROM panel),
-hp AS (SELECT t, date, ticker, k, CASE WHEN NOT (k % 5 = 0 AND t > 250 + k % 40) THEN close END AS close, CASE WHEN (t + k * 7) % 29 < 4 THEN 0.0 ELSE volume END AS volume, high, low, mkt_cap, char_disc, eligible, k % 5 = 0 AND t = 250 + k % 40 AS delist_after, (t + k) % 11 <> 0 AS shortable, ((t + k) % 7 - 3) / 1e4::DOUBLE AS funding FROM hp0),
-hr AS (SELECT *, close / nullif(lag(close) OVER ({WT}), 0) - 1 AS ret1, close IS NOT NULL AND NOT coalesce(volume > 0, false) AS halted, coalesce(max(CASE WHEN delist_after THEN 1 ELSE 0 END) OVER ({WT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS gone,
-  CASE WHEN close IS NULL THEN t - coalesce(max(CASE WHEN close IS NOT NULL THEN t END) OVER ({WT}), -1) ELSE 0 END AS gap FROM hp),
-hg AS (SELECT *, sum(CASE WHEN halted THEN 0 ELSE 1 END) OVER ({WT}) AS isl FROM hr),
-hh AS (SELECT *, CASE WHEN halted THEN count(*) FILTER (halted) OVER (PARTITION BY ticker, isl ORDER BY t) ELSE 0 END AS run FROM hg)"""
-
-
 @query(sql("SELECT t, ticker, run FROM hh", HALTED))
 def halt_runs(spark, sf_dir):
     return execution.halt_runs(halted_panel(panel(spark, sf_dir)).df).select("t", "ticker", F.col("halt_run").cast("long").alias("run"))
@@ -131,10 +131,52 @@ def held_without_price(spark, sf_dir):
     return h.select("n", "first_t", "first_ticker")
 
 
-@query(sql("SELECT count(DISTINCT t) AS n_dates, count(DISTINCT ticker) AS n_tickers, count(close) AS n_prices, count(*) FILTER (eligible) AS n_eligible, round(avg(CAST(abs(ret1) > 0.5 AS INT)), 8) AS extreme_share, round(quantile_cont(ret1, 0.05), 8) AS p05, round(quantile_cont(ret1, 0.95), 8) AS p95, (SELECT round(avg(CAST(l < e AS INT)), 8) FROM (SELECT max(t) AS l FROM panel WHERE close IS NOT NULL GROUP BY ticker), (SELECT max(t) AS e FROM panel)) AS ended_share, (SELECT round(min(m), 8) FROM (SELECT avg(ret1) AS m FROM panel WHERE eligible GROUP BY t)) AS worst_market FROM panel"))
+_AUDIT = """mk AS (SELECT t, avg(ret1) AS m FROM panel WHERE eligible GROUP BY t), me AS (SELECT t, m, product(1 + m) OVER (ORDER BY t) AS e FROM mk WHERE m IS NOT NULL), ls AS (SELECT ticker, max(t) AS l, max(date) AS d FROM panel WHERE close IS NOT NULL GROUP BY ticker),
+vo AS (SELECT stddev_samp(ret1) * sqrt(52) AS v FROM panel WHERE eligible GROUP BY ticker HAVING stddev_samp(ret1) > 0), cv AS (SELECT t, count(close) AS k FROM panel GROUP BY t), mt AS (SELECT max(t) AS e, max(date) AS d FROM panel)"""
+
+
+@query(sql("""SELECT count(DISTINCT t) AS n_dates, count(DISTINCT ticker) AS n_tickers, count(close) AS n_prices, count(*) FILTER (eligible) AS n_eligible, round(avg(CAST(abs(ret1) > 0.5 AS INT)), 8) AS extreme_share, round(quantile_cont(ret1, 0.05), 8) AS p05, round(quantile_cont(ret1, 0.95), 8) AS p95, round(avg(CASE WHEN eligible THEN CAST(abs(ret1) > 0.3 AS INT) END), 8) AS extreme_eligible,
+(SELECT round(avg(CAST(l < e AS INT)), 8) FROM ls, mt) AS ended_share, (SELECT round(avg(CAST(date_diff('day', ls.d, mt.d) > 30 AS INT)), 8) FROM ls, mt) AS ended_before_end_share, (SELECT round(min(m), 8) FROM mk) AS worst_market, (SELECT round(min(f), 7) FROM (SELECT e / max(e) OVER (ORDER BY t) - 1 AS f FROM me)) AS market_max_drawdown,
+(SELECT round(power(product(1 + m), 52.0 / count(m)) - 1, 6) FROM me) AS market_annual_return, (SELECT round(quantile_cont(v, 0.05), 8) FROM vo) AS volatility_p05, (SELECT round(quantile_cont(v, 0.95), 8) FROM vo) AS volatility_p95, (SELECT round(avg(k) FILTER (t > e - 20) / quantile_cont(k, 0.5) FILTER (t <= e - 20), 8) FROM cv, mt) AS tail_coverage FROM panel""", _AUDIT))
 def audit(spark, sf_dir):
     a = P.audit(panel(spark, sf_dir))
-    return a.select("n_dates", "n_tickers", "n_prices", "n_eligible", *(r(c).alias(c) for c in ("extreme_share", "p05", "p95", "ended_share", "worst_market")))
+    n = {"market_max_drawdown": 7, "market_annual_return": 6}
+    return a.select("n_dates", "n_tickers", "n_prices", "n_eligible", *(r(c, n.get(c, 8)).alias(c) for c in ("extreme_share", "p05", "p95", "extreme_eligible", "ended_share", "ended_before_end_share", "worst_market", "market_max_drawdown", "market_annual_return", "volatility_p05", "volatility_p95", "tail_coverage")))
+
+
+@query(sql("SELECT year, round(names, 8) AS names, round(names / first(names) OVER (ORDER BY year), 8) AS growth FROM (SELECT year(date) AS year, avg(k) AS names FROM (SELECT t, date, count(*) FILTER (eligible) AS k FROM panel GROUP BY t, date) GROUP BY 1)"))
+def eligible_by_year(spark, sf_dir):
+    return P.eligible_by_year(panel(spark, sf_dir)).select(F.col("year").cast("long").alias("year"), r("names").alias("names"), r("growth").alias("growth"))
+
+
+@query(sql(f"SELECT t, bench FROM (SELECT t, lead(b, 2) OVER (ORDER BY t) AS bench FROM (SELECT cal.t, avg(close) AS b FROM cal LEFT JOIN bars ON bars.date = cal.date AND bars.ticker = 'S1' GROUP BY cal.t))"))
+def align_benchmark(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return engine.align_benchmark(p, p.df.where("ticker = 'S1' AND close IS NOT NULL").select("date", F.col("close").alias("ret")))
+
+
+@query(sql("SELECT round(avg(s), 8) AS spread FROM (SELECT avg(fwd) FILTER (pr >= 0.9) - avg(fwd) FILTER (pr <= 0.1) AS s FROM sp WHERE fwd IS NOT NULL GROUP BY t HAVING count(*) FILTER (pr >= 0.9) >= 3 AND count(*) FILTER (pr <= 0.1) >= 3)", rank_cte("sp", f"(SELECT *, CAST(CAST(lead(close, 5) OVER ({WT}) / nullif(lead(close, 1) OVER ({WT}), 0) - 1 AS FLOAT) AS DOUBLE) AS fwd FROM panel)", "close")))
+def decile_spread(spark, sf_dir):
+    return sweeps.decile_spread(P.forward(panel(spark, sf_dir), 4), "close").select(r("spread").alias("spread"))
+
+
+@query(sql(f"SELECT t, ticker, coalesce(lead(shortable, 1) OVER ({WT}), true) AS can_sell FROM hp", HALTED))
+def exec_masks(spark, sf_dir):
+    """A mask as read on the execution day."""
+    df = halted_panel(panel(spark, sf_dir)).df.withColumn("can_buy", F.lit(True)).withColumn("can_sell", F.col("shortable"))
+    return df.select("t", "ticker", execution.exec_masks(1)["can_sell"].alias("can_sell"))
+
+
+@query(sql(f"SELECT t, ticker, CASE WHEN low > 0 THEN low END AS close FROM panel"))
+def at_prices(spark, sf_dir):
+    return execution.at_prices(panel(spark, sf_dir).df, "low").select("t", "ticker", "close")
+
+
+@query(sql("SELECT ticker, round(exp(2 - 0.4 * ln(v)), 8) AS q, round(least(greatest(coalesce(CASE WHEN CAST(substring(ticker, 2) AS INT) % 2 = 0 THEN 7.5 END, exp(2 - 0.4 * ln(v))), 0.05), 6.0), 8) AS bp FROM (SELECT ticker, avg(close * volume) AS v FROM panel GROUP BY ticker)"))
+def spread_panel(spark, sf_dir):
+    df = panel(spark, sf_dir).df.groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).alias("v"))
+    df = df.withColumn("m", F.when(F.expr("CAST(substring(ticker, 2) AS INT)") % 2 == 0, 7.5))
+    return df.select("ticker", r(costs.spread_bp("v", 2.0, -0.4, lo=0.0, hi=1e9)).alias("q"), r(costs.spread_bp("v", 2.0, -0.4, "m", 0.05, 6.0)).alias("bp"))
 
 
 @query(sql("SELECT t, ticker, close FROM panel WHERE ticker IN (SELECT ticker FROM panel WHERE close IS NOT NULL GROUP BY ticker HAVING date_diff('day', max(date), (SELECT max(date) FROM panel)) <= 5)"))

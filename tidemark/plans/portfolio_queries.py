@@ -105,7 +105,7 @@ _BOTH = _DAILY + ", nb AS (SELECT net.t, date, net, bench, product(1 + net) OVER
 
 @query(sql("""SELECT count(*) AS n, round(covar_samp(net, bench) / var_samp(bench), 8) AS beta, round(corr(net, bench), 8) AS corr, round(stddev_samp(net - bench) * sqrt(52), 8) AS te, round(avg(net - bench) / stddev_samp(net - bench) * sqrt(52), 8) AS ir,
 round(avg(CAST(net > bench AS INT)), 8) AS hit, round(avg(net) FILTER (bench > 0) / avg(bench) FILTER (bench > 0), 8) AS up_capture, round(avg(net) FILTER (bench < 0) / avg(bench) FILTER (bench < 0), 8) AS down_capture,
-round(power(product(1 + net), 52.0 / count(*)) - 1, 8) AS cagr, round(power(product(1 + bench), 52.0 / count(*)) - 1, 8) AS bench_cagr, round(power(product(1 + net), 52.0 / count(*)) - power(product(1 + bench), 52.0 / count(*)), 8) AS excess_cagr,
+round((CASE WHEN product(1 + net) > 0 THEN power(product(1 + net), 52.0 / count(*)) - 1 ELSE -1.0 END), 8) AS cagr, round((CASE WHEN product(1 + bench) > 0 THEN power(product(1 + bench), 52.0 / count(*)) - 1 ELSE -1.0 END), 8) AS bench_cagr, round((CASE WHEN product(1 + net) > 0 THEN power(product(1 + net), 52.0 / count(*)) - 1 ELSE -1.0 END) - (CASE WHEN product(1 + bench) > 0 THEN power(product(1 + bench), 52.0 / count(*)) - 1 ELSE -1.0 END), 8) AS excess_cagr,
 (SELECT round(avg(CAST(a > b AS INT)), 8) FROM (SELECT product(1 + net) AS a, product(1 + bench) AS b FROM nb GROUP BY date_trunc('month', date))) AS hit_month, (SELECT round(avg(CAST(a > b AS INT)), 8) FROM (SELECT product(1 + net) AS a, product(1 + bench) AS b FROM nb GROUP BY year(date))) AS hit_year,
 (SELECT round(min(f), 8) FROM (SELECT q / greatest(max(q) OVER (ORDER BY t), 1.0::DOUBLE) - 1 AS f FROM nb)) AS max_relative_drawdown FROM nb""", _BOTH))
 def market_relative(spark, sf_dir):
