@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 import corpus_pipeline as P
 from tests.llm.test_decontaminate import words as item_words
-from tests.llm.test_jaccard_join import brute as jaccard
 from tidemark.llm import language_id, sentence_pieces
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("component_id", T.StringType())])
@@ -37,9 +36,12 @@ def windows(words, n):
 
 def brute(docs, items, languages):
     docs = [d for d in docs if languages[d[0], d[1]] != "und"]
-    comp = {i: c for i, _, c in jaccard([(d[0], d[1]) for d in docs])}
-    docs = [d for d in docs if comp[d[0]] == d[0]]
-    docs = list({d[0]: d for d in sorted(docs, key=lambda d: d[1], reverse=True)}.values())
+    stay, kept = near_brute([(d[0], d[1]) for d in docs]), []
+    for d in sorted(docs, key=str):
+        if (d[0], d[1]) in stay:
+            stay.remove((d[0], d[1]))
+            kept.append(d)
+    docs = kept
     least, out = {}, []
     for d in sorted(docs, key=lambda d: d[0]):
         for w in windows(d[1].split(), 13):
