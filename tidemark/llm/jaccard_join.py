@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .exchange import HOLD, beside, buckets, by_bucket, heads, pack, unpack
-from .session import small_batches, stage
+from .session import scratch, small_batches, stage
 
 SIZE, NUMERATOR, DENOMINATOR = 4, 85, 100
 _SMALL = 100  #: sets below this size are judged by all their shingles
@@ -319,6 +319,35 @@ def _expand(pairs: DataFrame, some: DataFrame, members: DataFrame, rule: Rule) -
     return both.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
 
 
+def _linked(maybe: DataFrame, one: DataFrame, rule: Rule) -> DataFrame:
+    """(v, c): the component of each set of maybe (v, text) that links with another. one: the sizes n of the sets w."""
+    spare = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den)
+    full = _shared_counts(maybe, rule, lambda x: x, False)
+    fair = full.join(one.select(F.col("w").alias("v"), "n"), "v").where(F.col("shared") >= F.col("n") - spare).select("v")
+    kept = stage(maybe.join(fair, "v"), "kept")
+
+    heads_, members = groups(stage(_prefixes(kept, rule), "prefixes"))
+    lead = heads_.select("g", "v")
+    links = tried = labels = None
+    for k in (1, *ROUNDS, None):
+        labelled = _labelled(members, labels)
+        live = stage(_live(heads_, labelled), "live")
+        own = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("g").alias("x"), F.col("g").alias("y"), "lo", "hi")  # members of one group
+        if labels is not None and live.isEmpty() and own.isEmpty():
+            break
+        pairs = _meet(_central(live, k) if k else _outside(live), live, rule)
+        if k != ROUNDS[0]:
+            pairs = pairs.unionByName(own).distinct()
+        new = _expand(pairs, labelled.join(lead, ["g", "v"]) if k else labelled, labelled, rule)
+        new = stage(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stage(verify(new, kept, rule), "links")
+        tried = new if tried is None else tried.unionByName(new)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+    return labels
+
+
 def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DENOMINATOR, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text). row: a long column of docs that is returned too, with c, a number of the row's own component (null without doc_id or shingles)."""
     rule = Rule(size, num, den)
@@ -352,30 +381,9 @@ def near(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
             same = pc.and_(*(pc.equal(pa.array([x[k] for x in found], pa.int64()), batch.column(c)) for k, c in enumerate("vt")))
             yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("text")], ["v", "text"]).filter(same)
 
-    maybe = stage(maybe.mapInArrow(matched, "v long, text string").dropDuplicates(["v"]), "maybe")
-    full = _shared_counts(maybe, rule, lambda x: x, False)
-    fair = full.join(one.select(F.col("w").alias("v"), "n"), "v").where(F.col("shared") >= F.col("n") - spare).select("v")
-    kept = stage(maybe.join(fair, "v"), "kept")
-
-    heads_, members = groups(stage(_prefixes(kept, rule), "prefixes"))
-    lead = heads_.select("g", "v")
-    links = tried = labels = None
-    for k in (1, *ROUNDS, None):
-        labelled = _labelled(members, labels)
-        live = stage(_live(heads_, labelled), "live")
-        own = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("g").alias("x"), F.col("g").alias("y"), "lo", "hi")  # members of one group
-        if labels is not None and live.isEmpty() and own.isEmpty():
-            break
-        pairs = _meet(_central(live, k) if k else _outside(live), live, rule)
-        if k != ROUNDS[0]:
-            pairs = pairs.unionByName(own).distinct()
-        new = _expand(pairs, labelled.join(lead, ["g", "v"]) if k else labelled, labelled, rule)
-        new = stage(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stage(verify(new, kept, rule), "links")
-        tried = new if tried is None else tried.unionByName(new)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+    with scratch(docs.sparkSession):
+        maybe = stage(maybe.mapInArrow(matched, "v long, text string").dropDuplicates(["v"]), "maybe")
+        labels = stage(_linked(maybe, one, rule), "components", outlives=True)
     member = one.select("v", "t", "w", "rep").join(labels.withColumnRenamed("v", "w"), "w", "left").withColumn("c", F.coalesce("c", "w"))
     least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = member.join(least, "c").select("v", "t", "component_id", *(["c"] if row else []))
