@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import decontaminate, jaccard_join, language_id, sentence_pieces, substring_dedup
-from tidemark.llm.session import stage
+from tidemark.llm.session import scratch, stage
 
 NEAR = (5, 80, 100)  #: near-duplicates share 80 % or more of their 5-word shingles; op10's own 4 words and 85 % hold for that query only
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -74,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage writes on its way goes once its result is written
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
