@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market_queries, panel_queries, portfolio_queries
+from . import market_queries, panel_queries, portfolio_queries, source_queries
 from .base import QUERIES, SQL
 
 
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["flagship", "oracle_sql", "market_queries", "panel_queries", "portfolio_queries", "queries"]
+__all__ = ["flagship", "oracle_sql", "market_queries", "panel_queries", "portfolio_queries", "queries", "source_queries"]
