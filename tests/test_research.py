@@ -23,7 +23,7 @@ def test_timing(p):
 
 def test_screen_finds_a_planted_factor(p):
     planted = F.lead("close", 5).over(C.by_time())
-    out = research.screen(p, {"planted": planted, "noise": F.pmod(F.xxhash64("t", "ticker"), F.lit(1000)).cast("double")}, horizon=4, n_null=5)
+    out = research.screen(p, {"planted": planted, "noise": F.pmod(F.xxhash64("t", "ticker"), F.lit(1000)).cast("double")}, horizon=4, n_null=3, controls=["c_rev1", "c_logsize"])
     rows = {r["factor"]: r for r in out.tables["summary"]}
     assert rows["planted"]["ic"] > 0.2 and rows["planted"]["null_p95"] > 0
     assert rows["planted"]["ic"] > abs(rows["noise"]["ic"])

@@ -145,16 +145,18 @@ def _known(base: DataFrame, controls: list[str], notes: list[str], least: float
     return [c for c in controls if (share[c] or 0) >= least]
 
 
-def screen(p: Panel, factors: dict[str, Column], *, horizon: int = 5, cost_bp: float = 20.0, n_null: int = 20, seed: int = 0, gates: event.GateConfig | None = None, fire_q: float = 0.1, ledger=None, family: str = "screen") -> Result:
-    """Many factors at once, each a key of the same jobs: regression t beside all controls against the null of the factor's own values shuffled within dates, rank correlation, decile profile, what buying the top fire_q earns, gates and the funnel of what passes."""
+def screen(p: Panel, factors: dict[str, Column], *, horizon: int = 5, cost_bp: float = 20.0, n_null: int = 20, seed: int = 0, gates: event.GateConfig | None = None, fire_q: float = 0.1, controls: list[str] | None = None, ledger=None, family: str = "screen") -> Result:
+    """Many factors at once, each a key of the same jobs: regression t beside all controls against the null of the factor's own values shuffled within dates, rank correlation, decile profile, what buying the top fire_q earns, gates and the funnel of what passes. controls: names of `recipes.controls` to use instead of all; a date needs twice as many names as coefficients, and half of the median universe up to 50, with all of them known."""
     notes: list[str] = []
     lag, names = max(horizon, 21), sorted(factors)
     base = recipes.controls(p).join(forward(p, horizon).select("t", "ticker", "fwd"), ["t", "ticker"])
-    controls = _known(base, [c for c in base.columns if c.startswith("c_")], notes)
+    controls = _known(base, controls or [c for c in base.columns if c.startswith("c_")], notes)
+    half = base.groupBy("t").agg(F.count_if("eligible").alias("k")).agg(F.percentile("k", 0.5)).first()[0] * 0.5
+    least = int(max(2 * (len(controls) + 2), min(50, half)))
     df = C.stacked(p.df.withColumn("ret1", ret(1)), "name", "factor", {n: factors[n] for n in names}, "t", "ticker")
     x = df.join(base.select("t", "date", "ticker", "eligible", "fwd", *controls), ["t", "ticker"])
     key = ("name",)
-    fm = stats.fama_macbeth(x, "fwd", "factor", controls, keys=key).persist()
+    fm = stats.fama_macbeth(x, "fwd", "factor", controls, least, key).persist()
     t = {r["name"]: r for r in stats.newey_west(fm, "beta", lag, key).collect()}
     t_raw = {r["name"]: r["t"] for r in stats.newey_west(fm, "raw", lag, key).collect()}
     lost = {r["name"]: r["c"] or 0.0 for r in fm.groupBy("name").agg(F.avg(F.col("collinear").cast("double")).alias("c")).collect()}
@@ -164,7 +166,7 @@ def screen(p: Panel, factors: dict[str, Column], *, horizon: int = 5, cost_bp: f
     w = Window.partitionBy("rep", "_id")
     a = drawn.crossJoin(F.broadcast(reps)).withColumn("k", F.row_number().over(w.orderBy("ticker"))).withColumn("j", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "rep", "_id", "ticker"), "ticker")))
     shuffled = a.select("rep", "_id", "name", "t", "k", "eligible", "fwd", *controls).join(a.select("rep", "_id", F.col("j").alias("k"), F.col("factor").alias("value")), ["rep", "_id", "k"])
-    null = stats.newey_west(stats.fama_macbeth(shuffled, "fwd", "value", controls, keys=("name", "rep")), "beta", lag, ("name", "rep")).groupBy("name").agg(F.percentile(F.abs("t"), 0.95).alias("q"))
+    null = stats.newey_west(stats.fama_macbeth(shuffled, "fwd", "value", controls, least, ("name", "rep")), "beta", lag, ("name", "rep")).groupBy("name").agg(F.percentile(F.abs("t"), 0.95).alias("q"))
     null = {r["name"]: r["q"] for r in null.collect()}
     ic = {r["name"]: r for r in event.ic_report(event.ic_daily(x, keys=key), lag=horizon, keys=key).collect()}
     profile = event.decile_profile(x, keys=key)
@@ -182,6 +184,8 @@ def screen(p: Panel, factors: dict[str, Column], *, horizon: int = 5, cost_bp: f
     excess.unpersist()
     rows, cfg = [], gates or event.GateConfig()
     for n in names:
+        if n not in t or t[n]["t"] is None:
+            notes.append(f"{n}: fewer than 30 dates have {least} names with the factor, a return and all {len(controls)} controls, so it has no t")
         if lost.get(n, 0) > 0.5:
             notes.append(f"{n} is almost a combination of the controls: nothing is left of it on {lost[n]:.0%} of the days")
         threshold = null.get(n) if cfg.null_threshold is None else cfg.null_threshold
