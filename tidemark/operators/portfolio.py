@@ -85,15 +85,6 @@ def grid(p: Panel, factor: str, holds: tuple[int, ...], costs: tuple[float, ...]
     return rows.select("hold", "t", F.explode(F.array(*map(F.lit, costs))).alias("cost_bp"), "g", "d").select("hold", "cost_bp", "t", (F.col("g") - F.col("d") * F.col("cost_bp") / 2e4).alias("net"))
 
 
-def backtest_weights(p: Panel, weights: DataFrame, cost_bp: float = 10.0) -> DataFrame:
-    """t, gross, cost, net of given weights (date, ticker, w), on the net trade."""
-    h = one_bar(p).join(weights, ["date", "ticker"], "left").withColumn("h", F.coalesce("w", F.lit(0.0)))
-    d = F.abs(F.coalesce(F.col("h") - F.lag("h").over(C.by_time()), F.lit(0.0)))
-    out = h.withColumn("_d", d).groupBy("t", "date").agg(F.sum(F.col("h") * F.col("fwd1")).alias("gross"), (F.sum("_d") * (cost_bp / 2e4)).alias("cost"))
-    out = out.withColumn("_end", F.max("t").over(Window.partitionBy())).where(F.col("t") < F.col("_end") - p.entry_lag).drop("_end")
-    return out.withColumn("net", F.col("gross") - F.col("cost"))
-
-
 def benchmark(df: DataFrame, kind: str = "equal") -> DataFrame:
     """t, bench: mean of fwd1 over eligible names, equal or by mkt_cap."""
     w = F.lit(1.0) if kind == "equal" else F.coalesce(F.col("mkt_cap"), F.lit(0.0))
