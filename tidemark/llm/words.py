@@ -117,13 +117,8 @@ def ends_of(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
     """64-bit hashes of byte spans."""
-    return hashes_and_ends(buf, starts, ends, fold)[0]
-
-
-def hashes_and_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of byte spans, and their first and last 8 bytes (`ends_of`)."""
     if not len(starts):
-        return tuple(np.zeros(0, np.uint64) for _ in range(3))
+        return np.zeros(0, np.uint64)
     if fold is not SAME:
         buf = fold[buf]
     n, eight = ends - starts, lanes(buf)
@@ -138,7 +133,7 @@ def hashes_and_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold:
             for i in live.tolist():
                 out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
             break
-    return out, low, high
+    return out
 
 
 def _joined(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
