@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import columns as C
-from tidemark.operators import costs, engine, event, execution, joins, portfolio, recipes, sweeps
+from tidemark.operators import costs, draws, engine, event, execution, joins, portfolio, recipes, sweeps
 from tidemark.operators.panel import Panel, check_alignment, compounded, forward, ret
 from tidemark.sources import bars as B
 from tidemark.sources import ledger, long_table
@@ -426,6 +426,49 @@ def test_more_inference(spark):
         stats.decompose(frame.assign(c=1.0), "y", ["a", "c"])
 
 
+@pytest.mark.parametrize("method, weighting, short_q, hold", [("labels", "equal", 0.25, 3), ("labels", "signal", None, 20), ("daily", "rank", 0.25, 3), ("daily", "equal", 0.25, 1)])
+def test_permutation_replicates(spark, p, method, weighting, short_q, hold):
+    n, q = 10, 0.25
+    x = portfolio.one_bar(p).withColumn("f", F.round(recipes.reversal(4), 2))
+    f, ok, r = wide(x, "f"), wide(x, "eligible") == 1, wide(x, "fwd1")
+    k = x.select("t", "ticker").crossJoin(spark.range(n))
+    k = k.withColumn("h", F.xxhash64(F.lit(5), "id", "ticker") if method == "labels" else F.xxhash64(F.lit(5), "id", "t", "ticker")).toPandas()
+    want = {}
+    for rep in range(-1, n):
+        g = f.copy()
+        for t in f.index if rep >= 0 else ():
+            pool = f.columns if method == "labels" else f.columns[ok.loc[t] & f.loc[t].notna()]
+            h = k[(k["id"] == rep) & (k["t"] == t)].set_index("ticker")["h"].loc[pool].sort_values()
+            if method == "labels":
+                g.loc[t, h.index] = f.loc[t, pool].to_numpy()
+            else:
+                g.loc[t] = np.nan
+                g.loc[t, pool] = f.loc[t, h.index].to_numpy()
+        rank = g.where(ok).rank(axis=1, pct=True)
+        part = lambda inside, far, g=g: inside * {"equal": 1.0, "rank": far, "signal": g.abs()}[weighting]
+        w = [part(rank >= 1 - q, rank - (1 - q))] + ([part(rank <= short_q, short_q - rank)] if short_q else [])
+        w = [x.fillna(0.0).div(x.sum(axis=1).replace(0, np.nan), axis=0).fillna(0.0) for x in w]
+        held = (w[0] - (w[1] if short_q else 0)).rolling(hold, 1).sum().div(np.minimum(hold, np.arange(len(f)) + 1), axis=0)
+        net = (held * r).sum(axis=1).iloc[: -1 - p.entry_lag]
+        want[rep] = net.mean() / net.std() * math.sqrt(p.periods_per_year)
+    got = {x["rep"]: x["sharpe"] for x in sweeps.factor_permutation(p, F.round(recipes.reversal(4), 2), n, method, 5, long_q=q, short_q=short_q, hold=hold, weighting=weighting).collect()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("method", ["labels", "daily"])
+def test_permutation_makes_no_rows_of_replicates_and_names(p, method):
+    plan = sweeps.factor_permutation(p, recipes.reversal(4), 10, method, hold=3)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not [x for x in dealt if "rep#" in x and "ticker#" in x]
+
+
+def test_hashes_of_names_are_spark_s(spark):
+    names = [("é" * (i % 5) + "abcdefghij" * (i % 9))[:i] + str(i) for i in range(90)] + [""]
+    for seed, width in ((-3, 4), (1 << 40, 8)):
+        h = spark.createDataFrame(list(enumerate(names)), "i int, x string").select("i", F.xxhash64(F.lit(seed), F.lit(7).cast("long"), F.lit(11), "x").alias("h"))
+        assert draws.Keys(names).hashed((seed, width), (7, 8), (11, 4)).tolist() == [x["h"] for x in h.orderBy("i").collect()]
+
+
 def test_permutations_and_lookahead(p):
     known = F.lead("close", 2).over(C.by_time()) / F.lead("close", 1).over(C.by_time())
     for method in ("labels", "daily"):
