@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from tidemark.functions import stats
 from tidemark.operators import columns as C
 from tidemark.operators import costs, draws, engine, event, execution, joins, portfolio, recipes, sweeps
 from tidemark.operators.panel import Panel, check_alignment, compounded, forward, ret
+from tidemark.plans import base
 from tidemark.sources import bars as B
 from tidemark.sources import ledger, long_table
 from tidemark.streaming.bars import closed_bars
@@ -462,6 +464,14 @@ def test_permutation_makes_no_rows_of_replicates_and_names(p, method):
     assert dealt and not [x for x in dealt if "rep#" in x and "ticker#" in x]
 
 
+def test_bars_are_dealt_once(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = base.panel(session, "/root/testdata/sf0.001").df.select("t", "ticker", "close")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert len([k for k in dealt if "," in k]) == 2  # the sums of the bars, and the spine
+
+
 def test_hashes_of_names_are_spark_s(spark):
     names = [("é" * (i % 5) + "abcdefghij" * (i % 9))[:i] + str(i) for i in range(90)] + [""]
     for seed, width in ((-3, 4), (1 << 40, 8)):

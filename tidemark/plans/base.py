@@ -43,12 +43,13 @@ def r(x: str | Column, n: int = 8) -> Column:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    g = li.groupBy(F.col("l_suppkey").alias("k"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"))
+    g = li.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"))  # as `joins.align` deals them: no second shuffle
+    k = F.substring("ticker", 2, 20).cast("long")
     b = g.agg(
         (F.round(F.sum("l_extendedprice") * 100) / F.sum("l_quantity") / 100).alias("close"), F.sum("l_quantity").alias("volume"), F.max(unit).alias("high"), F.min(unit).alias("low"),
         (F.round(F.sum("l_discount") * 100) / F.count("l_discount") / 100).alias("char_disc"),
     )
-    return b.select(F.concat(F.lit("S"), F.col("k").cast("string")).alias("ticker"), "date", "close", "volume", "high", "low", (F.col("close") * (1000 + F.col("k"))).alias("mkt_cap"), "char_disc")
+    return b.select("ticker", "date", "close", "volume", "high", "low", (F.col("close") * (1000 + k)).alias("mkt_cap"), "char_disc")
 
 
 def panel(spark: SparkSession, sf_dir: str) -> Panel:
