@@ -110,3 +110,15 @@ def test_texts_that_weak_hashes_confuse():
     bits = [bin(i).count("1") & 1 for i in range(2048)]
     texts = ["".join("ab"[b] for b in bits[:n]) for n in (1024, 2048)] + ["".join("ba"[b] for b in bits[:n]) for n in (1024, 2048)]
     assert ids_of(texts, S.PieceEncoder(VOCABULARY)) == LIBRARY.encode(texts)
+
+
+def test_workers_let_go_of_the_model(spark):
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ in ("PieceEncoder", "Vocabulary") for x in gc.get_objects())]})
+
+    frame = spark.createDataFrame([(i, f"some words of {i}", "") for i in range(16)], SCHEMA).repartition(4)
+    assert S.digest(frame, PATH).count() == 16 and len(S.digest(frame, PATH).collect()) == 16
+    assert {x["n"] for x in spark.range(0, 64, 1, 16).mapInArrow(alive, "n long").collect()} == {0}

@@ -26,12 +26,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import weakref
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,7 +297,7 @@ class PieceEncoder(Memo):
         return list(range(len(texts))), *self.vocabulary.encode([x.replace(" ", SPACE) for x in texts])
 
 
-_WORKER: dict[str, PieceEncoder] = {}
+_WORKER: weakref.WeakKeyDictionary[Broadcast, PieceEncoder] = weakref.WeakKeyDictionary()  #: by their model, so that a worker lets go of them at its first task that does not use it
 
 
 def _ready(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -310,13 +312,13 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _encoded(batch: pa.RecordBatch, name: str, shared) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _encoded(batch: pa.RecordBatch, shared: Broadcast) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, ids and their number by row."""
-    if name not in _WORKER:
-        _WORKER[name] = PieceEncoder(shared.value)
+    if shared not in _WORKER:
+        _WORKER[shared] = PieceEncoder(shared.value)
     buf, offsets = _ready(batch)
     for i, j in W.chunks(offsets):
-        yield i, j, *_WORKER[name].ids(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, j, *_WORKER[shared].ids(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -325,7 +327,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            for i, j, ids, size in _encoded(batch, path, shared):
+            for i, j, ids, size in _encoded(batch, shared):
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
@@ -355,7 +357,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             own, off = W.buffers(batch.column("text"))
-            for i, j, ids, size in _encoded(batch, path, shared):
+            for i, j, ids, size in _encoded(batch, shared):
                 raw, n = shared.value.decode(ids.astype(np.int64), size)
                 flat, data, mine = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B"), raw.tobytes(), own[off[i] : off[j]].tobytes()
                 b, d, o = np.cumsum(size).tolist(), np.cumsum(n).tolist(), (off[i : j + 1] - off[i]).tolist()
