@@ -78,3 +78,19 @@ def test_changed_bytes_are_noticed(spark):
     with pytest.raises(ValueError, match="changed"):
         M.features(M.digest(b"a" * 64), [(64, b"x" * 16)], b"b" * 64)
     assert F is not None
+
+
+def test_packing_stays_cheap():
+    import time
+
+    import pyarrow.parquet as pq
+    import zstandard
+
+    pack = "".join(x for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist() if x).encode()[: M.PACK]
+
+    def cpu(level):
+        press, began = zstandard.ZstdCompressor(level=level), time.thread_time()
+        press.compress(pack)
+        return time.thread_time() - began
+
+    assert min(cpu(M.LEVEL) for _ in range(3)) < 5 * min(cpu(9) for _ in range(3))
